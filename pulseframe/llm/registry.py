@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, html_extract, mixing, packing, sharding, toxicity, warc
+from . import exact_dedup, html_extract, mixing, near_dedup, packing, sharding, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_vector_packing": packing.op4_vector_packing,
     "op5_near_url_text": html_extract.op5_near_url_text,
     "op6_warc_dictionary": warc.op6_warc_dictionary,
+    "op7_chosen_path": near_dedup.op7_chosen_path,
     "op9_pattern_toxicity": toxicity.op9_pattern_toxicity,
     "op10_ring_shards": sharding.op10_ring_shards,
 }
