@@ -1,14 +1,16 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import exact_dedup, html_extract, mixing, near_dedup, packing, sharding, toxicity, warc
+from . import ann, exact_dedup, html_extract, mixing, near_dedup, packing, repeats, sharding, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_entropy_mix": mixing.op2_entropy_mix,
+    "op3_suffix_repeats": repeats.op3_suffix_repeats,
     "op4_vector_packing": packing.op4_vector_packing,
     "op5_near_url_text": html_extract.op5_near_url_text,
     "op6_warc_dictionary": warc.op6_warc_dictionary,
     "op7_chosen_path": near_dedup.op7_chosen_path,
+    "op8_cross_polytope": ann.op8_cross_polytope,
     "op9_pattern_toxicity": toxicity.op9_pattern_toxicity,
     "op10_ring_shards": sharding.op10_ring_shards,
 }
