@@ -29,8 +29,6 @@ from .common import map_batches, new_path, staged, table
 DICTIONARY_FRAME, TRAINED = 0x184D2A5D, 0xEC30A437
 #: A file's dictionary is built from at most so many bytes of its first records, read in so many bytes at most.
 DICTIONARY_BYTES, SAMPLE_BYTES, BUFFER_BYTES = 64 << 10, 2 << 20, 16 << 20
-#: Bytes of text that a file holds, about.
-FILE_BYTES = 24e6
 DATE = "2024-01-01T00:00:00Z"
 
 ROW = "page_id long, url string, html string, refers_to long, refers_url string"
@@ -206,10 +204,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def archive(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write pages to archives below folder; returns the manifest of the files written."""
-    spark = pages.sparkSession
-    rows = mark_revisits(pages, least_bytes)
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    return staged(write_archives(rows.repartition(max(1, round(size / FILE_BYTES), spark.sparkContext.defaultParallelism // 2), "page_id", "url"), folder), "warc-manifest")
+    return staged(write_archives(mark_revisits(pages, least_bytes), folder), "warc-manifest")
 
 
 def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
