@@ -43,3 +43,36 @@ def build_windows(readings: DataFrame, signals: DataFrame, seed: int = 42) -> Da
     made = N.label_windows(labels, signals, key="label_id").withColumn("day", C.day("t"))
     per_day = made.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("state_val").alias("pos"))
     return made.join(day_split_retry(per_day, seed), ["user_id", "day"])
+
+
+def learning_curve(preds: DataFrame) -> DataFrame:
+    """round, split, n, auc pooled over users, and a row of all rounds (round null) for each split's ceiling of data."""
+    from ..operators.metrics import roc_auc
+
+    each = roc_auc(preds, ["round", "split"]).select("round", "split", (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")
+    full = preds.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("long").alias("round"), "split", "n", F.lit(None).cast("double").alias("auc"))
+    return each.unionByName(full)
+
+
+def experiment_rollup(summaries: DataFrame, pipelines: list[str]) -> DataFrame:
+    """The wide table of the newest result of each (uid, pipeline)."""
+    from ..operators.rollups import auc_wide_table, latest_per_key
+
+    newest = latest_per_key(summaries, ["uid", "pipeline"])
+    return auc_wide_table(summaries.join(newest, ["uid", "pipeline", "path"], "left_semi"), pipelines)
+
+
+def fraction_vs_full(preds: DataFrame, frac: float, seeds: tuple[int, ...]) -> DataFrame:
+    """user_id, seed ('full_data' for all rows), n, auc of stratified samples and of everything."""
+    from pyspark.sql import Window as W
+
+    from ..hashing import hash_key
+    from ..operators.metrics import roc_auc
+
+    parts = preds.select("user_id", F.lit("full_data").alias("seed"), "y_true", "y_score")
+    for s in seeds:
+        w = W.partitionBy("user_id", "y_true")
+        rank = F.row_number().over(w.orderBy(hash_key(s, "sample_id"), "sample_id", "y_score"))
+        chosen = preds.withColumn("_k", rank <= F.floor(frac * F.count(F.lit(1)).over(w) + 0.5)).where("_k")
+        parts = parts.unionByName(chosen.select("user_id", F.lit(str(s)).alias("seed"), "y_true", "y_score"))
+    return roc_auc(parts, ["user_id", "seed"]).select("user_id", "seed", (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")
