@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Bytes that end a word: space and the ASCII controls 0x09 to 0x0D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,26 +55,25 @@ def parts(spark: SparkSession, n_bytes: float, each: float = 8e6) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(n_bytes // each) + 1)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context."""
-    context = spark.sparkContext
-    if getattr(context, "_shipped_package", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "pulseframe_package.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(os.path.join(top, "pulseframe")):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, top))
-    context.addPyFile(path)
-    context._shipped_package = True
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task should not hold the last one's."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def map_groups(df: DataFrame, keys: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
