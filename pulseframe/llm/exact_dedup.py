@@ -88,7 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = ids.select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest", "locator")
     if not odd.isEmpty():
         own = odd.groupBy("digest", "text").agg(F.max("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_n"))
-        own_rows = odd.join(own, ["digest", "text"]).select("doc_id", "digest", "own_keep", "own_n")
+        own_rows = odd.join(own, ["digest", "text"]).select("doc_id", "digest", "own_keep", "own_n").dropDuplicates(["doc_id", "digest"])
         lost = odd.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
         out = out.join(own_rows, ["doc_id", "digest"], "left").join(lost, "digest", "left")
         out = out.select(
