@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3) -> DataFrame:
         compress = zstandard.ZstdCompressor(level=level, dict_data=words, write_checksum=True).compress
         files.create_dir(top, recursive=True)
         path, count, written = f"{top}/{uuid.uuid4().hex}.warc.zst", 0, 0
-        with files.open_output_stream(path) as out:
+        with files.open_output_stream(path, compression=None) as out:
             raw = words.as_bytes()
             out.write(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
             for part in (held, rows):
@@ -176,7 +176,7 @@ def read_archives(manifest: DataFrame, folder: str, n_files: int) -> DataFrame:
         for b in batches:
             for path, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows, seen = [], 0
-                with files.open_input_stream(path) as stream:
+                with files.open_input_stream(path, compression=None) as stream:
                     for r in frames(stream):
                         rows.append(parse(r))
                         if len(rows) == 5000:
