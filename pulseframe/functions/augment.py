@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..hashing import hash_normal, hash_unit
 
@@ -31,7 +32,7 @@ def slice_pad(seq: Column, pad_edge: bool, seed: int, *keys: str, least: int = 2
     return F.concat(cut, F.array_repeat(F.element_at(cut, -1) if pad_edge else F.lit(0.0), size - n))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def stretch_crop(seq: pd.Series, factor: pd.Series) -> pd.Series:
     """Linear resampling by a factor, cropped or padded with the last sample to the old length."""
 

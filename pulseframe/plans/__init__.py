@@ -1,0 +1 @@
+"""Jobs, and the queries that are registered."""

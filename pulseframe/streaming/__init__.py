@@ -1,0 +1 @@
+"""Nothing here: every source of the domain is a batch source, and no streaming operator is claimed."""
