@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .near_dedup import _INVERSE, _MULTIPLIER, runs
 SEED = 40
 CHUNK, SEGMENT = 1 << 20, 8 << 20
 #: Anchors that a task holds before it sends their seeds, contexts that it merges at a time.
-HELD_SEEDS, HELD_CONTEXTS = 1_500_000, 150_000
+HELD_SEEDS, HELD_CONTEXTS = 500_000, 40_000
 LAST = (1 << 63) - 1
 LEAD = 16
 #: One anchor of a document: its place, and how far before it the first and the last string start that it stands for.
@@ -118,7 +119,7 @@ def count_seeds(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = Anchors(length)
-        rows = ((d, (t or "").encode("utf-8", "surrogatepass")) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = ((d, (t.as_py() or "").encode("utf-8", "surrogatepass")) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
         held, size = [], 0
 
         def send():
@@ -246,10 +247,11 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
         names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
 
         def send():
-            rows = [(c[f : f + LEAD], c, doc, at, f, f - (len(c) - length)) for (c, f), (doc, at) in merger.kept.items()]
-            rows += [(data, None, doc, None, None, None) for doc, data in merger.removed()]
-            for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000], strict=True), types, strict=True)], names)
+            removed = [(data, None, doc, None, None, None) for doc, data in merger.removed()]
+            kept = ((c[f : f + LEAD], c, doc, at, f, f - (len(c) - length)) for (c, f), (doc, at) in merger.kept.items())
+            rows = chain(removed, kept)
+            while some := list(islice(rows, 5000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
 
         for b in batches:
             for doc, text, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
