@@ -15,8 +15,9 @@ suffixes that start at their anchors, and only anchors, about one position in th
 Of equal whole texts only the one with the smallest id enters step 2; the others go whole, if they are long enough.
 
 Defined cases: null text is empty; texts shorter than `length` lose nothing; a repeated row (same id, same text) is
-one document and gets one result each time; a null id counts as the largest; an empty table gives an empty result;
-further columns are not read.
+one document and gets one result each time; rows without an id lose nothing and are nobody's earlier copy, nor are
+rows that share an id with another text of a smaller SHA-256; an empty table gives an empty result; further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,6 @@ SEED = 40
 CHUNK, SEGMENT = 1 << 20, 8 << 20
 #: Anchors that a task holds before it sends their seeds, contexts that it merges at a time.
 HELD_SEEDS, HELD_CONTEXTS = 500_000, 40_000
-LAST = (1 << 63) - 1
 LEAD = 16
 #: One anchor of a document: its place, and how far before it the first and the last string start that it stands for.
 PLACE = np.dtype([("at", "<u4"), ("first", "u1"), ("last", "u1")])
@@ -131,7 +131,10 @@ def count_seeds(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             state = np.zeros(len(hashes), dtype=np.uint8)  # 0: seen once here, 1: first of several, 2: known to repeat
             state[order[new & again]] = 1
             state[order[~new]] = 2
-            bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            # mixed again, as an anchor's hash is the least of many. What is known to repeat needs no company: by
+            # document, so that a frequent seed fills no bucket
+            place = mix64(np.where(state == 2, docs.view(np.uint64), hashes))
+            bucket = (place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
             for k in range(buckets):
@@ -380,13 +383,21 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text.alias("text"))
-    ids = staged(rows.select("doc_id", "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("key")), "repeat-ids")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"))
+    ids = staged(rows.select("doc", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("key")), "repeat-ids")
     size = ids.agg(F.sum("n_bytes")).first()[0] or 0
-    classes = ids.groupBy("key").agg(F.min("doc").alias("stand"))
-    ids = staged(ids.join(classes, "key").select("doc_id", "doc", "n_bytes", "key", (F.col("doc") == F.col("stand")).alias("first")), "repeat-ids")
+    valid = F.col("doc").isNotNull()
+    long_enough = rows.where(valid & (F.octet_length("text") >= length))
+    several = ids.where(valid).groupBy("doc").agg(F.min("key").alias("own"), F.max("key").alias("_k")).where("own != _k").select("doc", "own")
+    if not several.isEmpty():  # one id, different texts
+        long_enough = long_enough.join(several, "doc", "left").where(F.col("own").isNull() | (F.sha2("text", 256) == F.col("own")))
+        ids = ids.join(several, "doc", "left").select("doc", "n_bytes", "key", F.coalesce(valid & (F.col("key") == F.coalesce("own", "key")), F.lit(False)).alias("valid"))
+    else:
+        ids = ids.withColumn("valid", valid)
+    long_enough = long_enough.select("doc", "text")
+    classes = ids.where("valid").groupBy("key").agg(F.min("doc").alias("stand"))
+    ids = staged(ids.join(classes, "key", "left").select("doc", "n_bytes", "key", "valid", (F.col("valid") & (F.col("doc") == F.col("stand"))).alias("first")), "repeat-ids")
 
-    long_enough = rows.where(F.octet_length("text") >= length).select("doc", "text")
     seeds = count_seeds(long_enough, length, parts(spark, size, 16e6))
     standing = ids.where(F.col("first") & (F.col("n_bytes") >= length)).select("doc").distinct()
     places = repeated_places(seeds).groupBy("doc").agg(F.collect_list("places").alias("places")).join(standing, "doc")
@@ -397,10 +408,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spans = sorted_buckets(ends, length, parts(spark, n_bytes, 4e6)).union(found.where("context is null").select("doc", F.col("lead").alias("spans")))
     spans = staged(spans, "spans").groupBy("doc").agg(F.collect_list("spans").alias("spans"))
     changed = cut_out(long_enough.join(spans, "doc")).dropDuplicates(["doc"])
-    gone = ~F.col("first") & (F.col("n_bytes") >= length)
+    gone = F.col("valid") & ~F.col("first") & (F.col("n_bytes") >= length)
     out = ids.join(changed, "doc", "left")
     return out.select(
-        "doc_id", "n_bytes",
+        F.col("doc").alias("doc_id"), "n_bytes",
         F.when(gone, F.col("n_bytes")).when(F.col("first"), F.coalesce("n_removed", F.lit(0))).otherwise(0).cast("long").alias("n_removed"),
         F.when(gone, 1).when(F.col("first"), F.coalesce("n_spans", F.lit(0))).otherwise(0).cast("long").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256(b"").hexdigest())).when(F.col("first"), F.coalesce("kept_sha256", "key")).otherwise(F.col("key")).alias("kept_sha256"),
