@@ -77,7 +77,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = arrivals.select("doc_id", "digest").join(state, "digest")
 
     # full bytes, of hits only: members meet replicas of the winner, so that no group meets in one task
-    hits = ids.where("n > 1").select("doc_id", "digest", "keep_id", "n").distinct()
+    # dealt by id before rows are made distinct, else a frequent digest's rows would meet in one task for that
+    hits = ids.where("n > 1").select("doc_id", "digest", "keep_id", "n").repartition("doc_id").distinct()
     texts = rows.select("doc_id", "digest", "text")
     replicas = F.ceil(F.col("n") / COPIES_PER_REPLICA).cast("int")
     members = texts.join(hits, ["doc_id", "digest"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), replicas).cast("int"))
