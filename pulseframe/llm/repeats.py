@@ -47,7 +47,8 @@ class Anchors:
     """Anchors of many texts at a time."""
 
     def __init__(self, length: int, seed: int = SEED):
-        self.length, self.seed = length, min(seed, length)
+        # a string starts at most 255 bytes before its anchor: PLACE keeps that in a byte
+        self.length, self.seed = length, max(min(seed, length), length - 255)
         self.window = length - self.seed + 1
         self.size = 0
 
@@ -105,15 +106,6 @@ class Anchors:
         return hashes, np.array([d for d, _, _ in held], dtype=np.int64)[which], places
 
 
-def by_doc(docs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """A row (doc, places) for each document."""
-    order = np.argsort(docs, kind="stable")
-    docs, places = docs[order], places[order]
-    cuts = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.empty(0, np.int64)
-    packed = [places[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(docs)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(docs[cuts]), pa.array(packed, pa.binary())], ["doc", "places"])
-
-
 def count_seeds(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """(bucket, data): for each seed of a task's documents one record, and every anchor whose seed it saw twice."""
 
@@ -161,7 +153,7 @@ def count_seeds(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def repeated_places(seeds: DataFrame) -> DataFrame:
-    """(doc, places): the anchors whose seed occurs more than once."""
+    """(doc, place): the anchors whose seed occurs more than once; place is at, first and last in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "bucket"):
@@ -180,11 +172,13 @@ def repeated_places(seeds: DataFrame) -> DataFrame:
             h = hashes[order]
             same = h[1:] == h[:-1]
             known[order] = np.concatenate(([False], same)) | np.concatenate((same, [False])) | (state[order] == 1)
-            if known.any():
-                yield by_doc(docs[known], places[known])
+            docs, places = docs[known], places[known]
+            place = (places["at"].astype(np.int64) << 16) | (places["first"].astype(np.int64) << 8) | places["last"]
+            for i in range(0, len(docs), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 50_000]), pa.array(place[i : i + 50_000])], ["doc", "place"])
 
     spread = seeds.repartition(parts(seeds.sparkSession, 0), "bucket").sortWithinPartitions("bucket")
-    return map_batches(spread, run, "doc long, places binary")
+    return map_batches(spread, run, "doc long, place long")
 
 
 class Spans:
@@ -259,7 +253,8 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for doc, text, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                for at, first, last in np.frombuffer(b"".join(packed), dtype=PLACE).tolist():
+                for place in packed:
+                    at, first, last = place >> 16, place >> 8 & 255, place & 255
                     merger.add(doc, at, first, last, data[at - first : at - last + length])
                 if len(merger.kept) >= HELD_CONTEXTS:
                     yield from send()
@@ -395,13 +390,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     else:
         ids = ids.withColumn("valid", valid)
     long_enough = long_enough.select("doc", "text")
-    classes = ids.where("valid").groupBy("key").agg(F.min("doc").alias("stand"))
+    classes = staged(ids.where("valid").groupBy("key").agg(F.min("doc").alias("stand")), "repeat-classes")
     ids = staged(ids.join(classes, "key", "left").select("doc", "n_bytes", "key", "valid", (F.col("valid") & (F.col("doc") == F.col("stand"))).alias("first")), "repeat-ids")
 
     seeds = count_seeds(long_enough, length, parts(spark, size, 16e6))
     standing = ids.where(F.col("first") & (F.col("n_bytes") >= length)).select("doc").distinct()
-    places = repeated_places(seeds).groupBy("doc").agg(F.collect_list("places").alias("places")).join(standing, "doc")
-    # a document can be in no more rows of `places` than there are buckets
+    places = repeated_places(seeds).groupBy("doc").agg(F.collect_list("place").alias("places")).join(standing, "doc")  # a document's own
     found = staged(contexts(long_enough.join(places, "doc"), length), "contexts")
     ends = found.where("context is not null")
     n_bytes = ends.agg(F.sum(F.octet_length("context") + 40)).first()[0] or 0
@@ -420,3 +414,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
+OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+e AS (SELECT doc_id, n, h, unnest(range(0, n, 200)) AS base FROM d),
+b AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 598) AS c FROM e),
+o AS (SELECT doc_id, n, base, c, unnest(range(0, least(200, n - base))) AS i FROM b),
+w AS (SELECT doc_id, base + i AS p, CASE WHEN base + i + 100 <= n THEN md5(substr(c, 2 * i + 1, 200)) END AS k, substr(c, 2 * i + 1, 2) AS x FROM o),
+f AS (SELECT doc_id, p, x, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1 AS again FROM w),
+c AS (SELECT doc_id, p, x, max(CAST(again AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) = 1 AS gone FROM f),
+s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM c),
+g AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS kept FROM s GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
