@@ -9,7 +9,8 @@ each of its small nodes. Only spanning edges leave a task, never all pairs.
 
 Defined cases: a document without words has an empty set, no links and itself as component; with one to four words
 its whole sequence is its one shingle; null text counts as empty; repeated rows are copies with one id; null ids are
-left out of links (component null, not kept); an empty table gives an empty result; other columns are not read.
+left out of links (component null, not kept); ids are taken to be unique: rows with one id and different texts share
+their links; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -340,3 +341,14 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def op7_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM t),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM s LEFT JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) c ON c.a = s.doc_id
+"""

@@ -14,4 +14,9 @@ QUERIES = {
     "op9_pattern_toxicity": toxicity.op9_pattern_toxicity,
     "op10_ring_shards": sharding.op10_ring_shards,
 }
-SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
+SQL = {
+    "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op3_suffix_repeats": repeats.OP3_SQL,
+    "op6_warc_dictionary": warc.OP6_SQL,
+    "op7_chosen_path": near_dedup.OP7_SQL,
+}
