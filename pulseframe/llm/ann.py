@@ -43,25 +43,39 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    """Bucket orders of unit vectors in several tables. A bucket is an axis, or dim + axis for its negative."""
+    """Bucket orders of unit vectors in several tables.
 
-    def __init__(self, dim: int, tables: int, seed: int = 7, rounds: int = 3):
+    A hash is an axis, or dim + axis for its negative; a bucket is one hash, or two of different rotations.
+    """
+
+    def __init__(self, dim: int, tables: int, hashes: int = 1, seed: int = 7, rounds: int = 3):
         self.dim = 1 << max(1, (dim - 1).bit_length())
-        self.signs = np.random.default_rng(seed).choice((-1.0, 1.0), size=(tables, rounds, self.dim))
+        self.signs = np.random.default_rng(seed).choice((-1.0, 1.0), size=(tables, hashes, rounds, self.dim))
 
     def probes(self, x: np.ndarray, count: int) -> np.ndarray:
-        """(tables, rows, count): each row's nearest signed axes, nearest first."""
+        """(tables, rows, count): each row's buckets, those of the largest coordinates (or sums of two) first."""
         x = np.pad(x, ((0, 0), (0, self.dim - x.shape[1])))
         out = []
-        for rounds in self.signs:
-            y = x
-            for signs in rounds:
-                y = hadamard(y * signs)
-            y = np.concatenate((y, -y), axis=1)
-            near = np.argpartition(-y, count - 1, axis=1)[:, :count] if count < y.shape[1] else np.tile(np.arange(y.shape[1]), (len(y), 1))
-            out.append(np.take_along_axis(near, np.argsort(-np.take_along_axis(y, near, axis=1), axis=1, kind="stable"), axis=1))
+        for table in self.signs:
+            bucket, score = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
+            for rounds in table:
+                y = x
+                for signs in rounds:
+                    y = hadamard(y * signs)
+                y = np.concatenate((y, -y), axis=1)
+                axis, y = self._largest(np.broadcast_to(np.arange(y.shape[1]), y.shape), y, count)
+                bucket = (bucket[:, :, None] * (2 * self.dim) + axis[:, None, :]).reshape(len(x), -1)
+                score = (score[:, :, None] + y[:, None, :]).reshape(len(x), -1)
+                bucket, score = self._largest(bucket, score, count)
+            out.append(bucket)
         return np.stack(out)
 
+    @staticmethod
+    def _largest(items: np.ndarray, score: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.argpartition(-score, count - 1, axis=1)[:, :count] if count < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(score), 1))
+        at = np.take_along_axis(at, np.argsort(-np.take_along_axis(score, at, axis=1), axis=1, kind="stable"), axis=1)
+        return np.take_along_axis(items, at, axis=1), np.take_along_axis(score, at, axis=1)
+
 
 def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(query ids, ids, scores) of each query's k largest inner products, its own id left out; ties to smaller ids."""
@@ -105,8 +119,13 @@ def meet(rows: DataFrame, k: int) -> DataFrame:
     return map_batches(spread.select("unit", "vec_id", "vector", "is_query"), run, FOUND)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row that is_query (a Column) marks."""
+def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: int = 16, hashes: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row that is_query (a Column) marks.
+
+    Two hashes make buckets far smaller, for tables of many millions of vectors, and need more probes for a recall.
+    """
+    if hashes not in (1, 2):
+        raise ValueError("a bucket is one hash or two")
     spark = vectors.sparkSession
     value = F.col(vector_col).cast("array<double>")
     sound = F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
@@ -120,12 +139,12 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: i
     dim, longest = top["d"], top["longest"]
     lift = top["shortest"] < longest * (1 - 1e-4)
     rows = rows.where(F.size("v") == dim)
-    machine_dim, buckets = dim + lift, 2 * (1 << max(1, (dim + lift - 1).bit_length()))
+    machine_dim, buckets = dim + lift, (2 << max(1, (dim + lift - 1).bit_length())) ** hashes
     probes = min(probes, buckets)
 
     def hash_rows(count: int, asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = CrossPolytope(machine_dim, tables)
+            machine = CrossPolytope(machine_dim, tables, hashes)
             for b in batches:
                 if not b.num_rows:
                     continue
@@ -148,7 +167,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: i
 
     schema = "bucket long, vec_id long, vector binary"
     stored = staged(map_batches(rows.select("vec_id", "v"), hash_rows(1, False), schema), "index")
-    sizes = stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # tables * buckets rows at most
+    sizes = stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # tables * buckets rows at most: 8 * 128 ** 2 with two hashes of 64 axes
     cuts = F.broadcast(sizes.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("cuts")))
     held = stored.join(cuts, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int")).alias("unit"), "vec_id", "vector", F.lit(False).alias("is_query"))
     asked = map_batches(rows.where("is_query").select("vec_id", "v"), hash_rows(probes, True), schema).join(cuts, "bucket")

@@ -365,6 +365,18 @@ def test_search_recall_and_ties(spark, sf):
     assert hits >= 0.9 * 20 * (ids % 20 == 0).sum() and (found.groupby("query_id").size() == 20).all()
 
 
+def test_two_hashes(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    frame = vectors.toPandas()
+    x, ids = np.stack(frame.embedding.to_numpy()).astype(float), frame.vec_id.to_numpy()
+    found = ann.search(vectors, F.col("vec_id") == 0, k=20, probes=1000, hashes=2).toPandas()
+    score = x @ x[ids == 0][0]
+    score[ids == 0] = -9
+    assert len(set(found.vec_id) & set(ids[np.lexsort((ids, -score))][:20])) >= 12
+    one = ann.CrossPolytope(64, 2, 2).probes(x[:50] / np.linalg.norm(x[:50], axis=1, keepdims=True), 7)
+    assert one.shape == (2, 50, 7) and one.max() < 128**2 and all(len(set(r)) == 7 for r in one.reshape(-1, 7))
+
+
 def test_search_edges(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (20, [0.0, 2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (5, [0.0, 0.0, 0.0]), (6, None), (7, [1.0, None, 0.0]), (8, [float("nan"), 0.0, 1.0]), (9, [1.0, float("inf"), 0.0]), (10, [1.0]), (11, [5.0, 5.0, 5.0]), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, unit int, score int")
