@@ -35,7 +35,8 @@ def run_state(arrivals: DataFrame, checkpoint: str) -> None:
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else each open partition holds 4 MB of local disk
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
