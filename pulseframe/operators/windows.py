@@ -19,7 +19,7 @@ def label_windows(labels: DataFrame, signals: DataFrame, key: str = "reading_id"
     at = bounds(signals)
     first = F.greatest(F.ceil((F.col("t") - half - F.col("mn")) / MINUTE).cast("long"), F.lit(0).cast("long"))
     last = F.floor((F.least(F.col("t") + half, F.col("mx")) - F.col("mn")) / MINUTE).cast("long")
-    near = labels.select(key, "user_id", "t").join(F.broadcast(at), "user_id").withColumn("_k0", first).withColumn("_k1", last).where("_k1 - _k0 + 1 >= " + str(n))
+    near = labels.select(key, "user_id", "t").join(at, "user_id").withColumn("_k0", first).withColumn("_k1", last).where("_k1 - _k0 + 1 >= " + str(n))
     probes = near.select(key, "user_id", "data_type", F.explode(F.sequence("_k0", "_k1")).alias("_k"), "mn").withColumn("t", F.col("mn") + F.col("_k") * MINUTE).drop("_k", "mn")
     values = asof_backward(probes, signals, ["user_id", "data_type"], {"value": "value"})
     bins = values.groupBy(key, "data_type", F.floor(F.col("t") / bin_size).cast("long").alias("bin")).agg(F.avg("value").alias("v"))

@@ -29,6 +29,15 @@ def build_features(readings: DataFrame, signals: DataFrame, stress: DataFrame, m
     return wide.withColumns(calendar_features(wall_clock(F.col("t"))))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that it is made once and survives lost executors."""
+    from ..sources.paths import scratch
+
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_windows(readings: DataFrame, signals: DataFrame, seed: int = 42) -> DataFrame:
     """Windows around spikes and sampled quiet minutes, each with the split of its day; users without a split are left out."""
     from ..operators.splits import day_split_retry
@@ -40,7 +49,7 @@ def build_windows(readings: DataFrame, signals: DataFrame, seed: int = 42) -> Da
     more = T.top_up_negatives(pos, neg, T.negative_candidates(signals, pos), seed)
     labels = marked.select("user_id", "t", F.col("BP_spike").alias("state_val"), F.concat(F.lit("r"), F.col("reading_id").cast("string")).alias("label_id"))
     labels = labels.unionByName(more.select("user_id", (F.col("minute") * T.MINUTE).alias("t"), F.lit(0).cast("long").alias("state_val"), F.concat_ws(":", F.lit("n"), F.col("user_id"), F.col("minute")).alias("label_id")))
-    made = N.label_windows(labels, signals, key="label_id").withColumn("day", C.day("t"))
+    made = written(N.label_windows(labels, signals, key="label_id").withColumn("day", C.day("t")), "windows")  # counted, then split
     per_day = made.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("state_val").alias("pos"))
     return made.join(day_split_retry(per_day, seed), ["user_id", "day"])
 
