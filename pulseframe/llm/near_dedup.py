@@ -30,7 +30,9 @@ SKETCH = 64
 CHUNK = 1 << 20
 #: Most documents, and most shingles together, that a small node or loose cluster compares exhaustively.
 NODE_DOCS, NODE_SHINGLES = 2000, 3_000_000
-DEEPEST = 48
+#: Levels below a root after which a node that is still large (documents that agree on nearly all tokens) is cut into
+#: random blocks of about NODE_DOCS, others in each node and tree. Bounds a document's places by (1 / similarity) ** DEEPEST a tree.
+DEEPEST = 12
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -290,9 +292,9 @@ def small_nodes(stands: DataFrame, similarity: float) -> DataFrame:
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sizes = staged(sizes, "node-sizes")
         last = depth == DEEPEST - 1
-        leaves = nodes.join(sizes if last else sizes.where(F.col("n") <= NODE_DOCS), "node").select("node", "doc_id")
-        if last:  # what no path could part is compared in blocks of its members by hash
-            leaves = leaves.select(F.xxhash64("node", F.pmod(F.xxhash64("doc_id"), F.lit(64))).alias("node"), "doc_id")
+        leaves = nodes.join(sizes if last else sizes.where(F.col("n") <= NODE_DOCS), "node")
+        block = F.pmod(F.xxhash64("node", "doc_id"), F.ceil(F.col("n") / NODE_DOCS))
+        leaves = leaves.select(F.when(F.col("n") <= NODE_DOCS, F.col("node")).otherwise(F.xxhash64("node", block)).alias("node"), "doc_id")
         small = leaves if small is None else small.union(leaves)
         large = sizes.where(F.col("n") > NODE_DOCS)
         if large.isEmpty():

@@ -447,3 +447,13 @@ def test_empty_tables(spark, sf, tmp_path, name):
     for t in ("documents", "pages", "embeddings", "labels"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_of_one_dense_group(spark, monkeypatch):
+    """Far more nearly equal documents than a small node holds, which no token parts: random blocks join them."""
+    monkeypatch.setattr(near_dedup, "NODE_DOCS", 16)
+    monkeypatch.setattr(near_dedup, "DEEPEST", 4)
+    base = words(400, 1, 5000)
+    rows = [(i, f"{base} tail{i}") for i in range(120)] + [(500, words(50, 3))]
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), 80).collect()}
+    assert found[500] == 500 and {found[i] for i in range(120)} == {0}
