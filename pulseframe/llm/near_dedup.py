@@ -5,7 +5,8 @@ smallest id stands for it. Standing documents enter several independent trees: a
 the children named by minwise tokens at positions that the node selects, 1/similarity of them on average, until a
 node is small. Small nodes are compared exhaustively on sketches; what looks similar forms loose clusters. Links are
 then confirmed on full sets: within a loose cluster, or, for a cluster beyond the limits of a small node, within
-each of its small nodes. Only spanning edges leave a task, never all pairs.
+each of its small nodes and then, between what is not joined yet, by an exact join on prefixes of the sets. A node
+that no token parts is such a cluster. Only spanning edges leave a task, never all pairs.
 
 Defined cases: a document without words has an empty set, no links and itself as component; with one to four words
 its whole sequence is its one shingle; null text counts as empty; repeated rows are copies with one id; null ids are
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, map_batches, mix64, parts, staged, table
@@ -31,7 +33,8 @@ CHUNK = 1 << 20
 #: Most documents, and most shingles together, that a small node or loose cluster compares exhaustively.
 NODE_DOCS, NODE_SHINGLES = 2000, 3_000_000
 #: Levels below a root after which a node that is still large (documents that agree on nearly all tokens) is cut into
-#: random blocks of about NODE_DOCS, others in each node and tree. Bounds a document's places by (1 / similarity) ** DEEPEST a tree.
+#: random blocks of about NODE_DOCS, others in each node and tree, which join what is dense; the rest of its links come
+#: from the join on prefixes. Bounds a document's places by (1 / similarity) ** DEEPEST a tree.
 DEEPEST = 12
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -274,8 +277,11 @@ def confirmed_edges(members: DataFrame, words: int, percent: int) -> DataFrame:
     return map_batches(members, run, "a long, b long")
 
 
-def small_nodes(stands: DataFrame, similarity: float) -> DataFrame:
-    """node, doc_id of every node with 2 to NODE_DOCS documents, over all trees. stands: doc_id, tokens, roots."""
+def small_nodes(stands: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame | None]:
+    """node, doc_id of every node with 2 to NODE_DOCS documents, over all trees, and edges (a, b) that hold each node together that was cut into blocks, if any was.
+
+    stands: doc_id, tokens, roots.
+    """
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,6 +293,7 @@ def small_nodes(stands: DataFrame, similarity: float) -> DataFrame:
 
     nodes = stands.select(F.explode("roots").alias("node"), "doc_id")
     small: DataFrame | None = None
+    whole: DataFrame | None = None
     for depth in range(DEEPEST):
         nodes = staged(nodes, "nodes")
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -299,8 +306,61 @@ def small_nodes(stands: DataFrame, similarity: float) -> DataFrame:
         large = sizes.where(F.col("n") > NODE_DOCS)
         if large.isEmpty():
             break
+        if last:
+            held = nodes.join(large, "node")
+            whole = held.groupBy("node").agg(F.min("doc_id").alias("a")).join(held.select("node", F.col("doc_id").alias("b")), "node").where("a != b").select("a", "b").distinct()
+            break
         nodes = map_batches(nodes.join(large, "node").select("node", "doc_id").join(stands.select("doc_id", "tokens"), "doc_id").select("node", "doc_id", "tokens"), deeper, "node long, doc_id long")
-    return small
+    return small, whole
+
+
+def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    """A row for each distinct shingle of each row of texts, n: how many there are. texts: component, doc_id, copy, joined, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for (*row, _), own in shingler.stream(rows):
+                columns = [pa.array(np.full(len(own), v, dtype=np.int64)) for v in (*row, len(own))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(own.view(np.int64))], ["component", "doc_id", "copy", "joined", "n", "shingle"])
+
+    return map_batches(texts.select("component", "doc_id", "copy", "joined", "text"), run, "component long, doc_id long, copy long, joined long, n long, shingle long")
+
+
+def prefix_units(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """unit, component, doc_id, copy such that two rows of one component, joined differently, share a unit if they are linked.
+
+    Shingles of a component are ordered from rare to frequent. Of two linked sets of n or more, at least
+    ceil(percent * n / 100) are common, so their prefixes without all but one of so many share a shingle. A shingle
+    whose rows are beyond the limits of a small node becomes one unit for each two blocks of them, except for two
+    blocks of those that are joined already. Shingles with the same rows count once.
+    """
+    shingles = staged(shingle_rows(texts, words), "cluster-shingles")
+    often = shingles.groupBy("component", "shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    own = W.partitionBy("component", "doc_id", "copy")
+    ranked = shingles.join(often, ["component", "shingle"]).withColumn("met", F.count(F.lit(1)).over(own)).withColumn("rank", F.row_number().over(own.orderBy("often", "shingle")))
+    prefix = staged(ranked.where(F.col("rank") + F.ceil(F.col("n") * percent / 100) <= F.col("met") + 1).select("component", "shingle", "doc_id", "copy", "joined", "n"), "prefixes")
+    by_joined = prefix.groupBy("component", "shingle", "joined").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("doc_id", "copy")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "copy", "doc_id")).alias("y"),
+    )
+    lists = by_joined.groupBy("component", "shingle").agg(
+        F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.count(F.lit(1)).alias("kinds"), F.max(F.struct("rows", "weight", "joined")).alias("most"),
+    )
+    lists = lists.where("kinds > 1").groupBy("component", "rows", "weight", "x", "y").agg(F.min(F.struct("shingle", "most")).alias("l"))
+    blocks = lambda rows, weight: F.greatest(F.ceil(2 * rows / NODE_DOCS), F.ceil(2 * weight / NODE_SHINGLES)).cast("long")
+    most = F.col("l.most")
+    lists = lists.select(
+        "component", F.col("l.shingle").alias("shingle"), most["joined"].alias("main"), ((F.col("rows") <= NODE_DOCS) & (F.col("weight") <= NODE_SHINGLES)).alias("fits"),
+        blocks(most["rows"], most["weight"]).alias("k"), blocks(F.col("rows") - most["rows"], F.col("weight") - most["weight"]).alias("m"),
+    )
+    placed = prefix.join(staged(lists, "prefix-lists"), ["component", "shingle"])
+    draw, is_main = F.xxhash64("doc_id"), F.col("joined") == F.col("main")
+    placed = placed.withColumn("block", F.when(F.col("fits"), F.lit(0)).when(is_main, F.pmod(draw, F.col("k"))).otherwise(F.col("k") + F.pmod(draw, F.col("m"))).cast("long"))
+    first = F.when(is_main, F.col("k")).otherwise(F.lit(0).cast("long"))
+    others = F.when(F.col("fits"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first, F.col("k") + F.col("m") - 1))
+    placed = placed.withColumn("other", F.explode(others)).where("fits or other != block")
+    return placed.select(F.xxhash64("component", "shingle", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "component", "doc_id", "copy")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,10 +375,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: i
     classes = staged(sized.groupBy("set_key").agg(F.min("doc_id").alias("stand")), "set-classes")
     stands = sized.join(classes.select(F.col("stand").alias("doc_id"), "set_key"), ["doc_id", "set_key"]).select("doc_id", "n_shingles", "tokens", "roots").dropDuplicates(["doc_id"])
     stands = staged(stands, "stands")
-    nodes = staged(small_nodes(stands, similarity), "small-nodes")
+    nodes, whole_nodes = small_nodes(stands, similarity)
+    nodes = staged(nodes, "small-nodes")
     tasks = parts(spark, 0)
     members = nodes.join(stands.select("doc_id", "n_shingles", "tokens"), "doc_id").select("node", "doc_id", "n_shingles", "tokens")
-    loose = staged(loose_edges(members.repartition(tasks, "node").sortWithinPartitions("node"), similarity), "loose-edges")
+    loose = loose_edges(members.repartition(tasks, "node").sortWithinPartitions("node"), similarity)
+    loose = staged(loose.union(whole_nodes) if whole_nodes is not None else loose, "loose-edges")
     clusters = staged(components(loose), "clusters")
     sizes = clusters.join(stands.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
     fits = (F.col("n") <= NODE_DOCS) & (F.col("shingles") <= NODE_SHINGLES)
@@ -329,6 +391,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: i
     texts = rows.join(units, "doc_id").select("unit", "doc_id", "text")
     edges = staged(confirmed_edges(texts.repartition(tasks, "unit").sortWithinPartitions("unit"), words, percent), "links")
     found = components(edges)
+    beyond = sizes.where("not fits")
+    if not beyond.isEmpty():
+        found = staged(found, "joined")
+        within = clusters.join(beyond.select("component"), "component").withColumnRenamed("node", "doc_id")
+        within = within.join(found.select(F.col("node").alias("doc_id"), F.col("component").alias("at")), "doc_id", "left").select("component", "doc_id", F.coalesce("at", "doc_id").alias("joined"))
+        within = staged(within, "within")
+        apart = within.groupBy("component").agg(F.min("joined").alias("a"), F.max("joined").alias("b")).where("a != b").select("component")
+        copies = rows.join(within.join(apart, "component"), "doc_id").dropDuplicates(["doc_id", "text"])
+        copies = staged(copies.withColumn("copy", F.xxhash64("text")), "cluster-texts")
+        texts = copies.join(prefix_units(copies, words, percent), ["component", "doc_id", "copy"]).select("unit", "doc_id", "text")
+        more = staged(confirmed_edges(texts.repartition(tasks, "unit").sortWithinPartitions("unit"), words, percent), "more-links")
+        found = components(edges.union(more))
     by_class = classes.join(found.withColumnRenamed("node", "stand"), "stand", "left").select("set_key", F.coalesce("component", "stand").alias("component_id"))
     out = seen.select("doc_id", "n_shingles", "set_key").join(by_class, "set_key", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))

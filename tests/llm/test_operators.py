@@ -457,3 +457,26 @@ def test_near_duplicates_of_one_dense_group(spark, monkeypatch):
     rows = [(i, f"{base} tail{i}") for i in range(120)] + [(500, words(50, 3))]
     found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), 80).collect()}
     assert found[500] == 500 and {found[i] for i in range(120)} == {0}
+
+
+def template_rows():
+    """Texts on one template, at 0.81 of each other; a few that are linked to one other at 0.90; a dense group, and a few that are linked to one of it."""
+    base = words(90, 1, 5000)
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    rows = [(i, f"{base} {own(i, 10)}") for i in range(160)]
+    rows += [(1000 + 10 * i + side, f"{base} {own(1000 + i, 5)} {own(2000 + 10 * i + side, 5)}") for i in range(20) for side in (0, 1)]
+    rows += [(3000 + i, f"{base} d1 d2 d3 d4 d5 d6 d7 {own(3000 + i, 3)}") for i in range(40)]
+    return rows + [(4000 + i, f"{base} {own(4000 + i, 3)} d4 d5 d6 d7 {own(3000 + i, 3)}") for i in range(4)]
+
+
+@pytest.mark.parametrize("deepest", [3, 12])
+def test_near_duplicates_of_sparse_links_in_a_large_group(spark, monkeypatch, deepest):
+    """Pairs linked only to each other, in a group far larger than a small node, with the trees that the query uses."""
+    monkeypatch.setattr(near_dedup, "NODE_DOCS", 16)
+    monkeypatch.setattr(near_dedup, "DEEPEST", deepest)
+    rows = template_rows()
+    found = near_dedup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), 85).collect()
+    want = brute_components(rows, 85)
+    assert {want[1000 + 10 * i + 1][1] for i in range(20)} == {1000 + 10 * i for i in range(20)}
+    assert {want[i][1] for i in (*range(3000, 3040), *range(4000, 4004))} == {3000}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
