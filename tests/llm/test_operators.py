@@ -220,6 +220,22 @@ def test_extract_differences_near_urls(spark):
     assert found[1] == "first" and found[3] == "Site name third All rights" and found[4] == "" and len(found) == 5
 
 
+@pytest.mark.parametrize("range_bytes", [8e6, 400])
+def test_extract_differences_on_every_page_and_over_ranges(spark, monkeypatch, range_bytes):
+    """Pages with a small article keep own text in plain divs; partners are the nearest other pages, whatever range they are in."""
+    monkeypatch.setattr(html_extract, "RANGE_BYTES", range_bytes)
+    r, rows, want = random.Random(3), [], {}
+    for host in ("a.org", "b.org"):
+        own = [r.choice(["same", "same", "same", "other", f"alone{i}", None]) for i in range(40)]
+        for i, x in enumerate(own):
+            page = f"<body><div>Site {host}</div><article>News</article><div>{x}</div><div>All rights</div></body>" if x else "<body><article>News</article></body>"
+            rows.append((len(rows), f"http://{host}/x/{i:03}", page))
+            near = [next((y for y in side if y and y != x), None) for side in (own[:i][::-1], own[i + 1 :])]
+            want[len(rows) - 1] = f"News {x}" if x and any(near) else "News"
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows) and {p["page_id"]: p["text"] for p in found} == want
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_longest_common_subsequence(seed):
     r = random.Random(seed)
