@@ -186,8 +186,54 @@ def kcenter_seed(df: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     return _picks(df, [first[0], *farthest_first(df, rest, lambda x: F.col("min_dist"), k - 1, key, vector)], key)
 
 
-def kmeans_query(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector: str, seed: int = 42) -> DataFrame:
-    """cluster, key of the pool row nearest to each of k centres fitted on the pool."""
+def lloyd_step(pool: DataFrame, centers: np.ndarray, vector: str) -> np.ndarray:
+    """The mean of the rows nearest to each centre; a centre without rows stays."""
+
+    def sums(frames):
+        for f in frames:
+            if len(f):
+                z = np.array(f[vector].tolist(), dtype=float)
+                # differences one centre at a time: ties go to the first centre
+                own = np.argmin(np.stack([((z - c) ** 2).sum(1) for c in centers], axis=1), axis=1)
+                for j in np.unique(own):
+                    yield pd.DataFrame({"cluster": [int(j)], "n": [int((own == j).sum())], "total": [z[own == j].sum(0).tolist()]})
+
+    ship(pool.sparkSession)
+    parts = pool.select(vector).mapInPandas(sums, "cluster long, n long, total array<double>")
+    means = parts.select("cluster", "n", F.posexplode("total")).groupBy("cluster", "pos").agg((F.sum("col") / F.sum("n")).alias("m")).collect()  # k rows of a row's width
+    out = centers.copy()
+    for r in means:
+        out[r["cluster"], r["pos"]] = r["m"]
+    return out
+
+
+def kmeans_query(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector: str, max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
+    """cluster, key of k picks: for each of k centres fitted on the pool, the nearest row not picked yet (ties to smaller ids).
+
+    Centres start as the labelled centroid (without labelled rows the pool's) and farthest-first picks from it. Only
+    the centres and one row for each come to the driver.
+    """
+    kind = dict(pool.dtypes)[key]
+    k, picked = min(k, pool.count()), []
+    if k > 0:
+        mean = lambda df: [r["m"] for r in df.select(F.posexplode(vector)).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()]  # noqa: E731  a row's width
+        anchor = mean(labeled) or mean(pool)
+        start = pool.select(key, vector, distance_to(vector, anchor).alias("min_dist"))
+        ids = farthest_first(pool, start, lambda df: F.col("min_dist"), k - 1, key, vector)
+        data = pool.select(key, vector).checkpoint()
+        at = {r[0]: r[1] for r in data.where(F.col(key).isin(ids)).collect()}  # k rows
+        centers = np.array([anchor, *(at[i] for i in ids)], dtype=float)
+        for _ in range(max_iter):
+            before, centers = centers, lloyd_step(data, centers, vector)
+            if np.linalg.norm(centers - before) <= tol:
+                break
+        for c in centers:
+            picked.append(data.where(~F.col(key).isin(picked)).orderBy(distance_to(vector, c.tolist()), key).first()[0])
+    return pool.sparkSession.createDataFrame(list(enumerate(picked)), f"cluster long, `{key}` {kind}")
+
+
+def kmeans_nearest(pool: DataFrame, k: int, key: str, vector: str, seed: int = 42) -> DataFrame:
+    """cluster, key of the pool row nearest to each of k centres that Spark's k-means fits on the pool."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -202,7 +248,7 @@ def kmeans_query(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector:
 def centroid_seed(df: DataFrame, n_per_class: int, key: str, vector: str, label: str = "state_val", seed: int = 42) -> DataFrame:
     """label, cluster, key: for each class the rows nearest to its n centres."""
     classes = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]  # a row for each class
-    parts = [kmeans_query(df, df.where(F.col(label) == c), n_per_class, key, vector, seed).withColumn(label, F.lit(c)) for c in classes]
+    parts = [kmeans_nearest(df.where(F.col(label) == c), n_per_class, key, vector, seed).withColumn(label, F.lit(c)) for c in classes]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -216,7 +262,7 @@ def pca_kcenter_split(df: DataFrame, n: int, key: str, vector: str, dims: int =
 
     data = df.select(key, array_to_vector(F.col(vector)).alias("features"))
     low = PCA(k=dims, inputCol="features", outputCol="low").fit(data).transform(data).select(key, vector_to_array("low").alias(vector))
-    picked = kmeans_query(low, low, n, key, vector, seed).select(key, F.lit(True).alias("labeled"))
+    picked = kmeans_nearest(low, n, key, vector, seed).select(key, F.lit(True).alias("labeled"))
     return df.select(key).join(picked, key, "left").na.fill(False, ["labeled"])
 
 

@@ -1,5 +1,6 @@
 """Small fixtures with literal results for the edges of the operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,26 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bad" / "a.csv").write_text("a,b\n1,2\nx,3,4\n")
     good, bad = readers.read_csv_guarded(spark, str(tmp_path / "bad"), "a int, b int")
     assert [tuple(r) for r in good.collect()] == [(1, 2)] and bad.count() == 1
+
+
+@pytest.mark.parametrize("at", [0.0, 9.0])
+def test_kmeans_query_starts_from_the_labelled_centroid(spark, at):
+    r = np.random.default_rng(4)
+    z = np.concatenate([r.normal(c, 0.8, (12, 2)) for c in ((0, 0), (5, 1), (2, 7))])
+    lab = np.array([[at, 0.0], [at, 4.0]])
+    df = lambda rows: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, z array<double>")
+    found = {x["cluster"]: x["id"] for x in V.kmeans_query(df(lab), df(z), 5, "id", "z").collect()}
+    far = lambda c: np.linalg.norm(z[:, None] - np.array(c)[None], axis=2)
+    centers = [lab.mean(0)]
+    while len(centers) < 5:
+        centers.append(z[far(centers).min(1).argmax()])
+    centers = np.array(centers)
+    for _ in range(50):
+        own = far(centers).argmin(1)
+        centers = np.array([z[own == j].mean(0) if (own == j).any() else c for j, c in enumerate(centers)])
+    used = []
+    for j in range(5):
+        used.append(next(i for i in far(centers)[:, j].argsort() if i not in used))
+    assert found == dict(enumerate(used))
+    # more centres than rows, and rows that are all alike: every row is picked once
+    assert sorted(x["id"] for x in V.kmeans_query(df(lab), df(np.ones((3, 2))), 5, "id", "z").collect()) == [0, 1, 2]
