@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, staged, table
+from .common import WORD, discard, staged, table
 
 #: Rows of one (source, size) class that share a window when copies are dealt out.
 CLASS_PART = 20_000
@@ -74,7 +74,8 @@ def solve_dual(classes: DataFrame, targets: DataFrame, cap: float, steps: int =
         step = F.when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2)
         gap = F.abs(F.col("got") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))
         moved = moved.withColumn("lam", F.when(gap <= tolerance, F.col("lam")).otherwise(step)).withColumn("gap", gap)
-        dual = staged(moved.select("source", "source_size", "target", "scale", "lam", "lo", "hi", "gap"), "dual")
+        last, dual = dual, staged(moved.select("source", "source_size", "target", "scale", "lam", "lo", "hi", "gap"), "dual")
+        discard(last)
         worst = dual.agg(F.max("gap")).first()[0]
         if worst is None or worst <= tolerance:
             break
@@ -110,7 +111,9 @@ def round_rates(classes: DataFrame, dual: DataFrame, cap: float, rounds: int = 1
 def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"))
+    # rows without an id are told apart by their texts, so that they do not meet in one task
+    spot = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), spot.alias("spot"))
     rows = staged(rows, "mix-rows")
     classes = staged(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-classes")
     totals = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -125,8 +128,8 @@ def mix(docs: DataFrame, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3), id_
     spread = F.ceil(F.col("n") / CLASS_PART).cast("int")
     key = [F.col("r.source").eqNullSafe(F.col("k.source")), F.col("r.size") == F.col("k.size")]
     met = rows.alias("r").join(dealt.alias("k"), reduce(lambda a, b: a & b, key), "left")
-    met = met.select("r.doc_id", "r.source", "r.size", F.coalesce("k.n", F.lit(1)).alias("n"), F.coalesce("k.copies", F.lit(0)).alias("all_copies"))
-    met = met.withColumn("spot", F.xxhash64(F.coalesce("doc_id", F.lit(-1)))).withColumn("part", F.pmod("spot", spread).cast("int"))
+    met = met.select("r.doc_id", "r.source", "r.size", "r.spot", F.coalesce("k.n", F.lit(1)).alias("n"), F.coalesce("k.copies", F.lit(0)).alias("all_copies"))
+    met = met.withColumn("part", F.pmod("spot", spread).cast("int"))
     large = met.where(F.col("n") > CLASS_PART).groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("here"))
     upto = large.withColumn("upto", F.sum("here").over(W.partitionBy("source", "size").orderBy("part"))).select(F.col("source").alias("s2"), F.col("size").alias("z2"), F.col("part").alias("p2"), "upto", "here")
     met = met.join(upto, F.col("source").eqNullSafe(F.col("s2")) & (F.col("size") == F.col("z2")) & (F.col("part") == F.col("p2")), "left").drop("s2", "z2", "p2")
