@@ -1,9 +1,10 @@
 """Exact deduplication by a stream over keyed state on disk. DataFrame operations only.
 
-Each arriving row is a digest, a stable identifier and a content locator. A streaming aggregation keeps, per
-digest and without expiry, the winning identifier with its locator and the number of arrivals in RocksDB state
-below the shared checkpoint folder. Rows that hit a digest seen before are then compared with the winner's full
-bytes; rows that share the digest but not the bytes form groups of their own.
+Each arriving row is a digest, a stable identifier and a content locator (file and row in it). A streaming
+aggregation keeps, per digest and without expiry, the winning identifier with its locator and the number of arrivals
+in RocksDB state below the shared checkpoint folder. Rows that hit a digest seen before are then compared with the
+winner's full bytes, which its locator fetches; rows that share the digest but not the bytes form groups of their own.
+Hits are written first, so that their size is known and a few of them need not move the texts.
 
 Defined cases: null text counts as empty; a repeated row counts as one more copy; a null identifier loses against
 any other and is not compared byte by byte; an empty table gives an empty result; columns beyond id and text are
@@ -13,11 +14,13 @@ ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shared_dir, staged, table
+from .common import free_name, new_path, shared_dir, staged, table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Copies that one replica of a winner's text is compared with.
@@ -67,7 +70,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.input_file_name().alias("locator"))
+    wanted = [F.col(id_col).cast("long").alias("doc_id"), text.alias("text")]
+    place = F.concat_ws("#", "_metadata.file_path", "_metadata.row_index").alias("locator")
+    try:
+        rows = docs.select(*wanted, place)
+    except AnalysisException:  # not the rows of files: they are written, and found there
+        rows = staged(docs.select(*wanted), "texts").select("doc_id", "text", place)
     rows = rows.withColumn("digest", digest(F.col("text")))
     arrivals = staged(rows.select("digest", "doc_id", "locator"), "arrivals")
     if not arrivals.inputFiles():
@@ -79,11 +87,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # full bytes, of hits only: members meet replicas of the winner, so that no group meets in one task
     # dealt by id before rows are made distinct, else a frequent digest's rows would meet in one task for that
-    hits = ids.where("n > 1").select("doc_id", "digest", "keep_id", "n").repartition("doc_id").distinct()
+    hits = staged(ids.where("n > 1").select("doc_id", "digest", "n").repartition("doc_id").distinct(), "hits")
     texts = rows.select("doc_id", "digest", "text")
     replicas = F.ceil(F.col("n") / COPIES_PER_REPLICA).cast("int")
     members = texts.join(hits, ["doc_id", "digest"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), replicas).cast("int"))
-    winners = texts.join(state.where("n > 1").select(F.col("keep_id").alias("doc_id"), "digest", "n"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    held = staged(state.where("n > 1 and keep_id is not null").select("locator", "n"), "winners")
+    winners = rows.select("locator", "digest", "text").join(held, "locator")
     winners = winners.select("digest", F.col("text").alias("keep_text"), F.explode(F.sequence(F.lit(0), replicas - 1)).alias("part"))
     odd = staged(members.join(winners, ["digest", "part"]).where("text != keep_text").select("doc_id", "digest", "text"), "dedup-collisions")
 
@@ -101,10 +110,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the copies that exact_dedup drops, with the columns of docs."""
-    keys = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    same = docs[id_col].cast("long").eqNullSafe(keys["_keep_id"]) & (sha256_text(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == keys["_keep_digest"])
-    return docs.join(keys, same, "left_semi")
+    """docs with one row of each text, that of the largest id, with the columns of docs. Of rows with one id and text one stays."""
+    keys = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(0)).alias("_keep_id"), F.col("doc_id").isNull().alias("_keep_null"), F.col("digest").alias("_keep_digest"))
+    own = ["id", "null", "digest"]
+    names = [free_name(docs, f"_own_{x}") for x in own]
+    key = F.col(id_col).cast("long")
+    rows = docs.withColumns(dict(zip(names, (F.coalesce(key, F.lit(0)), key.isNull(), sha256_text(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), strict=True)))
+    same = [rows[n] == keys[f"_keep_{x}"] for n, x in zip(names, own, strict=True)]
+    return rows.join(keys, reduce(lambda a, b: a & b, same), "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
