@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -115,26 +117,44 @@ def lines(page: str | None) -> list[tuple[int, str]]:
 
 
 def shared(a: list[str], b: list[str]) -> set[int]:
-    """Indices in a of a longest common subsequence of a and b."""
+    """Indices in a of a longest common subsequence of a and b.
+
+    Bit-parallel: after each line of b, a number has a 0 at every place of a where the longest subsequence so far grows.
+    Numbers are kept at every step-th line only and made again on the way back, so that long pages need little memory.
+    """
     known = set(b)
     keep = [i for i, x in enumerate(a) if x in known]
     seen = set(a)
     right = [x for x in b if x in seen]
-    left = [a[i] for i in keep]
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i in range(len(left) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(right) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if left[i] == right[j] else max(below[j], row[j + 1])
-    out, i, j = set(), 0, 0
-    while i < len(left) and j < len(right):
-        if left[i] == right[j]:
-            out.add(keep[i])
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
+    at: dict[str, list[int]] = {}
+    for i, k in enumerate(keep):
+        at.setdefault(a[k], []).append(i)
+    masks = {x: sum(1 << i for i in places) if len(places) < 64 else int.from_bytes(np.packbits(np.bincount(places, minlength=len(keep)).astype(bool), bitorder="little").tobytes(), "little") for x, places in at.items()}
+    every = (1 << len(keep)) - 1
+
+    def states(start: int, lines: list[str]) -> list[int]:
+        out = [start]
+        for x in lines:
+            u = out[-1] & masks[x]
+            out.append(((out[-1] + u) | (out[-1] - u)) & every)
+        return out
+
+    step = max(1, math.isqrt(len(right)))
+    marks = [every]
+    for j in range(0, len(right), step):
+        marks.append(states(marks[-1], right[j : j + step])[-1])
+    out, i, j, rows, low = set(), len(keep), len(right), [], len(right)
+    while i and j:
+        if j <= low:
+            low = (j - 1) // step * step
+            rows = states(marks[low // step], right[low:j])
+        if rows[j - low] >> (i - 1) & 1:
+            i -= 1
         else:
-            j += 1
+            j -= 1
+            if rows[j - low] >> (i - 1) & 1 or not j:
+                i -= 1
+                out.add(keep[i])
     return out
 
 
