@@ -2,9 +2,10 @@
 
 A row's id is hashed to a cell of the ring; a cell belongs to the next virtual node clockwise. A shard takes cells
 until its bytes reach (1 + slack) times the mean; the cells beyond continue clockwise to the next shard with room.
+A cell is what one key in 65,536 falls into; its keys go together.
 The placing works on the ring's cells, whose number is fixed, so what the driver holds does not grow with the rows.
 
-Defined cases: null text has no bytes (size 1); a null id hashes as 0; repeated rows get slots of their own; an
+Defined cases: null text has no bytes (size 1); a null id hashes by its text; repeated rows get slots of their own; an
 empty table gives an empty result.
 """
 
@@ -30,18 +31,20 @@ def ring(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
 
 
 def place(loads: dict[int, int], shards: int, virtual_nodes: int, slack: float) -> dict[int, int]:
-    """cell -> shard. Cells come in clockwise order; a shard is full once its load has reached the bound."""
+    """cell -> shard. A cell goes to the first shard clockwise that it does not fill beyond (1 + slack) times the mean.
+
+    Cells heavier than the slack come first, heaviest first, then all others in clockwise order. A cell that no shard
+    has room for goes to the first shard clockwise that is not above the mean yet; there always is one.
+    """
     nodes = ring(shards, virtual_nodes)
-    cells, bound = [c for c, _ in nodes], (1 + slack) * sum(loads.values()) / shards
+    cells, mean = [c for c, _ in nodes], sum(loads.values()) / shards
     held, out = [0] * shards, {}
-    for cell in sorted(loads, key=lambda c: (-loads[c], c)):
+    for cell in sorted(loads, key=lambda c: (-loads[c] if loads[c] > slack * mean else 0, c)):
         at = bisect.bisect_left(cells, cell)
-        for step in range(len(nodes)):
-            shard = nodes[(at + step) % len(nodes)][1]
-            if held[shard] + loads[cell] <= bound:
-                break
-        else:
-            shard = min(range(shards), key=lambda s: (held[s], s))  # a cell beyond every bound: the emptiest shard
+        clockwise = [nodes[(at + step) % len(nodes)][1] for step in range(len(nodes))]
+        shard = next((s for s in clockwise if held[s] + loads[cell] <= (1 + slack) * mean), None)
+        if shard is None:
+            shard = next(s for s in clockwise if held[s] <= mean)
         held[shard] += loads[cell]
         out[cell] = shard
     return out
@@ -52,7 +55,7 @@ def shard(docs: DataFrame, shards: int = 8, virtual_nodes: int = 128, slack: flo
     spark = docs.sparkSession
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    spot = F.xxhash64(F.coalesce("doc_id", F.lit(0)))
+    spot = F.xxhash64(F.coalesce("doc_id", F.xxhash64("text_crc32", "size")))
     rows = staged(rows.withColumn("cell", F.pmod(spot, F.lit(CELLS)).cast("int")), "shard-rows")
     cells = rows.groupBy("cell").agg(F.sum("size").alias("load"), F.count(F.lit(1)).alias("n")).collect()  # CELLS rows at most
     placed = place({r["cell"]: r["load"] for r in cells}, shards, virtual_nodes, slack)
