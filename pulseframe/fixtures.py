@@ -55,7 +55,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = read(spark, sf_dir, "embeddings")
-    return x.select("vec_id", (F.col("vec_id") % 16).cast("long").alias("user_id"), F.col("embedding").cast("array<double>").alias("z"), F.col("label").cast("long").alias("cluster"), (F.col("label") < 4).cast("long").alias("state_val"), (F.col("vec_id") < 20).alias("labeled"))
+    return x.select("vec_id", (F.col("vec_id") % 16).cast("long").alias("user_id"), F.col("embedding").cast("array<double>").alias("z"), F.col("label").cast("long").alias("cluster"), (F.col("label") < 4).cast("long").alias("state_val"), (F.col("vec_id") % 25 == 0).alias("labeled"))
 
 
 #: The same tables as common table expressions, for the SQL of the queries.
@@ -79,5 +79,5 @@ preds AS (
   FROM lineitem),
 pool AS (
   SELECT vec_id, vec_id % 16 AS user_id, CAST(embedding AS DOUBLE[]) AS z, CAST(label AS BIGINT) AS cluster,
-         CAST(label < 4 AS BIGINT) AS state_val, vec_id < 20 AS labeled FROM embeddings)
+         CAST(label < 4 AS BIGINT) AS state_val, vec_id % 25 = 0 AS labeled FROM embeddings)
 """

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..hashing import hash_key
+from ..hashing import hash_key, with_position
+from ..sources.paths import checkpoints
 
 
 def margin_score(scores: DataFrame) -> DataFrame:
@@ -25,10 +26,9 @@ def margin_topk(scores: DataFrame, k: int, key: str = "sample_id") -> DataFrame:
 
 
 def top_fraction(df: DataFrame, score: str, key: str, frac: float, least: int) -> DataFrame:
-    """The max(least, ceil(frac * n)) largest scores. Whole scores above the cut are counted, ties at the cut go by key."""
-    n = df.count()
-    want = max(least, -int(-(frac * n) // 1))
-    return df.orderBy(F.col(score).desc(), key).limit(want)
+    """The max(least, ceil(frac * n)) largest scores, ties at the cut by key. Rows are ranked inside score buckets."""
+    ranked = with_position(df, [], -F.floor(F.col(score) * 1000), [F.col(score).desc(), F.col(key)])
+    return ranked.where(F.col("_position") <= F.greatest(F.lit(least), F.ceil(frac * F.col("_position_n")))).select(*df.columns)
 
 
 def random_k(pool: DataFrame, k: int, seed: int, key: str) -> DataFrame:
@@ -45,24 +45,42 @@ def unlabeled_pool(pool: DataFrame, labeled: DataFrame, key: str) -> DataFrame:
     return pool.join(labeled.select(key), key, "left_anti")
 
 
-def random_rounds(pool: DataFrame, k: int, rounds: int, seed: int, key: str) -> DataFrame:
-    """key, round: the rows that `rounds` rounds of k random picks take; closed form of the loop."""
-    n = pool.count()
-    first = pool.select(key, hash_key(seed, key).alias("_h")).orderBy("_h", key).limit(min(n, k * rounds))
-    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("_h", key))  # k * rounds rows at most
+def ordered_rounds(pool: DataFrame, order: list, k: int, rounds: int, key: str) -> DataFrame:
+    """key, round: the rows that `rounds` rounds of k picks take in a fixed order; closed form of the loop."""
+    first = pool.orderBy(*order, key).limit(k * rounds)
+    rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order, key))  # k * rounds rows at most
     return first.select(key, F.ceil(rank / k).cast("long").alias("round"))
 
 
+def random_rounds(pool: DataFrame, k: int, rounds: int, seed: int, key: str) -> DataFrame:
+    return ordered_rounds(pool.select(key, hash_key(seed, key).alias("_h")), [F.col("_h")], k, rounds, key)
+
+
+def score_rounds(pool: DataFrame, score: str, k: int, rounds: int, key: str) -> DataFrame:
+    """Rounds of the largest scores where scores stay as they are."""
+    return ordered_rounds(pool, [F.round(score, 9).desc()], k, rounds, key)
+
+
+def coreset_picks(key: str, vector: str, k: int):
+    """For active_learning_rounds: the rows farthest from what is labelled."""
+    from .vectors import coreset_greedy
+
+    return lambda left, labeled, r: left.join(coreset_greedy(labeled, left, k, key, vector).select(key), key, "left_semi")
+
+
+def kmeans_picks(key: str, vector: str, k: int):
+    """For active_learning_rounds: the rows nearest to centres that start from the labelled centroid."""
+    from .vectors import kmeans_query
+
+    return lambda left, labeled, r: left.join(kmeans_query(labeled, left, k, key, vector).select(key), key, "left_semi")
+
+
 def active_learning_rounds(pool: DataFrame, labeled: DataFrame, pick: Callable[[DataFrame, DataFrame, int], DataFrame], k: int, rounds: int, key: str) -> DataFrame:
     """key, round of the rows picked. pick(unlabeled, labeled, round) returns at most k rows of unlabeled.
 
     Each round's picks are written below the checkpoint folder's reach (checkpoint), so plans do not grow.
     """
-    context = pool.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    checkpoints(pool.sparkSession)
     taken: DataFrame | None = None
     for r in range(1, rounds + 1):
         ids = labeled.select(key) if taken is None else labeled.select(key).union(taken.select(key))
@@ -74,6 +92,11 @@ def active_learning_rounds(pool: DataFrame, labeled: DataFrame, pick: Callable[[
     return taken if taken is not None else pool.select(key, F.lit(0).cast("long").alias("round")).limit(0)
 
 
+def user_counts(picked: DataFrame, pool: DataFrame, key: str) -> DataFrame:
+    """round, user_id, n: how many of each user's rows a round picked."""
+    return picked.join(pool.select(key, "user_id"), key).groupBy("round", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def round_log(picked: DataFrame, labeled_before: int, total: int) -> DataFrame:
     """round, new, num_labeled, pct_total_labeled."""
     c = picked.groupBy("round").agg(F.count(F.lit(1)).alias("new"))

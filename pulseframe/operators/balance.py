@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..hashing import hash_key, hash_normal
+from ..hashing import hash_key, hash_normal, in_hash_order, with_position
 
 
 def undersample_negatives(df: DataFrame, seed: int, key: str, label: str = "state_val") -> DataFrame:
@@ -14,11 +14,11 @@ def undersample_negatives(df: DataFrame, seed: int, key: str, label: str = "stat
 
     The k-th negative of a user in hash order goes in turn k; users within a turn go by id.
     """
-    pos = df.where(F.col(label) == 1).count()
-    neg = df.where(F.col(label) == 0).count()
-    turn = F.row_number().over(W.partitionBy("user_id").orderBy(hash_key(seed, key), key))
-    gone = df.where(F.col(label) == 0).withColumn("_turn", turn).orderBy("_turn", "user_id").limit(max(0, neg - pos)).select(key)
-    return df.join(gone, key, "left_anti")
+    negatives = df.where(F.col(label) == 0)
+    many = max(0, negatives.count() - df.where(F.col(label) == 1).count())
+    own = in_hash_order(negatives, ["user_id"], seed, key, "_turn")
+    gone = with_position(own, [], F.col("_turn"), ["user_id"]).where(F.col("_position") <= many)
+    return df.join(gone.select(key), key, "left_anti")
 
 
 def turns(quota: DataFrame, want: int, cap: str | None = None) -> DataFrame:

@@ -100,21 +100,24 @@ def sort_by_numeric_id(df: DataFrame, column: str) -> DataFrame:
     return df.orderBy(numeric_id(F.col(column)).asc_nulls_last(), column)
 
 
-def auc_wide_table(summaries: DataFrame, pipelines: list[str], by: list[str] = ()) -> DataFrame:
-    """by, uid, <pipeline>_mean and <pipeline>_std: numbers, or where null the parts of an 'm ± s' text.
+def auc_wide_table(summaries: DataFrame, predictions: DataFrame, pipelines: list[str], by: list[str] = (), iterations: int = 1000) -> DataFrame:
+    """by, uid, and for each pipeline <p>_train, <p>_mean and <p>_std: numbers, or where null the parts of an 'm ± s' text.
 
-    Of several rows of a cell, the first non-null by path counts. A row AGGREGATED has the means over users.
+    Of several rows of a cell, the first non-null by path counts. The row AGGREGATED holds the resampled auc of all
+    users' predictions together (by, pipeline, y_true, y_score), not a mean over users, and no train auc.
     """
     from ..functions.scalars import parse_mean_std
+    from .metrics import bootstrap_auc
 
     mean, std = parse_mean_std(F.col("auc_text"))
     s = summaries.withColumn("_m", F.coalesce("auc_mean", mean)).withColumn("_s", F.coalesce("auc_std", std))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("path")))
-    cells = s.groupBy(*by, "uid", "pipeline").agg(first("_m").alias("mean"), first("_s").alias("std"))
-    wide = cells.groupBy(*by, "uid").pivot("pipeline", pipelines).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
-    values = [c for c in wide.columns if c not in (*by, "uid")]
-    everyone = wide.groupBy(*by).agg(*[F.avg(f"`{c}`").alias(c) for c in values]).withColumn("uid", F.lit("AGGREGATED"))
-    return wide.unionByName(everyone)
+    cells = s.groupBy(*by, "uid", "pipeline").agg(first("auc_train").alias("train"), first("_m").alias("mean"), first("_s").alias("std"))
+    pooled = bootstrap_auc(predictions, [*by, "pipeline"], iterations=iterations)
+    pooled = pooled.select(*by, F.lit("AGGREGATED").alias("uid"), "pipeline", F.lit(None).cast("double").alias("train"), F.col("auc_mean").alias("mean"), F.col("auc_std").alias("std"))
+    if by:
+        pooled = pooled.join(cells.select(*by).distinct(), list(by), "left_semi")
+    return cells.unionByName(pooled).groupBy(*by, "uid").pivot("pipeline", pipelines).agg(*[F.first(c).alias(c) for c in ("train", "mean", "std")])
 
 
 def feature_correlation(df: DataFrame, columns: list[str], cut: float = 0.85) -> DataFrame:

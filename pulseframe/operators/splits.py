@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..hashing import hash_key
+from ..hashing import first_in_hash_order, hash_key, in_hash_order, with_position
 
 
 def labeled_day_splits(labeled: DataFrame, day_split: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def labeled_day_splits(labeled: DataFrame, day_split: DataFrame) -> DataFrame:
     return day_split.where("split = 'train'").join(held, ["user_id", "day"], "left_semi").unionByName(day_split.where("split <> 'train'"))
 
 
-#: Test sizes in the order in which they are tried.
+# fixed values: test sizes in the order in which they are tried
 TEST_SIZES = (0.2, 0.18, 0.22, 0.16, 0.24, 0.15, 0.25, 0.17, 0.19, 0.21)
 
 
@@ -50,15 +50,14 @@ def sample_count_day_split(days: DataFrame, frac: float = 0.25, seed: int = 42)
     before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     rank, count = F.row_number().over(order), F.count(F.lit(1)).over(user)
     total = F.sum("n").over(user)
-    by_days = F.when(rank <= F.floor(count * 0.75), "train").otherwise("test")
+    by_days = F.when(rank <= F.bround(count * 0.75), "train").otherwise("test")
     return days.select("user_id", "day", F.when(total == 0, by_days).when(before < frac * total, "test").otherwise("train").alias("split"))
 
 
 def stratified_split(df: DataFrame, frac: float, by: list[str], seed: int, key: str) -> DataFrame:
     """df with chosen: round(frac * n) rows of each stratum (halves up), in hash order."""
-    w = W.partitionBy(*by)
-    rank = F.row_number().over(w.orderBy(hash_key(seed, key), key))
-    return df.withColumn("chosen", rank <= F.floor(frac * F.count(F.lit(1)).over(w) + 0.5))
+    ranked = in_hash_order(df, by, seed, key)
+    return ranked.select(*df.columns, (F.col("_position") <= F.floor(frac * F.col("_position_n") + 0.5)).alias("chosen"))
 
 
 def safe_sample(df: DataFrame, frac: float, label: str, seed: int, key: str) -> DataFrame:
@@ -66,77 +65,86 @@ def safe_sample(df: DataFrame, frac: float, label: str, seed: int, key: str) ->
     if frac >= 1:
         return df
     sizes = [r["count"] for r in df.groupBy(label).count().collect()]  # a row for each class
-    by = label if len(sizes) >= 2 and min(sizes) >= 2 else None
-    keyed = df if by else df.withColumn("_all", F.lit(0))
-    return stratified_split(keyed, frac, [by or "_all"], seed, key).where("chosen").drop("chosen", "_all")
+    by = [label] if len(sizes) >= 2 and min(sizes) >= 2 else []
+    return stratified_split(df, frac, by, seed, key).where("chosen").drop("chosen")
 
 
 def stratified_split_min(df: DataFrame, frac: float, label: str, seed: int, key: str, least: int = 5) -> DataFrame:
     """df with hidden: of each class, clip(int(n * frac), 0, n - least) rows are hidden, in hash order."""
-    w = W.partitionBy(label)
-    n = F.count(F.lit(1)).over(w)
+    ranked, n = in_hash_order(df, [label], seed, key), F.col("_position_n")
     many = F.greatest(F.lit(0), F.least(F.floor(n * frac), n - least))
-    return df.withColumn("hidden", F.row_number().over(w.orderBy(hash_key(seed, key), key)) <= many)
+    return ranked.select(*df.columns, (F.col("_position") <= many).alias("hidden"))
 
 
 def min_per_user_split(df: DataFrame, frac: float, seed: int, key: str, least: int = 2) -> DataFrame:
     """The rows labelled first: `least` of each user, then one of each user in turn until ceil(frac * N)."""
-    user = W.partitionBy("user_id").orderBy(hash_key(seed, key), key)
-    n = df.count()
-    want = max(0, -int(-(frac * n) // 1))
-    turn = F.greatest(F.row_number().over(user) - least, F.lit(0))
-    ranked = df.withColumn("_turn", turn)
-    base = ranked.where("_turn = 0")
-    more = max(0, want - base.count())
-    rest = ranked.where("_turn > 0").orderBy("_turn", hash_key(seed, "user_id"), "user_id").limit(more)
-    return base.unionByName(rest).drop("_turn")
+    own = in_hash_order(df, ["user_id"], seed, key, "_own")
+    turn = F.greatest(F.col("_own") - least, F.lit(0))
+    ranked = with_position(own.withColumn("_turn", turn), [], F.col("_turn"), [hash_key(seed, "user_id"), F.col("user_id"), F.col("_own")])
+    return ranked.where((F.col("_turn") == 0) | (F.col("_position") <= F.ceil(frac * F.col("_position_n")))).select(*df.columns)
 
 
 def target_quota_split(df: DataFrame, target: int, uf: float, seed: int, key: str, label: str = "state_val") -> DataFrame:
-    """max(4, round((1 - uf) * N)) labelled rows: one of each class of the target user, the rest of the others by class share."""
-    n = df.count()
-    want = max(4, int((1 - uf) * n + 0.5))
-    order = [hash_key(seed, key), F.col(key)]
-    own = df.where(F.col("user_id") == target).withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(*order))).where("_r = 1").drop("_r")
+    """max(4, round((1 - uf) * N)) labelled rows: one of each class of the target user, the rest of the others by class share, at least one of each."""
+    want = max(4, round((1 - uf) * df.count()))
+    own = in_hash_order(df.where(F.col("user_id") == target), [label], seed, key).where("_position = 1").select(*df.columns)
     others = df.where(F.col("user_id") != target)
     sizes = {r[label]: r["count"] for r in others.groupBy(label).count().collect()}  # a row for each class
-    total, left = sum(sizes.values()), want - own.count()
-    quota = F.coalesce(*[F.when(F.col(label) == c, F.lit(int(left * m / total + 0.5))) for c, m in sizes.items()], F.lit(0)) if sizes else F.lit(0)
-    more = others.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(*order))).where(F.col("_r") <= quota)
-    return own.unionByName(more.orderBy("_r", *order).limit(max(0, left)).drop("_r"))
+    total, left = sum(sizes.values()), max(0, want - own.count())
+    quota = F.coalesce(*[F.when(F.col(label) == c, F.lit(max(1, round(left * m / total)))) for c, m in sizes.items()], F.lit(0)) if sizes else F.lit(0)
+    more = in_hash_order(others, [label], seed, key, "_rank").where(F.col("_rank") <= quota)
+    # beyond the number wanted, later turns of the classes go first
+    more = with_position(more, [], F.col("_rank"), [hash_key(seed, key), F.col(key)]).where(F.col("_position") <= left)
+    return own.unionByName(more.select(*df.columns))
 
 
 def staged_fill(df: DataFrame, first: DataFrame, want: int, seed: int, key: str) -> DataFrame:
-    """first, cut to `want` rows, and then rows of df in hash order to the exact size."""
-    first = first.orderBy(hash_key(seed, key), key).limit(want)
-    have = first.count()
-    rest = df.join(first.select(key), key, "left_anti").orderBy(hash_key(seed, key), key).limit(max(0, want - have))
-    return first.unionByName(rest)
+    """first, and then rows of df in hash order up to `want` rows."""
+    rest = df.join(first.select(key), key, "left_anti")
+    return first.unionByName(first_in_hash_order(rest, max(0, want - first.count()), seed, key))
 
 
-def day_class_seed(df: DataFrame, uf: float, seed: int, key: str, label: str = "state_val") -> DataFrame:
-    """round((1 - uf) * N) rows: one of each day, the remainder half of each class, filled at random."""
-    n = df.count()
-    want = int((1 - uf) * n + 0.5)
-    order = [hash_key(seed, key), F.col(key)]
-    days = df.withColumn("_r", F.row_number().over(W.partitionBy("user_id", "day").orderBy(*order))).where("_r = 1").drop("_r").orderBy(*order).limit(want)
-    half = max(0, want - days.count()) // 2
-    rest = df.join(days.select(key), key, "left_anti")
-    more = rest.where(F.col(label) == 1).orderBy(*order).limit(half).unionByName(rest.where(F.col(label) == 0).orderBy(*order).limit(half))
-    return staged_fill(df, days.unionByName(more), want, seed, key)
+def day_class_seed(df: DataFrame, uf: float, seed: int, key: str, label: str = "state_val", by: tuple[str, ...] = ("day",)) -> DataFrame:
+    """max(1, int((1 - uf) * N)) rows: one of each day, half of the remainder positive, the rest of it negative, filled at random.
+
+    More days than rows wanted are an error.
+    """
+    want = max(1, int((1 - uf) * df.count()))
+    days = in_hash_order(df, list(by), seed, key).where("_position = 1").select(*df.columns)
+    n_days = days.count()
+    if n_days > want:
+        raise ValueError(f"{n_days} days do not fit into {want} rows")
+    pos = (want - n_days) // 2
+    ranked = in_hash_order(df.join(days.select(key), key, "left_anti"), [label], seed, key)
+    more = ranked.where(((F.col(label) == 1) & (F.col("_position") <= pos)) | ((F.col(label) == 0) & (F.col("_position") <= want - n_days - pos)))
+    return staged_fill(df, days.unionByName(more.select(*df.columns)), want, seed, key)
 
 
 def variance_seed(df: DataFrame, score: str, uf: float, seed: int, key: str, q: int = 10) -> DataFrame:
-    """round((1 - uf) * N) rows: one of each variance bin, filled at random."""
+    """int((1 - uf) * N) rows: one of each variance bin, filled at random. More bins than rows wanted are an error."""
     from .windows import variance_bins
 
-    n = df.count()
-    want = int((1 - uf) * n + 0.5)
-    order = [hash_key(seed, key), F.col(key)]
-    one = variance_bins(df, score, q).withColumn("_r", F.row_number().over(W.partitionBy("bin").orderBy(*order))).where("_r = 1").drop("_r", "bin")
+    want = int((1 - uf) * df.count())
+    one = in_hash_order(variance_bins(df, score, q), ["bin"], seed, key).where("_position = 1").select(*df.columns)
+    if (bins := one.count()) > want:
+        raise ValueError(f"{bins} bins do not fit into {want} rows")
     return staged_fill(df, one, want, seed, key)
 
 
+def representative_seed(df: DataFrame, uf: float, key: str, vector: str, method: str = "kmeans", seed: int = 42) -> DataFrame:
+    """max(1, int((1 - uf) * N)) rows: the nearest to as many k-means centres, or k-centre picks, filled at random."""
+    from .vectors import kcenter_seed, kmeans_query
+
+    want = max(1, int((1 - uf) * df.count()))
+    if method == "kmeans":
+        ids = kmeans_query(df.limit(0), df, want, key, vector)
+    elif method == "kcenter":
+        ids = kcenter_seed(df, want, key, vector)
+    else:
+        raise ValueError("method must be 'kmeans' or 'kcenter'")
+    return staged_fill(df, df.join(ids.select(key), key, "left_semi"), want, seed, key)
+
+
 def day_balanced_seed(df: DataFrame, seed: int, key: str, label: str = "state_val") -> DataFrame:
     """key of one row a day of each user, in day order, of the class behind so far (positive on a tie) if the day has it."""
     best = lambda v: F.min_by(F.when(F.col(label) == v, F.col(key)), F.when(F.col(label) == v, hash_key(seed, key)))
@@ -154,8 +162,8 @@ def day_balanced_seed(df: DataFrame, seed: int, key: str, label: str = "state_va
 
 def split_rows_80_20(df: DataFrame, seed: int, key: str) -> DataFrame:
     """df with split: the first int(0.8 * n) rows of each user in hash order train, the others val."""
-    w = W.partitionBy("user_id")
-    return df.withColumn("split", F.when(F.row_number().over(w.orderBy(hash_key(seed, key), key)) <= F.floor(0.8 * F.count(F.lit(1)).over(w)), "train").otherwise("val"))
+    ranked = in_hash_order(df, ["user_id"], seed, key)
+    return ranked.select(*df.columns, F.when(F.col("_position") <= F.floor(0.8 * F.col("_position_n")), "train").otherwise("val").alias("split"))
 
 
 def date_overlap(train: DataFrame, test: DataFrame) -> DataFrame:

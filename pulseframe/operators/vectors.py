@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from ..functions.scalars import l2_normalize
 from ..hashing import hash_key
 from ..shipping import ship
+from ..sources.paths import checkpoints
 
 #: Rows of one block.
 BLOCK = 2048
@@ -71,28 +72,27 @@ def knn_density(pool: DataFrame, key: str, vector: str, k: int = 7, by: list[str
     return nearest(pool, pool, k, key, vector, by).groupBy("id").agg((1 / (1e-6 + F.avg("distance"))).alias("density"))
 
 
-def distance_to(vector: str, point: list[float]):
+def distance_to(vector: str, point: list[float], metric: str = "euclidean"):
     p = F.array(*[F.lit(float(x)) for x in point])
+    if metric == "cosine":
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return F.round(1 - dot(F.col(vector), p) / ((F.sqrt(dot(F.col(vector), F.col(vector))) + 1e-12) * (F.sqrt(dot(p, p)) + 1e-12)), 9)
     return F.round(F.sqrt(F.aggregate(F.zip_with(vector, p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)), 9)
 
 
-def farthest_first(pool: DataFrame, start: DataFrame, score, k: int, key: str, vector: str, keep_every: int = 4) -> list[tuple]:
+def farthest_first(pool: DataFrame, start: DataFrame, score, k: int, key: str, vector: str, keep_every: int = 4, metric: str = "euclidean") -> list[tuple]:
     """The ids of k picks: each time the row with the largest score (ties to smaller ids); start: key, vector, min_dist.
 
     One row, the new centre, comes to the driver in each step; distances are only updated against it.
     """
-    context = pool.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    checkpoints(pool.sparkSession)
     now, picked = start.checkpoint(), []
     for i in range(k):
         top = now.withColumn("_score", score(now)).orderBy(F.desc("_score"), key).select(key, vector).first()
         if top is None:
             break
         picked.append(top[0])
-        now = now.where(F.col(key) != top[0]).withColumn("min_dist", F.least("min_dist", distance_to(vector, top[1])))
+        now = now.where(F.col(key) != top[0]).withColumn("min_dist", F.least("min_dist", distance_to(vector, top[1], metric)))
         if i % keep_every == keep_every - 1:
             now = now.checkpoint()
     return picked
@@ -109,31 +109,32 @@ def coreset_greedy(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector
     return _picks(pool, farthest_first(pool, start, lambda df: F.col("min_dist"), k, key, vector), key)
 
 
-def minmax(c: str, df: DataFrame) -> DataFrame:
-    """df with c scaled to 0..1 (0 where constant)."""
-    ends = df.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-    return df.crossJoin(F.broadcast(ends)).withColumn(c, F.when(F.col("_hi") > F.col("_lo"), (F.col(c) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)).drop("_lo", "_hi")  # one row
+def density_parts(labeled: DataFrame, pool: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
+    """key, vector, min_dist (cosine, to the nearest labelled row), density: mean of the k largest similarities in the pool, scaled to 0..1."""
+    far = nearest_labeled(pool, labeled, key, vector, "cosine").select(F.col("id").alias(key), F.col("distance").alias("min_dist"))
+    near = nearest(pool, pool, k, key, vector, metric="cosine").groupBy(F.col("id").alias(key)).agg(F.avg(1 - F.col("distance")).alias("density"))
+    ends = near.agg(F.min("density").alias("_lo"), F.max("density").alias("_hi"))
+    scaled = near.crossJoin(F.broadcast(ends)).select(key, ((F.col("density") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-8)).alias("density"))  # one row
+    return pool.select(key, vector).join(far, key).join(scaled, key)
+
+
+def utility(rows: DataFrame, w: float):
+    """(1 - w) * min_dist, scaled to 0..1 over rows unless constant, + w * density."""
+    lo, hi = rows.agg(F.min("min_dist"), F.max("min_dist")).first()
+    gap = (F.col("min_dist") - lo) / (hi - lo) if lo is not None and hi > lo else F.col("min_dist")
+    return F.round((1 - w) * gap + w * F.col("density"), 9)
 
 
 def density_scores(labeled: DataFrame, pool: DataFrame, key: str, vector: str, w: float = 0.5, k: int = 10) -> DataFrame:
-    """id, utility: (1 - w) * scaled cosine distance to the nearest labelled + w * scaled mean of the k largest similarities."""
-    far = nearest_labeled(pool, labeled, key, vector, "cosine")
-    near = nearest(pool, pool, k, key, vector, metric="cosine").groupBy("id").agg(F.avg(1 - F.col("distance")).alias("density"))
-    both = minmax("density", minmax("distance", far.join(near, "id")))
-    return both.select("id", ((1 - w) * F.col("distance") + w * F.col("density")).alias("utility"))
-
-
-def density_coreset(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector: str, w: float = 0.5) -> DataFrame:
-    """pick, key of the k largest utilities, each new pick joining the labelled set."""
-    ids: list = []
-    for _ in range(k):
-        held = labeled.select(key, vector).unionByName(pool.where(F.col(key).isin(ids)).select(key, vector)) if ids else labeled.select(key, vector)
-        left = pool.where(~F.col(key).isin(ids)) if ids else pool
-        top = density_scores(held, left, key, vector, w).orderBy(F.round("utility", 9).desc(), "id").first()
-        if top is None:
-            break
-        ids.append(top["id"])
-    return _picks(pool, ids, key)
+    """id, utility of the pool's rows."""
+    rows = density_parts(labeled, pool, key, vector, k)
+    return rows.select(F.col(key).alias("id"), utility(rows, w).alias("utility"))
+
+
+def density_coreset(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector: str, w: float = 0.5, neighbors: int = 10) -> DataFrame:
+    """pick, key of the k largest utilities. Density is fixed over the whole pool; each pick joins the labelled set, and distances are scaled over the rows left."""
+    start = density_parts(labeled, pool, key, vector, neighbors)
+    return _picks(pool, farthest_first(pool, start, lambda df: utility(df, w), k, key, vector, metric="cosine"), key)
 
 
 def nearest_centroid_assign(df: DataFrame, centers: DataFrame, key: str, vector: str) -> DataFrame:

@@ -54,29 +54,33 @@ def build_windows(readings: DataFrame, signals: DataFrame, seed: int = 42) -> Da
     return made.join(day_split_retry(per_day, seed), ["user_id", "day"])
 
 
-def learning_curve(preds: DataFrame) -> DataFrame:
-    """round, split, n, auc pooled over users, and a row of all rounds (round null) for each split's ceiling of data."""
-    from ..operators.metrics import roc_auc
+def learning_curve(preds: DataFrame, iterations: int = 1000) -> DataFrame:
+    """round, split, n, auc, ap, and the resampled auc_mean and auc_std, pooled over users; rows of all rounds (round null) are the ceiling."""
+    from ..operators.metrics import average_precision, bootstrap_auc, roc_auc
 
-    each = roc_auc(preds, ["round", "split"]).select("round", "split", (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")
-    full = preds.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("long").alias("round"), "split", "n", F.lit(None).cast("double").alias("auc"))
-    return each.unionByName(full)
+    def rows(by: list[str]) -> DataFrame:
+        exact = roc_auc(preds, by).select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")
+        return exact.join(average_precision(preds, by), by).join(bootstrap_auc(preds, by, iterations=iterations).drop("valid"), by)
 
+    return rows(["round", "split"]).unionByName(rows(["split"]).withColumn("round", F.lit(None).cast("long")))
 
-def experiment_rollup(summaries: DataFrame, pipelines: list[str]) -> DataFrame:
-    """The wide table of the newest result of each (uid, pipeline)."""
-    from ..operators.rollups import auc_wide_table, latest_per_key
 
-    newest = latest_per_key(summaries, ["uid", "pipeline"])
-    return auc_wide_table(summaries.join(newest, ["uid", "pipeline", "path"], "left_semi"), pipelines)
+def experiment_rollup(summaries: DataFrame, predictions: DataFrame, pipelines: list[str]) -> dict[str, DataFrame]:
+    """The newest result of each (uid, substance, task, pipeline) as tables: 'wide', 'grouped' by substance and task, 'long' (uid, pipeline, value)."""
+    from ..operators.rollups import auc_wide_table, latest_per_key, unpivot_metrics
 
+    keys = ["uid", "substance", "task", "pipeline"]
+    newest = summaries.join(latest_per_key(summaries, keys), [*keys, "path"], "left_semi")
+    wide = auc_wide_table(newest, predictions, pipelines)
+    return {"wide": wide, "grouped": auc_wide_table(newest, predictions, pipelines, ["substance", "task"]), "long": unpivot_metrics(wide, "uid", "_mean")}
 
-def fraction_vs_full(preds: DataFrame, frac: float, seeds: tuple[int, ...]) -> DataFrame:
-    """user_id, seed ('full_data' for all rows), n, auc of stratified samples and of everything."""
+
+def fraction_vs_full(preds: DataFrame, frac: float, seeds: tuple[int, ...], iterations: int = 1000) -> DataFrame:
+    """user_id, seed ('full_data' for all rows), n, auc, log_loss and the resampled auc_mean and auc_std of stratified samples and of everything."""
     from pyspark.sql import Window as W
 
     from ..hashing import hash_key
-    from ..operators.metrics import roc_auc
+    from ..operators.metrics import bootstrap_auc, log_loss, roc_auc
 
     parts = preds.select("user_id", F.lit("full_data").alias("seed"), "y_true", "y_score")
     for s in seeds:
@@ -84,4 +88,6 @@ def fraction_vs_full(preds: DataFrame, frac: float, seeds: tuple[int, ...]) -> D
         rank = F.row_number().over(w.orderBy(hash_key(s, "sample_id"), "sample_id", "y_score"))
         chosen = preds.withColumn("_k", rank <= F.floor(frac * F.count(F.lit(1)).over(w) + 0.5)).where("_k")
         parts = parts.unionByName(chosen.select("user_id", F.lit(str(s)).alias("seed"), "y_true", "y_score"))
-    return roc_auc(parts, ["user_id", "seed"]).select("user_id", "seed", (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")
+    parts, by = written(parts, "fractions"), ["user_id", "seed"]  # read three times
+    exact = roc_auc(parts, by).select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")
+    return exact.join(log_loss(parts, by), by).join(bootstrap_auc(parts, by, iterations=iterations).drop("valid"), by)

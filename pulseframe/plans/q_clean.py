@@ -186,9 +186,18 @@ def h14(spark, d):
     return p.crossJoin(w).select("vec_id", r6(S.logistic_score(F.col("z"), F.col("w"), 0.1)).alias("p"))
 
 
-@query("g5_ordered_dedupe", """, s AS (SELECT DISTINCT user_id % 7 AS a, user_id % 3 AS b FROM readings)
-SELECT a, b, CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || ',' || b END AS tokens FROM s""")
+@query("g5_ordered_dedupe", """ SELECT reading_id, CASE WHEN user_id % 7 = user_id % 3 THEN CAST(user_id % 7 AS VARCHAR) ELSE user_id % 7 || ',' || user_id % 3 END || CASE WHEN 90 + reading_id % 2 IN (user_id % 7, user_id % 3) THEN '' ELSE ',' || (90 + reading_id % 2) END AS tokens FROM readings""")
 def g5(spark, d):
-    s = X.readings(spark, d).select((F.col("user_id") % 7).alias("a"), (F.col("user_id") % 3).alias("b")).distinct()
-    a, b = F.col("a").cast("string"), F.col("b").cast("string")
-    return s.select("a", "b", F.array_join(S.ordered_dedupe(F.concat_ws(",", a, F.concat(F.lit(" "), b), a)), ",").alias("tokens"))
+    a, b, c = ((F.col("user_id") % 7).cast("string"), (F.col("user_id") % 3).cast("string"), (90 + F.col("reading_id") % 2).cast("string"))
+    text = F.concat_ws(",", a, F.concat(F.lit(" "), b), a, c, F.lit(""), F.concat(b, F.lit(" ")))
+    return X.readings(spark, d).select("reading_id", F.array_join(S.ordered_dedupe(text), ",").alias("tokens"))
+
+
+@query("b4_feature_columns", """, f AS (SELECT reading_id, systolic * 1.0::DOUBLE AS hr_mean, diastolic * 1.0::DOUBLE AS steps_total FROM readings) SELECT reading_id, hr_mean, steps_total FROM f""")
+def b4(spark, d):
+    """A feature table cut down to what a model may see: no ids, targets, stress columns or long windows."""
+    r = X.readings(spark, d)
+    wide = r.select("*", *[(F.col(c) * 1.0).alias(n) for n, c in (("hr_mean", "systolic"), ("hr_mean_10min", "systolic"), ("hr_std_60min", "diastolic"), ("stress_mean", "diastolic"), ("steps_total", "diastolic"))])
+    return wide.select("reading_id", *C.feature_columns(wide.columns, ("user_id", "reading_id", "t", "systolic", "diastolic"), ("stress", "10min", "30min", "60min")))
+
+

@@ -114,42 +114,56 @@ def d16(spark, d):
     return b.select("user_id", "k", r6("sensitivity").alias("sensitivity"), r6("specificity").alias("specificity"))
 
 
-def boot(by: str, group: str, it: int, source: str = "preds") -> str:
-    return f""", ix AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY sample_id, y_score, y_true) - 1 AS i FROM {source}), sz AS (SELECT {by}, count(*) AS n FROM {source} GROUP BY {by}),
-it AS (SELECT {by}, n, unnest(range(0, {it})) AS iteration FROM sz),
-dr AS (SELECT {by}, n, iteration, unnest(range(1, CAST(round_even(0.7 * n, 0) AS BIGINT) + 1)) AS j FROM it),
-hit AS (SELECT {by}, iteration, CAST('0x' || substr(md5('42:' || {group} || ':' || iteration || ':' || j), 1, 8) AS BIGINT) % n AS i FROM dr),
-bt AS (SELECT ix.*, iteration FROM hit JOIN ix USING ({by}, i))"""
-
-
-@query("d17_bootstrap_auc", boot("user_id", "user_id", 10) + auc_sql("bt", "user_id, iteration") + " SELECT user_id, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_std, count(auc) / 10 AS valid FROM au GROUP BY user_id")
+def boot(by: str, group: str, source: str = "preds", it: int = 1000, name: str = "") -> str:
+    """Resampling by single draws: ix{name} rows, dr{name} (by, iteration, i), hs{name} counts by score, ba{name} (by, iteration, auc)."""
+    md5 = f"md5('42:' || {group} || ':' || iteration)"
+    number = lambda at: f"CAST('0x' || substr({md5}, {at}, 8) AS BIGINT) % 2147483647"
+    return f""", ix{name} AS (SELECT {by}, y_score, y_true, row_number() OVER (PARTITION BY {by} ORDER BY y_score, y_true) - 1 AS i FROM {source}),
+sd{name} AS (SELECT {by}, n, iteration, {number(1)} AS a, {number(9)} AS b, {number(17)} AS c FROM (SELECT {by}, count(*) AS n FROM {source} GROUP BY {by}), (SELECT unnest(range(0, {it})) AS iteration)),
+xs{name} AS (SELECT {by}, n, iteration, c, (a * j + b) % 2147483647 AS x FROM (SELECT *, unnest(range(1, CAST(round_even(0.7 * n, 0) AS BIGINT) + 1)) AS j FROM sd{name})),
+dr{name} AS (SELECT {by}, iteration, (((x * x % 2147483647) * (x * x % 2147483647) % 2147483647 * x + c) % 2147483647) % n AS i FROM xs{name}),
+hs{name} AS (SELECT {by}, iteration, y_score, CAST(count(*) FILTER (WHERE y_true = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (WHERE y_true = 0) AS DOUBLE) AS neg FROM dr{name} JOIN ix{name} USING ({by}, i) GROUP BY {by}, iteration, y_score),
+bc{name} AS (SELECT *, sum(neg) OVER (PARTITION BY {by}, iteration ORDER BY y_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb FROM hs{name}),
+ba{name} AS (SELECT {by}, iteration, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN {AUC} END AS auc FROM bc{name} GROUP BY {by}, iteration),
+bs{name} AS (SELECT {by}, avg(auc) AS auc_mean, stddev_samp(auc) AS auc_std, count(auc) / 1000 AS valid FROM ba{name} GROUP BY {by})"""
+
+
+def rank_sql(by: str, source: str = "preds", name: str = "") -> str:
+    """rk{name}: by, n, auc, ap."""
+    return f""", qq{name} AS (SELECT {by}, y_score, CAST(sum(y_true) AS DOUBLE) AS pos, CAST(sum(1 - y_true) AS DOUBLE) AS neg FROM {source} GROUP BY {by}, y_score),
+qw{name} AS (SELECT *, sum(neg) OVER (PARTITION BY {by} ORDER BY y_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nb, sum(pos) OVER (PARTITION BY {by} ORDER BY y_score DESC) AS tp, sum(pos + neg) OVER (PARTITION BY {by} ORDER BY y_score DESC) AS k FROM qq{name}),
+rk{name} AS (SELECT {by}, CAST(sum(pos + neg) AS BIGINT) AS n, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN {AUC} END AS auc, sum(pos * tp / k) / nullif(sum(pos), 0) AS ap FROM qw{name} GROUP BY {by})"""
+
+
+@query("d17_bootstrap_auc", boot("user_id", "user_id") + " SELECT user_id, round(auc_mean, 6) AS auc_mean, round(auc_std, 6) AS auc_std, valid FROM bs")
 def d17(spark, d):
-    b = M.bootstrap_auc(X.preds(spark, d), ["user_id"], iterations=10)
+    b = M.bootstrap_auc(X.preds(spark, d), ["user_id"])
     return b.select("user_id", r6("auc_mean").alias("auc_mean"), r6("auc_std").alias("auc_std"), "valid")
 
 
-@query("d18_bootstrap_thresholds", boot("split", "split", 4) + """, k AS (SELECT unnest(range(0, 101)) AS k),
-h AS (SELECT split, iteration, y_true, y_score, count(*) AS c FROM bt GROUP BY ALL),
-cf AS (SELECT split, iteration, k, sum(c) FILTER (WHERE y_true = 1 AND y_score >= k / 100.0::DOUBLE) AS tp, sum(c) FILTER (WHERE y_true = 1) AS p, sum(c) FILTER (WHERE y_true = 0 AND y_score < k / 100.0::DOUBLE) AS tn, sum(c) FILTER (WHERE y_true = 0) AS n FROM h, k GROUP BY ALL),
-m AS (SELECT split, k, coalesce(tp, 0) / p AS sens, coalesce(tn, 0) / n AS spec FROM cf)
-SELECT split, k, round(avg(sens), 6) AS sensitivity_mean, round(stddev_samp(sens), 6) AS sensitivity_std, round(avg(spec), 6) AS specificity_mean, round(stddev_samp(spec), 6) AS specificity_std FROM m GROUP BY split, k""")
+@query("d18_bootstrap_thresholds", boot("split", "split") + """, k AS (SELECT unnest(range(0, 101)) AS k),
+cf AS (SELECT split, iteration, k, coalesce(sum(pos) FILTER (WHERE y_score >= k / 100.0::DOUBLE), 0) AS tp, sum(pos) AS p, coalesce(sum(neg) FILTER (WHERE y_score < k / 100.0::DOUBLE), 0) AS tn, sum(neg) AS n FROM hs, k GROUP BY ALL),
+m AS (SELECT split, k, coalesce(tp / nullif(p, 0), 0) AS sens, coalesce(tn / nullif(n, 0), 0) AS spec, (tp + tn) / (p + n) AS acc FROM cf),
+r AS (SELECT split, k, round(avg(sens), 6) AS sensitivity_mean, round(stddev_samp(sens), 6) AS sensitivity_std, round(avg(spec), 6) AS specificity_mean, round(stddev_samp(spec), 6) AS specificity_std, round(avg(acc), 6) AS accuracy_mean, round(stddev_samp(acc), 6) AS accuracy_std FROM m GROUP BY split, k)
+SELECT r.*, round(auc_mean, 6) AS auc_mean, round(auc_std, 6) AS auc_std FROM r JOIN bs ON bs.split = r.split""")
 def d18(spark, d):
-    b = M.bootstrap_thresholds(X.preds(spark, d), ["split"], iterations=4)
-    return b.select("split", "k", *[r6(f"{n}_{s}").alias(f"{n}_{s}") for n in ("sensitivity", "specificity") for s in ("mean", "std")])
+    b = M.bootstrap_thresholds(X.preds(spark, d), ["split"])
+    return b.select("split", "k", *[r6(f"{n}_{s}").alias(f"{n}_{s}") for n in (*M.THRESHOLD_METRICS, "auc") for s in ("mean", "std")])
 
 
-@query("d19_pooled_auc", boot("split", "split", 5) + auc_sql("bt", "split, iteration") + " SELECT split, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_std FROM au GROUP BY split")
+@query("d19_pooled_auc", boot("split", "split") + " SELECT split, round(auc_mean, 6) AS auc_mean, round(auc_std, 6) AS auc_std FROM bs")
 def d19(spark, d):
-    return M.bootstrap_auc(X.preds(spark, d), ["split"], iterations=5).select("split", r6("auc_mean").alias("auc_mean"), r6("auc_std").alias("auc_std"))
+    return M.bootstrap_auc(X.preds(spark, d), ["split"]).select("split", r6("auc_mean").alias("auc_mean"), r6("auc_std").alias("auc_std"))
 
 
-@query("d20_pooled_per_round", auc_sql("preds", "round, split") + """, pg AS (SELECT user_id, round, CAST(count(*) FILTER (WHERE split = 'val') AS DOUBLE) AS num_labeled, CAST(count(*) AS DOUBLE) AS total FROM preds GROUP BY ALL),
-c AS (SELECT round, avg(num_labeled) AS num_labeled, avg(total) AS total FROM pg GROUP BY round)
-SELECT c.round, split, round(num_labeled, 6) AS num_labeled, round(total, 6) AS total, round(auc, 6) AS auc FROM c LEFT JOIN au ON c.round = au.round UNION ALL SELECT NULL, 'full', sum(total), sum(total), NULL FROM pg""")
+@query("d20_pooled_per_round", boot("round, split", "round || ':' || split") + ", fp AS (SELECT 'full' AS split, y_true, y_score FROM preds WHERE split = 'test')" + boot("split", "split", "fp", name="f") + """,
+pg AS (SELECT user_id, round, CAST(count(*) FILTER (WHERE split = 'val') AS DOUBLE) AS num_labeled, CAST(count(*) AS DOUBLE) AS total FROM preds GROUP BY ALL),
+c AS (SELECT round, avg(num_labeled) AS num_labeled, avg(total) AS total, avg(100 * num_labeled / total) AS pct FROM pg GROUP BY round), ft AS (SELECT sum(total) AS total FROM (SELECT user_id, arg_min(total, round) AS total FROM pg GROUP BY user_id))
+SELECT c.round, split, round(num_labeled, 6) AS num_labeled, round(total, 6) AS total, round(pct, 6) AS pct, round(auc_mean, 6) AS auc_mean, round(auc_std, 6) AS auc_std FROM c LEFT JOIN bs ON c.round = bs.round UNION ALL SELECT NULL, split, ft.total, ft.total, 100, round(auc_mean, 6), round(auc_std, 6) FROM bsf, ft""")
 def d20(spark, d):
     p = X.preds(spark, d)
     progress = p.groupBy("user_id", "round").agg(F.sum((F.col("split") == "val").cast("double")).alias("num_labeled"), F.count(F.lit(1)).cast("double").alias("total"))
-    return M.pooled_auc_per_round(progress, p).select("round", "split", *[r6(c).alias(c) for c in ("num_labeled", "total", "auc")])
+    return M.pooled_auc_per_round(progress, p, p.where("split = 'test'")).select("round", "split", *[r6(c).alias(c) for c in ("num_labeled", "total", "pct", "auc_mean", "auc_std")])
 
 
 @query("d21_ensemble_grid", """, ab AS (SELECT split, y_true, unnest(range(0, 11)) AS alpha_k, y_score AS a, CAST(sample_id % 97 AS DOUBLE) / 97 AS b FROM preds),

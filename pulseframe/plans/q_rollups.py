@@ -11,13 +11,13 @@ from ..registry import query, r6
 from .q_temporal import WINDOWS, windows
 
 DAY = C.DAY
-RUNS = """, runs AS (SELECT l_suppkey AS seed, l_returnflag AS method, CAST(l_linenumber AS BIGINT) AS round, avg(l_discount) * 5 AS auc, avg(l_tax) AS auc_sd FROM lineitem WHERE NOT (l_suppkey % 10 = 3 AND l_returnflag = 'N') GROUP BY ALL)"""
+RUNS = """, runs AS (SELECT l_suppkey AS seed, l_returnflag AS method, CAST(l_linenumber AS BIGINT) AS round, avg(l_discount) * 5 AS auc, avg(l_tax) AS auc_sd FROM lineitem GROUP BY ALL)"""
 METHODS = ["A", "N", "R"]
 
 
-def runs(spark, d):
-    x = X.read(spark, d, "lineitem").where("NOT (l_suppkey % 10 = 3 AND l_returnflag = 'N')")
-    return x.groupBy(F.col("l_suppkey").alias("seed"), F.col("l_returnflag").alias("method"), F.col("l_linenumber").cast("long").alias("round")).agg((F.avg("l_discount") * 5).alias("auc"), F.avg("l_tax").alias("auc_sd"))
+def runs(spark, d, seed="l_suppkey"):
+    x = X.read(spark, d, "lineitem")
+    return x.groupBy(F.col(seed).alias("seed"), F.col("l_returnflag").alias("method"), F.col("l_linenumber").cast("long").alias("round")).agg((F.avg("l_discount") * 5).alias("auc"), F.avg("l_tax").alias("auc_sd"))
 
 
 def split_rows(spark, d):
@@ -29,11 +29,16 @@ def split_rows(spark, d):
 SPLIT = """, sr AS (SELECT *, CAST(systolic > 130 OR diastolic > 80 AS BIGINT) AS state_val, CASE WHEN reading_id % 10 < 2 THEN 'test' WHEN reading_id % 10 < 4 THEN 'val' ELSE 'train' END AS split FROM readings)"""
 
 
-@query("d2_user_signal_stats", WINDOWS + """, m AS (SELECT user_id, list_avg(hr) AS hr, list_avg(st) AS st FROM w JOIN readings USING (reading_id)) SELECT user_id, count(*) AS n FROM m GROUP BY user_id""")
+ZSCORED = "list_transform({0}, lambda x: (x - list_avg({0})) / CASE WHEN list_stddev_pop({0}) > 1e-12 THEN list_stddev_pop({0}) ELSE 1 END)"
+STATS = ("hr_mean", "hr_std", "st_mean", "st_std")
+
+
+@query("d2_user_signal_stats", WINDOWS + f""", m AS (SELECT user_id, list_avg({ZSCORED.format("hr")}) AS hr, list_avg({ZSCORED.format("st")}) AS st FROM w JOIN readings USING (reading_id))
+SELECT user_id, count(*) AS n, round(avg(hr), 6) + 0.0 AS hr_mean, round(stddev_samp(hr), 6) + 0.0 AS hr_std, round(avg(st), 6) + 0.0 AS st_mean, round(stddev_samp(st), 6) + 0.0 AS st_std FROM m GROUP BY user_id""")
 def d2(spark, d):
     w = windows(spark, d)
     s = R.user_signal_stats(w)
-    return w.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(s, "user_id").select("user_id", "n")
+    return w.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).join(s, "user_id").select("user_id", "n", *[(r6(c) + 0.0).alias(c) for c in STATS])
 
 
 @query("d2_pool_signal_stats", """, m AS (SELECT user_id, list_avg(z[1:30]) AS hr, list_avg(z[31:60]) AS st FROM pool) SELECT user_id, round(avg(hr), 6) AS hr_mean, round(stddev_samp(hr), 6) AS hr_std, round(avg(st), 6) AS st_mean, round(stddev_samp(st), 6) AS st_std FROM m GROUP BY user_id""")
@@ -68,9 +73,10 @@ def c11(spark, d):
     return R.merge_round_metrics(r.groupBy("round").agg(F.count(F.lit(1)).alias("n")), r.where("round < 5").groupBy("round").agg(r6(F.avg("auc")).alias("auc")))
 
 
-@query("c12_shared_seeds", RUNS + " SELECT seed, method, round FROM runs WHERE seed IN (SELECT seed FROM runs GROUP BY seed HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM runs))")
+@query("c12_shared_seeds", RUNS.replace("l_suppkey", "l_orderkey") + " SELECT seed, method, round FROM runs WHERE seed IN (SELECT seed FROM runs GROUP BY seed HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM runs))")
 def c12(spark, d):
-    return R.shared_seed_runs(runs(spark, d), "seed", "method").select("seed", "method", "round")
+    # an order as a seed: many lack a method
+    return R.shared_seed_runs(runs(spark, d, "l_orderkey"), "seed", "method").select("seed", "method", "round")
 
 
 @query("d24_mean_std_per_round", RUNS + " SELECT method, round, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_std, round(avg(auc) + avg(auc_sd), 6) AS upper FROM runs GROUP BY method, round")
@@ -114,35 +120,58 @@ def d29(spark, d):
     return R.unpivot_metrics(wide, "c_custkey", "_AUC_Train")
 
 
-SUMMARIES = """, su AS (SELECT 'hp' || o_custkey % 20 AS uid, CAST(substr(o_orderpriority, 1, 1) AS VARCHAR) AS pipeline, o_orderstatus AS substance, o_orderkey AS path, CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice / 1000000, 4) END AS m0, round(o_totalprice / 1000000, 3) AS m1 FROM orders),
-ce AS (SELECT substance, uid, pipeline, arg_min(coalesce(m0, m1), path) AS m FROM su GROUP BY ALL)"""
+#: Results by user, pipeline, substance and task: a train auc in some files only, the test auc as a number or as text.
+SUMMARIES = """, su AS (SELECT 'hp' || o_custkey % 20 AS uid, CAST(substr(o_orderpriority, 1, 1) AS VARCHAR) AS pipeline, o_orderstatus AS substance, CASE WHEN o_custkey % 2 = 0 THEN 'Use' ELSE 'Crave' END AS task, o_orderkey AS path,
+CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice / 2000000, 4) END AS train, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN round(o_totalprice / 1000000, 4) END, round(o_totalprice / 1000000, 3)) AS mean, 0.01::DOUBLE AS std FROM orders),
+pp AS (SELECT CAST(substr(o_orderpriority, 1, 1) AS VARCHAR) AS pipeline, o_orderstatus AS substance, CASE WHEN o_custkey % 2 = 0 THEN 'Use' ELSE 'Crave' END AS task, CAST(l_returnflag = 'R' AS BIGINT) AS y_true, round(l_discount * 5 + l_tax * 5, 4) AS y_score FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
 PIPES = ["1", "2", "3"]
+CELLS = ("train", "mean", "std")
+
+
+def _keys(orders):
+    task = F.when(F.col("o_custkey") % 2 == 0, "Use").otherwise("Crave")
+    return [F.substring("o_orderpriority", 1, 1).alias("pipeline"), F.col("o_orderstatus").alias("substance"), task.alias("task")]
 
 
 def summaries(spark, d):
     o = X.read(spark, d, "orders")
     price = F.col("o_totalprice") / 1_000_000
     return o.select(
-        F.concat(F.lit("hp"), (F.col("o_custkey") % 20).cast("string")).alias("uid"), F.substring("o_orderpriority", 1, 1).alias("pipeline"), F.col("o_orderstatus").alias("substance"), F.col("o_orderkey").alias("path"),
+        F.concat(F.lit("hp"), (F.col("o_custkey") % 20).cast("string")).alias("uid"), *_keys(o), F.col("o_orderkey").alias("path"), F.when(F.col("o_orderkey") % 3 == 0, F.round(price / 2, 4)).alias("auc_train"),
         F.when(F.col("o_orderkey") % 2 == 0, F.round(price, 4)).alias("auc_mean"), F.lit(None).cast("double").alias("auc_std"), F.concat(F.round(price, 3).cast("string"), F.lit(" ± 0.01")).alias("auc_text"),
     )
 
 
-def wide_sql(by: str) -> str:
-    cells = ", ".join(f"max(m) FILTER (WHERE pipeline = '{p}') AS p{p}" for p in PIPES)
-    cols, avgs = ", ".join(f"round(p{p}, 6) AS p{p}" for p in PIPES), ", ".join(f"round(avg(p{p}), 6)" for p in PIPES)
-    source = SUMMARIES if by else SUMMARIES.replace("SELECT substance, uid, pipeline", "SELECT uid, pipeline").replace("o_orderstatus AS substance, ", "")
-    return source + f", wd AS (SELECT {by} uid, {cells} FROM ce GROUP BY ALL) SELECT {by} uid, {cols} FROM wd UNION ALL SELECT {by} 'AGGREGATED', {avgs} FROM wd" + (" GROUP BY substance" if by else "")
+def predictions(spark, d):
+    o = X.read(spark, d, "orders").join(X.read(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.select(*_keys(o), (F.col("l_returnflag") == "R").cast("long").alias("y_true"), F.round(F.col("l_discount") * 5 + F.col("l_tax") * 5, 4).alias("y_score"))
+
+
+def wide_sql(by: str, source: str = "su") -> str:
+    """A row for each user, first values by path, and the row of all users' predictions, resampled."""
+    from .q_metrics import boot
+
+    lead, keys = (by + ", " if by else ""), (by + ", " if by else "") + "pipeline"
+    first = ", ".join(f"arg_min({c}, path) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in CELLS)
+    texts = " || ':' || ".join(keys.split(", "))
+    cells = ", ".join(f"round(max({c}) FILTER (WHERE pipeline = '{p}'), 6) AS {c}{p}" for p in PIPES for c in CELLS)
+    tail = f""", ce AS (SELECT {keys}, uid, {first} FROM {source} GROUP BY {keys}, uid), al AS (SELECT {keys}, uid, train, mean, std FROM ce UNION ALL SELECT {keys}, 'AGGREGATED', NULL, auc_mean, auc_std FROM bs)
+SELECT {lead}uid, {cells} FROM al GROUP BY {lead}uid"""
+    return boot(keys, texts, "pp") + tail
+
+
+def wide_columns(wide, by):
+    return wide.select(*by, "uid", *[r6(f"{p}_{c}").alias(f"{c}{p}") for p in PIPES for c in CELLS])
 
 
-@query("d30_auc_wide", wide_sql(""))
+@query("d30_auc_wide", SUMMARIES + wide_sql(""))
 def d30(spark, d):
-    return R.auc_wide_table(summaries(spark, d), PIPES).select("uid", *[r6(f"{p}_mean").alias(f"p{p}") for p in PIPES])
+    return wide_columns(R.auc_wide_table(summaries(spark, d), predictions(spark, d), PIPES), [])
 
 
-@query("d31_grouped_tables", wide_sql("substance,"))
+@query("d31_grouped_tables", SUMMARIES + wide_sql("substance, task"))
 def d31(spark, d):
-    return R.auc_wide_table(summaries(spark, d), PIPES, ["substance"]).select("substance", "uid", *[r6(f"{p}_mean").alias(f"p{p}") for p in PIPES])
+    return wide_columns(R.auc_wide_table(summaries(spark, d), predictions(spark, d), PIPES, ["substance", "task"]), ["substance", "task"])
 
 
 @query("d32_feature_correlation", """ SELECT a, b, round(c, 6) AS corr FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS c FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', corr(l_quantity, l_tax) FROM lineitem UNION ALL SELECT 'l_quantity', 'twice', corr(l_quantity, l_quantity * 2 + 1) FROM lineitem

@@ -9,7 +9,9 @@ from ..operators import active as A
 from ..operators import balance as B
 from ..operators import clean as C
 from ..operators import splits as S
+from ..operators import temporal as T
 from ..registry import query
+from .q_temporal import CANDIDATES, WINDOWS
 
 DAY = C.DAY
 ROWS = f""", rows AS (SELECT user_id, reading_id, t // {DAY} AS day, CAST(systolic > 130 OR diastolic > 80 AS BIGINT) AS state_val FROM readings)"""
@@ -27,10 +29,13 @@ def days(spark, d):
     return rows(spark, d).groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("state_val").alias("pos"))
 
 
-@query("i1_day_split_retry", DAYS + """, tr AS (SELECT dr.*, i, CAST(ceil(round(s * nd, 9)) AS BIGINT) AS te FROM dr, (SELECT unnest(range(0, 10)) AS i, unnest([0.2, 0.18, 0.22, 0.16, 0.24, 0.15, 0.25, 0.17, 0.19, 0.21]::DOUBLE[]) AS s)),
+RETRY = f""", tr AS (SELECT dr.*, i, CAST(ceil(round(s * nd, 9)) AS BIGINT) AS te FROM dr, (SELECT unnest(range(0, 10)) AS i, unnest({list(S.TEST_SIZES)}::DOUBLE[]) AS s)),
 sp AS (SELECT *, CASE WHEN rk <= te THEN 'test' WHEN rk <= te + ceil(0.25::DOUBLE * (nd - te)) THEN 'val' ELSE 'train' END AS split FROM tr),
-ok AS (SELECT user_id, i FROM sp GROUP BY ALL HAVING sum(CASE WHEN split = 'test' THEN n ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'test' THEN pos ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'test' THEN n - pos ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'val' THEN n ELSE 0 END) >= 2)
-SELECT sp.user_id, day, split FROM sp JOIN (SELECT user_id, min(i) AS i FROM ok GROUP BY user_id) o ON o.user_id = sp.user_id AND o.i = sp.i""")
+ok AS (SELECT user_id, i FROM sp GROUP BY ALL HAVING sum(CASE WHEN split = 'test' THEN n ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'test' THEN pos ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'test' THEN n - pos ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'val' THEN n ELSE 0 END) >= 2),
+ds AS (SELECT sp.user_id, day, split FROM sp JOIN (SELECT user_id, min(i) AS i FROM ok GROUP BY user_id) o ON o.user_id = sp.user_id AND o.i = sp.i)"""
+
+
+@query("i1_day_split_retry", DAYS + RETRY + " SELECT user_id, day, split FROM ds")
 def i1(spark, d):
     return S.day_split_retry(days(spark, d))
 
@@ -55,11 +60,11 @@ def i5(spark, d):
     return S.stratified_split_min(rows(spark, d), 0.9, "state_val", 42, "reading_id").select("reading_id", "hidden")
 
 
-@query("i6_target_quota", ROWS + """, n AS (SELECT greatest(4, CAST(floor((1 - 0.9::DOUBLE) * count(*) + 0.5) AS BIGINT)) AS want FROM rows),
+@query("i6_target_quota", ROWS + """, n AS (SELECT greatest(4, CAST(round_even((1 - 0.9::DOUBLE) * count(*), 0) AS BIGINT)) AS want FROM rows),
 own AS (SELECT reading_id FROM (SELECT *, row_number() OVER (PARTITION BY state_val ORDER BY md5('42:' || reading_id), reading_id) AS r FROM rows WHERE user_id = 3) WHERE r = 1),
 lf AS (SELECT want - (SELECT count(*) FROM own) AS lft FROM n),
 ot AS (SELECT *, row_number() OVER (PARTITION BY state_val ORDER BY md5('42:' || reading_id), reading_id) AS r, count(*) OVER (PARTITION BY state_val) AS m, count(*) OVER () AS tot FROM rows WHERE user_id <> 3),
-pk AS (SELECT reading_id FROM ot, lf WHERE r <= CAST(floor(CAST(lft AS DOUBLE) * m / tot + 0.5) AS BIGINT) ORDER BY r, md5('42:' || reading_id), reading_id LIMIT (SELECT lft FROM lf))
+pk AS (SELECT reading_id FROM ot, lf WHERE r <= greatest(1, CAST(round_even(CAST(lft AS DOUBLE) * m / tot, 0) AS BIGINT)) ORDER BY r, md5('42:' || reading_id), reading_id LIMIT (SELECT lft FROM lf))
 SELECT reading_id FROM own UNION ALL SELECT reading_id FROM pk""")
 def i6(spark, d):
     return S.target_quota_split(rows(spark, d), 3, 0.9, 42, "reading_id").select("reading_id")
@@ -72,13 +77,10 @@ def i7(spark, d):
     return S.min_per_user_split(rows(spark, d), 0.2, 42, "reading_id").select("reading_id")
 
 
-FILL = """, h AS (SELECT *, md5('42:' || reading_id) AS h FROM rows), w AS (SELECT CAST(floor((1 - {uf}::DOUBLE) * count(*) + 0.5) AS BIGINT) AS want FROM rows)"""
-
-
-@query("i8_day_class_seed", ROWS + FILL.format(uf=0.5) + """, dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY h, reading_id) AS r FROM h) WHERE r = 1 ORDER BY h, reading_id LIMIT (SELECT want FROM w)),
-hf AS (SELECT greatest(0, want - (SELECT count(*) FROM dd)) // 2 AS half FROM w),
-rs AS (SELECT * FROM h ANTI JOIN dd USING (reading_id)),
-mo AS (SELECT reading_id FROM (SELECT *, row_number() OVER (PARTITION BY state_val ORDER BY h, reading_id) AS r FROM rs), hf WHERE r <= half),
+@query("i8_day_class_seed", ROWS + """, h AS (SELECT *, md5('42:' || reading_id) AS h FROM rows), w AS (SELECT greatest(1, CAST(floor((1 - 0.5::DOUBLE) * count(*)) AS BIGINT)) AS want FROM rows),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY h, reading_id) AS r FROM h) WHERE r = 1),
+lf AS (SELECT want - (SELECT count(*) FROM dd) AS lft FROM w),
+mo AS (SELECT reading_id FROM (SELECT *, row_number() OVER (PARTITION BY state_val ORDER BY h, reading_id) AS r FROM h ANTI JOIN dd USING (reading_id)), lf WHERE r <= CASE WHEN state_val = 1 THEN lft // 2 ELSE lft - lft // 2 END),
 fi AS (SELECT reading_id FROM dd UNION ALL SELECT reading_id FROM mo),
 al AS (SELECT h.reading_id, row_number() OVER (ORDER BY f.reading_id IS NULL, h, h.reading_id) AS o FROM h LEFT JOIN fi f ON f.reading_id = h.reading_id)
 SELECT reading_id FROM al, w WHERE o <= want""")
@@ -89,7 +91,7 @@ def i8(spark, d):
 @query("i9_variance_seed", """, s AS (SELECT vec_id, md5('42:' || vec_id) AS h, list_stddev_pop(z[1:30]) + list_stddev_pop(z[31:60]) AS score FROM pool),
 e AS (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM s), b AS (SELECT s.*, len(list_filter(list_distinct(e), lambda x: x < score)) AS bin FROM s, e),
 o AS (SELECT vec_id, h, row_number() OVER (PARTITION BY bin ORDER BY h, vec_id) AS r FROM b), q AS (SELECT vec_id, row_number() OVER (ORDER BY r <> 1, h, vec_id) AS k, count(*) OVER () AS n FROM o)
-SELECT vec_id FROM q WHERE k <= floor((1 - 0.9::DOUBLE) * n + 0.5)""")
+SELECT vec_id FROM q WHERE k <= floor((1 - 0.9::DOUBLE) * n)""")
 def i9(spark, d):
     p = X.pool(spark, d).select("vec_id", (C.seq_std(F.slice("z", 1, 30)) + C.seq_std(F.slice("z", 31, 30))).alias("score"))
     return S.variance_seed(p, "score", 0.9, 42, "vec_id").select("vec_id")
@@ -170,14 +172,23 @@ def k3(spark, d):
     return A.round_log(picked, 0, 1).select("round", "new", F.col("num_labeled").cast("long").alias("num_labeled"))
 
 
-@query("k3_uncertainty_rounds", """, u AS (SELECT sample_id, max(round(1 - abs(2 * y_score - 1), 6)) AS u FROM preds GROUP BY sample_id), o AS (SELECT sample_id, row_number() OVER (ORDER BY u DESC, sample_id) AS r FROM u) SELECT sample_id, CAST(ceil(r / 20.0) AS BIGINT) AS round FROM o WHERE r <= 60""")
+@query("k3_uncertainty_rounds", """, u AS (SELECT sample_id, max(round(1 - abs(2 * y_score - 1), 6)) AS u FROM preds GROUP BY sample_id), o AS (SELECT sample_id, row_number() OVER (ORDER BY u DESC, sample_id) AS r FROM u) SELECT sample_id, CAST(ceil(r / 50.0) AS BIGINT) AS round FROM o WHERE r <= 1000""")
 def k3u(spark, d):
     p = A.margin_score(X.preds(spark, d)).groupBy("sample_id").agg(F.max("uncertainty").alias("uncertainty"))
-    pick = lambda left, labeled, r: A.topk(left, "uncertainty", "sample_id", 20)
-    return A.active_learning_rounds(p, p.limit(0), pick, 20, 3, "sample_id")
+    return A.score_rounds(p, "uncertainty", 50, 20, "sample_id")
+
+
+#: The window job's chain: complete users, spikes and quiet minutes as labels, windows, counts by day, splits of days.
+BUILD = CANDIDATES.rstrip().removesuffix(",") + f""", ck AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || minute), user_id, minute) AS rk FROM cd),
+cn AS (SELECT user_id, count(*) FILTER (WHERE systolic > 130 OR diastolic > 80) - count(*) FILTER (WHERE NOT (systolic > 130 OR diastolic > 80)) AS n FROM readings GROUP BY user_id),
+ku AS (SELECT user_id FROM readings INTERSECT SELECT user_id FROM signals WHERE data_type = 'hr' INTERSECT SELECT user_id FROM signals WHERE data_type = 'steps'),
+lb AS (SELECT user_id, t, CAST(systolic > 130 OR diastolic > 80 AS BIGINT) AS state_val, 'r' || reading_id AS label_id FROM readings WHERE user_id IN (SELECT user_id FROM ku)
+UNION ALL SELECT ck.user_id, minute * {T.MINUTE}, 0, 'n:' || ck.user_id || ':' || minute FROM ck JOIN cn ON cn.user_id = ck.user_id WHERE rk <= n AND ck.user_id IN (SELECT user_id FROM ku)), """ + WINDOWS[WINDOWS.index("p AS (") :].replace("FROM readings r", "FROM lb r").replace("reading_id", "label_id") + f""",
+wl AS (SELECT lb.*, t // {DAY} AS day FROM lb JOIN w USING (label_id)), dy AS (SELECT user_id, day, count(*) AS n, CAST(sum(state_val) AS BIGINT) AS pos FROM wl GROUP BY ALL),
+dr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || day), day) AS rk, count(*) OVER (PARTITION BY user_id) AS nd FROM dy)""" + RETRY.replace("sp AS (", "sl AS (").replace("FROM sp ", "FROM sl sp ")
 
 
-@query("k1_build_windows")
+@query("k1_build_windows", BUILD + " SELECT wl.user_id, label_id, state_val, split FROM wl JOIN ds ON ds.user_id = wl.user_id AND ds.day = wl.day")
 def k1(spark, d):
     from .jobs import build_windows
 

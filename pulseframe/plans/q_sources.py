@@ -10,7 +10,8 @@ from ..registry import query, r6
 from ..sources import readers, writers
 from ..sources.paths import scratch
 from .jobs import experiment_rollup, fraction_vs_full, learning_curve
-from .q_metrics import auc_sql
+from .q_metrics import boot, rank_sql
+from .q_rollups import PIPES, SUMMARIES, predictions, summaries, wide_columns, wide_sql
 
 
 def text_time(t):
@@ -63,8 +64,8 @@ def a9(spark, d):
     size = F.col("p_size")
     k = F.when(size % 3 == 0, F.concat(F.lit("["), size.cast("string"), F.lit("]"))).otherwise(size.cast("string"))
     text = F.concat(F.lit('{"user": "'), F.col("p_partkey").cast("string"), F.lit('", "unlabeled_frac": '), ((size % 9 + 1).cast("double") / 10).cast("string"), F.lit(', "K": '), k, F.lit(', "T": '), F.when(size % 2 == 0, "50").otherwise("null"), F.lit("}"))
-    X.read(spark, d, "part").select(text.alias("value")).write.text(out, lineSep="\n")
-    return readers.parse_run_summaries(spark.read.text(out)).select("user", "uf", "K", "T")
+    X.read(spark, d, "part").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(out)  # a run in each file
+    return readers.read_run_summaries(spark, out, "*.txt").select("user", "uf", "K", "T")
 
 
 @query("a6_result_tree", """, su AS (SELECT o_custkey % 4 AS u, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL) SELECT 'hp' || u AS uid, s AS substance, 'BP_spike' AS task, n FROM su""")
@@ -77,20 +78,62 @@ def a6(spark, d):
     return readers.read_result_tree(spark, out, "*.csv").select("uid", "substance", "task", F.col("n").cast("long").alias("n"))
 
 
-@query("k4_learning_curve", auc_sql("preds", "round, split") + ", p AS (SELECT round, split, count(*) AS n FROM preds GROUP BY ALL) SELECT p.round, p.split, n, round(auc, 6) AS auc FROM p JOIN au ON au.round = p.round AND au.split = p.split UNION ALL SELECT NULL, split, count(*), NULL FROM preds GROUP BY split")
+SCORES = ("auc", "auc_mean", "auc_std")
+R_SCORES = ", ".join(f"round({c}, 6) AS {c}" for c in SCORES)
+
+
+@query("k4_learning_curve", rank_sql("round, split") + boot("round, split", "round || ':' || split") + rank_sql("split", name="f") + boot("split", "split", name="f")
+    + f" SELECT rk.round, rk.split, n, round(ap, 6) AS ap, {R_SCORES} FROM rk JOIN bs ON bs.round = rk.round AND bs.split = rk.split UNION ALL SELECT NULL, rkf.split, n, round(ap, 6), {R_SCORES} FROM rkf JOIN bsf ON bsf.split = rkf.split")
 def k4(spark, d):
-    return learning_curve(X.preds(spark, d)).select("round", "split", "n", r6("auc").alias("auc"))
+    return learning_curve(X.preds(spark, d)).select("round", "split", "n", *[r6(c).alias(c) for c in ("ap", *SCORES)])
+
+
+ROLLUP = SUMMARIES + """, ne AS (SELECT uid, substance, task, pipeline, max(path) AS path FROM su GROUP BY ALL), nw AS (SELECT su.* FROM su JOIN ne USING (uid, substance, task, pipeline, path))"""
+
+
+def as_cte(sql: str, name: str) -> str:
+    """', x AS (...) SELECT ...' with its last SELECT as one more common table expression."""
+    head, last = sql.rsplit("\nSELECT ", 1)
+    return f"{head}, {name} AS (SELECT {last}) "
+
 
+def rollup(spark, d, table):
+    o = summaries(spark, d).withColumn("mtime", F.col("path"))
+    return experiment_rollup(o, predictions(spark, d), PIPES)[table]
 
-@query("k5_experiment_rollup", """, ce AS (SELECT 'hp' || o_custkey % 20 AS uid, substr(o_orderpriority, 1, 1) AS pipeline, arg_max(round(o_totalprice / 1000000, 4), o_orderkey) AS m FROM orders GROUP BY ALL)
-SELECT uid, round(max(m) FILTER (WHERE pipeline = '1'), 6) AS p1, round(max(m) FILTER (WHERE pipeline = '2'), 6) AS p2 FROM ce GROUP BY uid UNION ALL SELECT 'AGGREGATED', round(avg(m) FILTER (WHERE pipeline = '1'), 6), round(avg(m) FILTER (WHERE pipeline = '2'), 6) FROM ce""")
+
+@query("k5_experiment_rollup", ROLLUP + wide_sql("", "nw"))
 def k5(spark, d):
-    o = X.read(spark, d, "orders")
-    s = o.select(F.concat(F.lit("hp"), (F.col("o_custkey") % 20).cast("string")).alias("uid"), F.substring("o_orderpriority", 1, 1).alias("pipeline"), F.col("o_orderkey").alias("path"), F.col("o_orderkey").alias("mtime"), F.round(F.col("o_totalprice") / 1_000_000, 4).alias("auc_mean"), F.lit(None).cast("double").alias("auc_std"), F.lit(None).cast("string").alias("auc_text"))
-    return experiment_rollup(s, ["1", "2"]).select("uid", r6("1_mean").alias("p1"), r6("2_mean").alias("p2"))
+    return wide_columns(rollup(spark, d, "wide"), [])
+
+
+@query("k5_grouped", ROLLUP + wide_sql("substance, task", "nw"))
+def k5_grouped(spark, d):
+    return wide_columns(rollup(spark, d, "grouped"), ["substance", "task"])
+
+
+@query("k5_long", ROLLUP + as_cte(wide_sql("", "nw"), "wt") + " UNION ALL ".join(f"SELECT uid, '{p}' AS pipeline, mean{p} AS value FROM wt WHERE mean{p} IS NOT NULL" for p in PIPES))
+def k5_long(spark, d):
+    return rollup(spark, d, "long").select("uid", "pipeline", r6("value").alias("value"))
 
 
-@query("k6_fraction_vs_full", """, rk AS (SELECT user_id, y_true, y_score, seed, row_number() OVER (PARTITION BY user_id, y_true, seed ORDER BY md5(seed || ':' || sample_id), sample_id, y_score) AS r, count(*) OVER (PARTITION BY user_id, y_true, seed) AS n FROM preds, (SELECT unnest([42, 43]) AS seed)),
-ch AS (SELECT user_id, CAST(seed AS VARCHAR) AS seed, y_true, y_score FROM rk WHERE r <= floor(0.1 * n + 0.5) UNION ALL SELECT user_id, 'full_data', y_true, y_score FROM preds)""" + auc_sql("ch", "user_id, seed") + ", c AS (SELECT user_id, seed, count(*) AS n FROM ch GROUP BY ALL) SELECT c.user_id, c.seed, n, round(auc, 6) AS auc FROM c JOIN au ON au.user_id = c.user_id AND au.seed = c.seed")
+@query("k6_fraction_vs_full", """, rr AS (SELECT user_id, y_true, y_score, seed, row_number() OVER (PARTITION BY user_id, y_true, seed ORDER BY md5(seed || ':' || sample_id), sample_id, y_score) AS r, count(*) OVER (PARTITION BY user_id, y_true, seed) AS n FROM preds, (SELECT unnest([42, 43]) AS seed)),
+ch AS (SELECT user_id, CAST(seed AS VARCHAR) AS seed, y_true, y_score FROM rr WHERE r <= floor(0.1 * n + 0.5) UNION ALL SELECT user_id, 'full_data', y_true, y_score FROM preds)""" + rank_sql("user_id, seed", "ch") + boot("user_id, seed", "user_id || ':' || seed", "ch")
+    + """, ll AS (SELECT user_id, seed, avg(-(y_true * ln(p) + (1 - y_true) * ln(1 - p))) AS log_loss FROM (SELECT *, least(greatest(y_score, 1e-15), 1 - 1e-15) AS p FROM ch) GROUP BY user_id, seed)
+SELECT rk.user_id, rk.seed, rk.n, round(log_loss, 6) AS log_loss, """ + R_SCORES + " FROM rk JOIN bs ON bs.user_id = rk.user_id AND bs.seed = rk.seed JOIN ll ON ll.user_id = rk.user_id AND ll.seed = rk.seed")
 def k6(spark, d):
-    return fraction_vs_full(X.preds(spark, d), 0.1, (42, 43)).select("user_id", "seed", "n", r6("auc").alias("auc"))
+    return fraction_vs_full(X.preds(spark, d), 0.1, (42, 43)).select("user_id", "seed", "n", *[r6(c).alias(c) for c in ("log_loss", *SCORES)])
+
+
+@query("a2_read_self_reports", """ SELECT scenario, user_id, t // 1000000 * 1000000 AS t FROM self_reports WHERE scenario = 'None' OR substance = 'melon'""")
+def a2_files(spark, d):
+    """Label files of each scenario, with the time column that the scenario has, read back for one substance."""
+    found = None
+    for scenario in ("Crave", "Use", "None"):
+        out = scratch(spark, "labels")
+        rows = X.self_reports(spark, d).where(F.col("scenario") == scenario)
+        time = "hawaii_use_time" if scenario == "Use" else "hawaii_createdat_time"
+        rows.select(F.col("event_id").alias("id"), F.col("substance").alias("substance_fruit_label"), "user_id", F.concat(X.wall_clock(F.col("t")).cast("string"), F.lit("-10:00")).alias(time)).write.csv(out, header=True)
+        part = readers.read_self_reports(spark, out, "melon", scenario).select(F.lit(scenario).alias("scenario"), "user_id", "t")
+        found = part if found is None else found.unionByName(part)
+    return found

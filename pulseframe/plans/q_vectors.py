@@ -8,7 +8,9 @@ from .. import fixtures as X
 from ..functions import augment as G
 from ..functions.scalars import zscore_seq
 from ..hashing import hash_unit
+from ..operators import active as A
 from ..operators import clean as C
+from ..operators import splits as P
 from ..operators import vectors as V
 from ..registry import query, r6
 
@@ -45,22 +47,50 @@ def j1(spark, d):
     return V.coreset_greedy(labeled, pool, 5, "vec_id", "z")
 
 
-DENSITY = LAB + """, fr AS (SELECT u.vec_id, min(round(1 - list_cosine_similarity(u.z, lb.z), 9)) AS dist FROM u, lb GROUP BY u.vec_id),
+DENSITY = LAB + """, fr AS (SELECT u.vec_id, min(round(1 - list_cosine_similarity(u.z, lb.z), 9)) AS md FROM u, lb GROUP BY u.vec_id),
 np AS (SELECT a.vec_id, round(1 - list_cosine_similarity(a.z, b.z), 9) AS dd, b.vec_id AS other FROM u a, u b WHERE a.vec_id <> b.vec_id),
 nk AS (SELECT vec_id, avg(1 - dd) AS den FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dd, other) AS r FROM np) WHERE r <= 10 GROUP BY vec_id),
-ut AS (SELECT vec_id, 0.5::DOUBLE * (dist - min(dist) OVER ()) / (max(dist) OVER () - min(dist) OVER ()) + 0.5::DOUBLE * (den - min(den) OVER ()) / (max(den) OVER () - min(den) OVER ()) AS utility FROM fr JOIN nk USING (vec_id))"""
+m0 AS (SELECT u.vec_id, u.z, md, (den - min(den) OVER ()) / (max(den) OVER () - min(den) OVER () + 1e-8) AS den FROM u JOIN fr USING (vec_id) JOIN nk USING (vec_id))"""
 
 
-@query("j2_density_utility", DENSITY + " SELECT vec_id AS id, round(utility, 5) AS utility FROM ut")
+def utility_sql(rows: str, name: str) -> str:
+    return f", {name} AS (SELECT vec_id, z, round(0.5::DOUBLE * CASE WHEN max(md) OVER () > min(md) OVER () THEN (md - min(md) OVER ()) / (max(md) OVER () - min(md) OVER ()) ELSE md END + 0.5::DOUBLE * den, 9) AS utility FROM {rows})"
+
+
+@query("j2_density_utility", DENSITY + utility_sql("m0", "ut") + " SELECT vec_id AS id, round(utility, 5) AS utility FROM ut")
 def j2(spark, d):
     labeled, pool = both(spark, d)
     return V.density_scores(labeled, pool, "vec_id", "z").select("id", F.round("utility", 5).alias("utility"))
 
 
-@query("j2_density_coreset", DENSITY + " SELECT CAST(1 AS BIGINT) AS pick, vec_id FROM (SELECT vec_id FROM ut ORDER BY round(utility, 9) DESC, vec_id LIMIT 1)")
+def density_sql(k: int) -> str:
+    out = DENSITY
+    for i in range(k):
+        out += utility_sql(f"m{i}", f"u{i}") + f", p{i} AS (SELECT vec_id, z FROM u{i} ORDER BY utility DESC, vec_id LIMIT 1), m{i + 1} AS (SELECT m.vec_id, m.z, least(md, round(1 - list_cosine_similarity(m.z, p.z), 9)) AS md, den FROM m{i} m, p{i} p WHERE m.vec_id <> p.vec_id)"
+    return out + " " + " UNION ALL ".join(f"SELECT CAST({i + 1} AS BIGINT) AS pick, vec_id FROM p{i}" for i in range(k))
+
+
+@query("j2_density_coreset", density_sql(5))
 def j2c(spark, d):
     labeled, pool = both(spark, d)
-    return V.density_coreset(labeled, pool, 1, "vec_id", "z")
+    return V.density_coreset(labeled, pool, 5, "vec_id", "z")
+
+
+@query("k3_coreset_rounds", greedy_sql(6).replace(" SELECT CAST(1 AS BIGINT) AS pick", ", pk AS (SELECT CAST(1 AS BIGINT) AS pick", 1) + ") SELECT CAST(ceil(pick / 3.0) AS BIGINT) AS round, vec_id, user_id FROM pk JOIN pool USING (vec_id)")
+def k3c(spark, d):
+    """Two rounds of three core-set picks, with the users that they fall on."""
+    labeled, _ = both(spark, d)
+    pool = X.pool(spark, d)
+    picked = A.active_learning_rounds(pool, labeled, A.coreset_picks("vec_id", "z", 3), 3, 2, "vec_id")
+    return picked.join(pool.select("vec_id", "user_id"), "vec_id").select("round", "vec_id", "user_id")
+
+
+@query("k3_kmeans_rounds")
+def k3k(spark, d):
+    """Per-user counts of two rounds of three picks by k-means from the labelled centroid."""
+    labeled, _ = both(spark, d)
+    pool = X.pool(spark, d)
+    return A.user_counts(A.active_learning_rounds(pool, labeled, A.kmeans_picks("vec_id", "z", 3), 3, 2, "vec_id"), pool, "vec_id")
 
 
 CENTERS = """, mc AS (SELECT cluster, i, avg(z[i]) AS m FROM pool, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), ce AS (SELECT cluster, list(m ORDER BY i) AS c FROM mc GROUP BY cluster)"""
@@ -111,11 +141,22 @@ def rep_sql(k: int) -> str:
     return out + " " + " UNION ALL ".join(f"SELECT CAST({i + 1} AS BIGINT) AS pick, vec_id FROM p{i}" for i in range(k))
 
 
-@query("j7_representative_seed", rep_sql(4))
-def j7(spark, d):
+REP_SQL = rep_sql(5).replace(" SELECT CAST(1 AS BIGINT) AS pick", ", pk AS (SELECT CAST(1 AS BIGINT) AS pick", 1) + ") SELECT vec_id FROM pk, (SELECT count(*) AS n FROM pool) WHERE pick <= greatest(1, floor((1 - 0.99::DOUBLE) * n))"
+
+
+def summary_features(spark, d):
     a, b = F.slice("z", 1, 30), F.slice("z", 31, 30)
-    f = X.pool(spark, d).select("vec_id", F.array(C.seq_mean(a), C.seq_std(a), C.seq_mean(b), C.seq_std(b)).alias("z"))
-    return V.kcenter_seed(f, 4, "vec_id", "z")
+    return X.pool(spark, d).select("vec_id", F.array(C.seq_mean(a), C.seq_std(a), C.seq_mean(b), C.seq_std(b)).alias("z"))
+
+
+@query("j7_representative_seed", REP_SQL)  # the SQL holds five picks: as many as a hundredth of 500 to 599 rows
+def j7(spark, d):
+    return P.representative_seed(summary_features(spark, d), 0.99, "vec_id", "z", "kcenter").select("vec_id")
+
+
+@query("j7_representative_kmeans")
+def j7k(spark, d):
+    return P.representative_seed(summary_features(spark, d), 0.99, "vec_id", "z", "kmeans").select("vec_id")
 
 
 @query("j4_kmeans_query")

@@ -8,10 +8,24 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, which all executors share; a temporary folder only where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a temporary folder only where it is unset and all runs on this machine."""
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir")
+    if not top and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not top:
-        top = getattr(spark.sparkContext, "_scratch_dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext._scratch_dir = top
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        top = getattr(context, "_scratch_dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        context._scratch_dir = top
+    return top.rstrip("/")
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Let df.checkpoint() write below the shared folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared(spark))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has used before."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"

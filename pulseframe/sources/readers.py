@@ -64,9 +64,9 @@ def read_result_tree(spark: SparkSession, root: str, name: str = "comparison_sum
     return raw.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.element_at(parts, -3).alias("uid"), F.get(F.split(folder, "_", 2), F.lit(0)).alias("substance"), F.get(F.split(folder, "_", 2), F.lit(1)).alias("task"))
 
 
-def read_run_summaries(spark: SparkSession, root: str) -> DataFrame:
+def read_run_summaries(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """user, pool, fruit, scenario, uf, T, K, budget of run files; a number may be alone or the first of a list."""
-    return parse_run_summaries(spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"))
+    return parse_run_summaries(spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern))
 
 
 def parse_run_summaries(raw: DataFrame) -> DataFrame:

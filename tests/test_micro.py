@@ -111,7 +111,7 @@ def test_packed_values_and_times(spark):
 
 
 def test_wide_table_takes_both_header_variants(spark):
-    s = spark.createDataFrame([("hp2", "x", "a", None, None, "0.5 ± 0.1"), ("hp10", "x", "b", 0.7, 0.2, None), ("hp2", "x", "c", 0.9, 0.1, None)], "uid string, pipeline string, path string, auc_mean double, auc_std double, auc_text string")
+    s = spark.createDataFrame([("hp2", "x", "a", None, None, "0.5 ± 0.1"), ("hp10", "x", "b", 0.7, 0.2, None), ("hp2", "x", "c", 0.9, 0.1, None)], "uid string, pipeline string, path string, auc_mean double, auc_std double, auc_text string").withColumn("auc_train", F.lit(0.9))
     wide = {r["uid"]: (r["x_mean"], r["x_std"]) for r in R.sort_by_numeric_id(R.auc_wide_table(s, ["x"]), "uid").collect()}
     assert list(wide) == ["hp2", "hp10", "AGGREGATED"] and wide["hp2"] == (0.5, 0.1) and wide["AGGREGATED"][0] == pytest.approx(0.6)
 
