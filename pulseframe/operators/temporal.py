@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -95,41 +97,90 @@ def rows_on_days(df: DataFrame, day_split: DataFrame, split: str) -> DataFrame:
     return df.withColumn("_day", F.floor(F.col("t") / DAY).cast("long")).join(days, ["user_id", "_day"], "left_semi").drop("_day")
 
 
+def by_day() -> Column:
+    return F.floor(F.col("t") / DAY).cast("long")
+
+
 def rolling_time_stats(df: DataFrame, minutes: tuple[int, ...] = (5, 10, 30, 60), hr: str = "hr", steps: str = "steps") -> DataFrame:
-    """Statistics of both signals over (t - w, t] for each width; one partitioning and order for all frames."""
-    out = df
+    """Statistics of both signals over (t - w, t] for each width; one partitioning and order for all frames.
+
+    Dealt by user and day: each day also gets the rows of the widest frame before it, so that a long series is many tasks.
+    """
+    reach = max(minutes) * MINUTE
+    own = by_day()
+    spread = df.withColumn("_part", F.explode(F.array_distinct(F.array(own, F.floor((F.col("t") + reach) / DAY).cast("long")))))
+    columns = []
     for m in minutes:
-        w = W.partitionBy("user_id").orderBy("t").rangeBetween(-m * MINUTE + 1, 0)
-        for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp)):
-            out = out.withColumn(f"hr_{n}_{m}min", f(hr).over(w))
-        for n, f in (("total", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp)):
-            out = out.withColumn(f"steps_{n}_{m}min", f(steps).over(w))
-        out = out.withColumn(f"steps_diff_{m}min", F.col(f"steps_max_{m}min") - F.col(f"steps_min_{m}min"))
+        w = W.partitionBy("user_id", "_part").orderBy("t").rangeBetween(-m * MINUTE + 1, 0)
+        columns += [f(hr).over(w).alias(f"hr_{n}_{m}min") for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp))]
+        columns += [f(steps).over(w).alias(f"steps_{n}_{m}min") for n, f in (("total", F.sum), ("mean", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_samp))]
+    rolled = spread.select("*", *columns).where(F.col("_part") == own).drop("_part")
+    return rolled.withColumns({f"steps_diff_{m}min": F.col(f"steps_max_{m}min") - F.col(f"steps_min_{m}min") for m in minutes})
+
+
+def with_rows_before(df: DataFrame, k: int) -> tuple[DataFrame, list[str]]:
+    """df with _part (the day) and _own, and the k rows before each user's day once more as its rows with _own false; and the keys of a window.
+
+    A frame that reaches k rows back is then whole inside a day, so that a long series is many tasks. Rows without a
+    time are a day of their own, the first.
+    """
+    rows = df.withColumn("_part", F.coalesce(by_day(), F.lit(-(1 << 62)))).withColumn("_row", F.struct(*df.columns))
+    rank = F.row_number().over(W.partitionBy("user_id", "_part").orderBy(F.desc_nulls_last("t")))
+    tails = rows.withColumn("_k", rank).where(F.col("_k") <= k).groupBy("user_id", "_part").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_k")).alias("_k"), "_row"))), lambda x: x["_row"]).alias("_tail"))  # k rows
+    earlier = W.partitionBy("user_id").orderBy("_part").rowsBetween(-k, -1)
+    before = tails.select("user_id", "_part", F.flatten(F.collect_list("_tail").over(earlier)).alias("_rows"))  # each day with rows has one at least
+    before = before.select("_part", F.explode(F.slice("_rows", F.greatest(F.size("_rows") - k + 1, F.lit(1)), k)).alias("_row")).select("_row.*", "_part", F.lit(False).alias("_own"))
+    return rows.drop("_row").withColumn("_own", F.lit(True)).unionByName(before), ["user_id", "_part"]
+
+
+def over_rows(df: DataFrame, k: int, columns: Callable[[WindowSpec], list[Column]]) -> DataFrame:
+    """df with the columns over a window in the user's time order whose frames reach at most k rows back. df is read twice."""
+    rows, keys = with_rows_before(df, k)
+    return rows.select("*", *columns(W.partitionBy(*keys).orderBy("t"))).where("_own").drop("_part", "_own")
+
+
+def rolls(w: WindowSpec, column: str, sizes: tuple[int, ...] = (3, 5)) -> list[Column]:
+    out = []
+    for n in sizes:
+        frame = w.rowsBetween(-n + 1, 0)
+        full = F.count(column).over(frame) == n
+        out += [F.when(full, f(column).over(frame)).alias(f"{column}_roll{n}_{name}") for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("sum", F.sum))]
     return out
 
 
+def lagged(w: WindowSpec, columns: list[str], lags: tuple[int, ...] = (1, 3, 5)) -> list[Column]:
+    return [F.lag(c, k).over(w).alias(f"{c}_lag_{k}") for c in columns for k in lags]
+
+
+def gap_minutes(w: WindowSpec) -> Column:
+    return ((F.col("t") - F.lag("t").over(w)) / MINUTE).alias("minutes_since_previous")
+
+
 def rolling_row_stats(df: DataFrame, column: str, sizes: tuple[int, ...] = (3, 5)) -> DataFrame:
     """Mean, deviation and sum over the last 3 and 5 rows; null until the frame is full."""
-    out = df
-    for n in sizes:
-        w = W.partitionBy("user_id").orderBy("t").rowsBetween(-n + 1, 0)
-        full = F.count(column).over(w) == n
-        for name, f in (("mean", F.avg), ("std", F.stddev_samp), ("sum", F.sum)):
-            out = out.withColumn(f"{column}_roll{n}_{name}", F.when(full, f(column).over(w)))
-    return out
+    return over_rows(df, max(sizes) - 1, lambda w: rolls(w, column, sizes))
 
 
 def lag_features(df: DataFrame, columns: list[str], lags: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("t")
-    return df.select("*", *[F.lag(c, k).over(w).alias(f"{c}_lag_{k}") for c in columns for k in lags])
+    return over_rows(df, max(lags), lambda w: lagged(w, columns, lags))
 
 
 def minutes_since_previous(df: DataFrame) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("t")
-    return df.withColumn("minutes_since_previous", (F.col("t") - F.lag("t").over(w)) / MINUTE)
+    return over_rows(df, 1, lambda w: [gap_minutes(w)])
 
 
 def ffill_bfill(df: DataFrame, columns: list[str]) -> DataFrame:
-    w = W.partitionBy("user_id").orderBy("t")
-    past, future = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(past), F.first(c, True).over(future)) for c in columns})
+    """Gaps filled with the user's last value before, else the next one after.
+
+    Inside a day both ways; a day without a value before (or after) takes it from the days beside it.
+    """
+    rows = df.withColumn("_part", F.coalesce(by_day(), F.lit(-(1 << 62))))
+    day, user = W.partitionBy("user_id", "_part"), W.partitionBy("user_id").orderBy("_part")
+    past, ahead = day.orderBy("t").rowsBetween(W.unboundedPreceding, 0), day.orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, 0)
+    valued = lambda c: F.when(F.col(c).isNotNull(), F.struct("t", c))
+    ends = rows.groupBy("user_id", "_part").agg(*[x for c in columns for x in (F.max(valued(c))[c].alias(f"_l_{c}"), F.min(valued(c))[c].alias(f"_f_{c}"))])
+    before, after = user.rowsBetween(W.unboundedPreceding, -1), W.partitionBy("user_id").orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    beside = ends.select(F.col("user_id").alias("_u"), F.col("_part").alias("_p"), *[x for c in columns for x in (F.last(f"_l_{c}", True).over(before).alias(f"_b_{c}"), F.last(f"_f_{c}", True).over(after).alias(f"_a_{c}"))])
+    filled = rows.select("*", *[x for c in columns for x in (F.last(c, True).over(past).alias(f"_i_{c}"), F.last(c, True).over(ahead).alias(f"_j_{c}"))])
+    met = filled.join(beside, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("_part") == F.col("_p")))
+    return met.withColumns({c: F.coalesce(f"_i_{c}", f"_b_{c}", f"_j_{c}", f"_a_{c}") for c in columns}).select(*df.columns)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.scalars import zscore_seq
+from ..hashing import with_position
+from .clean import DAY
 from .temporal import HOUR, MINUTE, asof_backward, bounds
 
 
@@ -34,10 +35,10 @@ def label_windows(labels: DataFrame, signals: DataFrame, key: str = "reading_id"
 
 def sliding_windows(df: DataFrame, size: int = 30, step: int = 15) -> DataFrame:
     """user_id, window_id, seq: full windows of `size` samples, every `step`, over each user's z-scored values in time order."""
-    users = W.partitionBy("user_id")
-    sd = F.stddev_pop("value").over(users)
-    z = (F.col("value") - F.avg("value").over(users)) / F.when(sd > 1e-12, sd).otherwise(1.0)
-    rows = df.select("user_id", "t", z.alias("z"), (F.row_number().over(users.orderBy("t")) - 1).alias("i"))
+    stats = df.groupBy("user_id").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    ranked = with_position(df.select("user_id", "t", "value"), ["user_id"], F.floor(F.col("t") / DAY), ["t"], "_i").join(stats, "user_id")
+    z = (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(1.0)
+    rows = ranked.select("user_id", "t", z.alias("z"), (F.col("_i") - 1).alias("i"))
     top = F.floor(F.col("i") / step).cast("long")
     ids = F.sequence(F.greatest(top - (size // step - 1), F.lit(0).cast("long")), top)
     spread = rows.select("user_id", "i", "z", F.explode(ids).alias("window_id")).where(F.col("i") < F.col("window_id") * step + size)

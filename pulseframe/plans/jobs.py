@@ -21,8 +21,8 @@ def build_features(readings: DataFrame, signals: DataFrame, stress: DataFrame, m
     names = [c for c in rolled.columns if c.endswith("min")]
     rows = T.asof_backward(rows, rolled, ["user_id"], {c: c for c in names})
     rows = T.interval_join_agg(rows, stress, "reading_id", "stress")
-    rows = T.lag_features(rows, ["BP_spike", "stress_mean", "hr_mean_5min", "steps_total_10min"])
-    rows = T.minutes_since_previous(T.rolling_row_stats(rows, "hr_mean_5min"))
+    lags = ["BP_spike", "stress_mean", "hr_mean_5min", "steps_total_10min"]
+    rows = T.over_rows(written(rows, "feature-rows"), 5, lambda w: [*T.lagged(w, lags), *T.rolls(w, "hr_mean_5min"), T.gap_minutes(w)])
     rows = T.ffill_bfill(rows, ["stress_mean", "stress_min", "stress_max", "stress_std", "minutes_since_previous"])
     wide = rows.withColumns({"hr_mean": F.col("hr_mean_60min"), "hr_std": F.col("hr_std_60min"), "steps_total": F.col("steps_total_60min"), "steps_std": F.col("steps_std_60min")})
     wide = wide.withColumns(interaction_features()).drop("hr_mean", "hr_std", "steps_total", "steps_std")

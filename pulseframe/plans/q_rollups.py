@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
+from ..hashing import with_position
 from ..operators import clean as C
 from ..operators import rollups as R
 from ..registry import query, r6
@@ -220,12 +221,10 @@ def g6(spark, d):
 
 @query("f7_numeric_order", " SELECT uid, row_number() OVER (ORDER BY try_cast(regexp_replace(uid, '\\D', '', 'g') AS BIGINT) NULLS LAST, uid) AS pos FROM (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN 'none' ELSE 'hp' || c_custkey END AS uid FROM customer)")
 def f7(spark, d):
-    from pyspark.sql import Window as W
-
     u = X.read(spark, d, "customer").select(F.when(F.col("c_custkey") % 7 == 0, "none").otherwise(F.concat(F.lit("hp"), F.col("c_custkey").cast("string"))).alias("uid")).distinct()
     # the positions are the query's, to make the order visible; the operator itself sorts
-    order = W.partitionBy(F.lit(0)).orderBy(R.numeric_id(F.col("uid")).asc_nulls_last(), "uid")
-    return R.sort_by_numeric_id(u, "uid").withColumn("pos", F.row_number().over(order).cast("long"))
+    number = F.coalesce(R.numeric_id(F.col("uid")), F.lit(1 << 62))
+    return with_position(R.sort_by_numeric_id(u, "uid"), [], F.floor(number / 1000), [number, F.col("uid")], "pos").select("uid", "pos")
 
 
 @query("a7_latest_per_key", " SELECT o_custkey % 20 AS uid, o_orderstatus AS task, arg_max(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS path FROM orders GROUP BY ALL")

@@ -88,7 +88,7 @@ def test_day_split_skips_users_without_a_split(spark):
 
 def test_exact_sizes_and_disjoint(spark):
     df = spark.createDataFrame([(u, u * 100 + i, i // 5, i % 2) for u in range(3) for i in range(20)], "user_id long, id long, day long, state_val long")
-    seed = P.day_class_seed(df, 0.5, 1, "id")
+    seed = P.day_class_seed(df, 0.5, 1, "id", by=("user_id", "day"))
     assert seed.count() == 30 and seed.select("id").distinct().count() == 30
     assert P.min_per_user_split(df, 0.2, 1, "id").groupBy("user_id").count().agg(F.min("count")).first()[0] >= 2
     assert got(P.stratified_split(df, 0.3, ["user_id"], 1, "id")) == got(P.stratified_split(df.repartition(7), 0.3, ["user_id"], 1, "id"))
@@ -112,8 +112,10 @@ def test_packed_values_and_times(spark):
 
 def test_wide_table_takes_both_header_variants(spark):
     s = spark.createDataFrame([("hp2", "x", "a", None, None, "0.5 ± 0.1"), ("hp10", "x", "b", 0.7, 0.2, None), ("hp2", "x", "c", 0.9, 0.1, None)], "uid string, pipeline string, path string, auc_mean double, auc_std double, auc_text string").withColumn("auc_train", F.lit(0.9))
-    wide = {r["uid"]: (r["x_mean"], r["x_std"]) for r in R.sort_by_numeric_id(R.auc_wide_table(s, ["x"]), "uid").collect()}
-    assert list(wide) == ["hp2", "hp10", "AGGREGATED"] and wide["hp2"] == (0.5, 0.1) and wide["AGGREGATED"][0] == pytest.approx(0.6)
+    preds = spark.createDataFrame([("x", i % 2, (i * 7 % 10) / 10) for i in range(40)], "pipeline string, y_true long, y_score double")
+    wide = {r["uid"]: (r["x_mean"], r["x_std"]) for r in R.sort_by_numeric_id(R.auc_wide_table(s, preds, ["x"]), "uid").collect()}
+    assert list(wide) == ["hp2", "hp10", "AGGREGATED"] and wide["hp2"] == (0.5, 0.1)
+    assert wide["AGGREGATED"][0] == M.bootstrap_auc(preds, ["pipeline"]).first()["auc_mean"]  # of all predictions together, not a mean over users
 
 
 def test_strategies_agree_when_the_pool_is_exhausted(spark):
@@ -186,3 +188,86 @@ def test_kmeans_query_starts_from_the_labelled_centroid(spark, at):
     assert found == dict(enumerate(used))
     # more centres than rows, and rows that are all alike: every row is picked once
     assert sorted(x["id"] for x in V.kmeans_query(df(lab), df(np.ones((3, 2))), 5, "id", "z").collect()) == [0, 1, 2]
+
+
+def test_bootstrap_equals_single_draws(spark):
+    """Counts by score against rows drawn one by one, whatever the tasks' share of the iterations."""
+    r = np.random.default_rng(1)
+    rows = [(g, int(r.random() < 0.4), float(round(r.random(), 1))) for g in (1, 2) for _ in range(30 * g)] + [(3, 1, 0.5)]
+    df = spark.createDataFrame(rows, "user_id long, y_true long, y_score double")
+    found = {x["user_id"]: x for x in M.bootstrap_auc(df, ["user_id"], iterations=200).collect()}
+    import hashlib
+
+    for g in (1, 2):
+        own = sorted((s, y) for u, y, s in rows if u == g)
+        aucs = []
+        for i in range(200):
+            a, b, c = (int(hashlib.md5(f"42:{g}:{i}".encode()).hexdigest()[x : x + 8], 16) % M.PRIME for x in (0, 8, 16))
+            drawn = [own[(pow(a * j + b, 5, M.PRIME) + c) % M.PRIME % len(own)] for j in range(1, round(0.7 * len(own)) + 1)]
+            pos, neg = ([s for s, y in drawn if y == v] for v in (1, 0))
+            if pos and neg:
+                aucs.append(np.mean([(p > q) + (p == q) / 2 for p in pos for q in neg]))
+        assert found[g]["auc_mean"] == pytest.approx(np.mean(aucs)) and found[g]["auc_std"] == pytest.approx(np.std(aucs, ddof=1)) and found[g]["valid"] == len(aucs) / 200
+    assert found[3]["auc_mean"] is None and found[3]["valid"] == 0
+
+
+def test_bootstrap_draws_spread_like_random_ones():
+    """The generator's deviation of the auc against numpy's own resampling, and its draws against equal chances."""
+    r = np.random.default_rng(5)
+    y = (r.random(400) < 0.3).astype(int)
+    s = np.round(r.normal(y * 0.7, 1), 2)
+    scores = np.unique(s)
+    pos, neg = (np.array([((s == v) & (y == c)).sum() for v in scores]) for c in (1, 0))
+    seeds = r.integers(0, M.PRIME, (3000, 3))
+    mine = np.concatenate([M.auc_of(p, q) for _, p, q in M.resampled(scores, pos, neg, seeds, 0.7)])
+    order = np.argsort(s, kind="stable")
+    at = np.searchsorted(scores, s[order])
+    theirs = []
+    for _ in range(3000):
+        i = order[r.integers(0, 400, 280)]
+        cell = np.searchsorted(scores, s[i])
+        theirs.append(M.auc_of(np.bincount(cell[y[i] == 1], minlength=len(scores))[None], np.bincount(cell[y[i] == 0], minlength=len(scores))[None])[0])
+    assert len(at) == 400 and abs(mine.mean() - np.mean(theirs)) < 0.003 and abs(mine.std() / np.std(theirs) - 1) < 0.06
+    drawn = np.bincount(M.draw_rows(seeds, 1, 280, 400).ravel(), minlength=400)
+    assert ((drawn - drawn.mean()) ** 2).sum() / drawn.mean() < 500  # chi square with 399 degrees
+
+
+def test_positions_and_cuts(spark):
+    from pulseframe.hashing import first_in_hash_order, with_position
+
+    df = spark.createDataFrame([(i, i % 3, float(i % 7) / 7) for i in range(200)], "id long, g long, y double")
+    found = with_position(df, ["g"], -F.floor(F.col("y") * 10), [F.desc("y"), F.col("id")]).collect()
+    for g in range(3):
+        want = sorted((i for i in range(200) if i % 3 == g), key=lambda i: (-float(i % 7) / 7, i))
+        assert [r["id"] for r in sorted((r for r in found if r["g"] == g), key=lambda r: r["_position"])] == want
+    assert got(first_in_hash_order(df, 20, 1, "id").select("id")) == got(df.orderBy(hash_key(1, "id"), "id").limit(20).select("id"))
+    assert first_in_hash_order(df.limit(0), 5, 1, "id").count() == 0
+
+
+def test_windows_over_days_equal_those_over_whole_users(spark):
+    from pyspark.sql import Window as W
+
+    r = np.random.default_rng(2)
+    rows = [(u, int(t), None if r.random() < 0.6 else float(i)) for u in (1, 2) for i, t in enumerate(np.sort(r.integers(0, 9 * DAY, 60)))] + [(3, 5, None), (3, 9 * DAY, None), (4, 1, 2.0)]
+    df = spark.createDataFrame(rows, "user_id long, t long, v double")
+    w = W.partitionBy("user_id").orderBy("t")
+    whole = df.withColumns({"v_lag_1": F.lag("v", 1).over(w), "v_lag_5": F.lag("v", 5).over(w), "sum3": F.when(F.count("v").over(w.rowsBetween(-2, 0)) == 3, F.sum("v").over(w.rowsBetween(-2, 0)))})
+    mine = T.rolling_row_stats(T.lag_features(df, ["v"]), "v", (3,))
+    assert got(mine.select("user_id", "t", "v_lag_1", "v_lag_5", "v_roll3_sum")) == got(whole.select("user_id", "t", "v_lag_1", "v_lag_5", "sum3"))
+    filled = F.coalesce(F.last("v", True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.first("v", True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    assert got(T.ffill_bfill(df, ["v"])) == got(df.withColumn("v", filled))
+
+
+def test_seed_sizes(spark):
+    df = spark.createDataFrame([(u, u * 100 + i, i // 5, i % 2) for u in range(3) for i in range(19)], "user_id long, id long, day long, state_val long")
+    seed = P.day_class_seed(df, 0.5, 1, "id")
+    assert seed.count() == 28 and seed.select("day").distinct().count() == 4  # int(28.5); four days
+    with pytest.raises(ValueError):
+        P.day_class_seed(df, 0.95, 1, "id", by=("user_id", "day"))
+    lone = spark.createDataFrame([(9, i, 0, 1) for i in range(2)] + [(1, 100 + i, 0, int(i == 0)) for i in range(60)], df.schema)
+    assert P.target_quota_split(lone, 9, 0.9, 1, "id").where("user_id = 1 AND state_val = 1").count() == 1  # a rare class has one row at least
+    days = spark.createDataFrame([(1, d, 0) for d in range(10)], "user_id long, day long, n long")
+    assert P.sample_count_day_split(days).where("split = 'train'").count() == 8  # round(7.5), halves to even
+    z = spark.createDataFrame([(i, [float(i % 5), float(i // 5)]) for i in range(40)], "id long, z array<double>")
+    for method in ("kmeans", "kcenter"):
+        assert P.representative_seed(z, 0.85, "id", "z", method).select("id").distinct().count() == 6
