@@ -377,7 +377,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: i
     stands = staged(stands, "stands")
     nodes, whole_nodes = small_nodes(stands, similarity)
     nodes = staged(nodes, "small-nodes")
-    tasks = parts(spark, 0)
+    tasks = parts(spark, nodes.count() * 5 * SKETCH)
     members = nodes.join(stands.select("doc_id", "n_shingles", "tokens"), "doc_id").select("node", "doc_id", "n_shingles", "tokens")
     loose = loose_edges(members.repartition(tasks, "node").sortWithinPartitions("node"), similarity)
     loose = staged(loose.union(whole_nodes) if whole_nodes is not None else loose, "loose-edges")
@@ -388,6 +388,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5, trees: i
     whole = clusters.join(sizes.where("fits"), "component").select(F.col("component").alias("unit"), F.col("node").alias("doc_id"))
     cut = clusters.join(sizes.where("not fits"), "component").select(F.col("node").alias("doc_id"), "component").join(nodes, "doc_id").select(F.xxhash64("component", "node").alias("unit"), "doc_id")
     units = whole.union(cut)
+    # a shingle stands for a word of about seven bytes; documents of large clusters are read in each of their nodes
+    tasks = parts(spark, 7 * (units.join(stands.select("doc_id", "n_shingles"), "doc_id").agg(F.sum("n_shingles")).first()[0] or 0))
     texts = rows.join(units, "doc_id").select("unit", "doc_id", "text")
     edges = staged(confirmed_edges(texts.repartition(tasks, "unit").sortWithinPartitions("unit"), words, percent), "links")
     found = components(edges)
