@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 import zlib
@@ -16,12 +17,12 @@ from pulseframe.llm import ann, exact_dedup, graph, html_extract, mixing, near_d
 from pulseframe.llm.common import new_path
 from tests.oracle import check
 
-DOCS = "doc_id long, text string, source string, digest string, t int, copies int"
+DOCS = "doc_id long, text string, source string, digest string, t int, copies int, raw double, size int, spot int"
 
 
 def docs_of(spark, rows):
     """Documents with further columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, s, "x", 1, 7) for i, t, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, s, "x", 1, 7, 0.5, 3, 4) for i, t, s in rows], DOCS)
 
 
 def words(n, seed=0, pool=40):
@@ -60,7 +61,9 @@ def test_exact_dedup(spark, weak):
         assert [g for g in got(found, "doc_id", "keep_id", "group_size") if g[0] in [w[0] for w in want]] == want
     else:
         assert got(found, "doc_id", "keep_id", "group_size") == want
-        assert exact_dedup.keep_first(docs_of(spark, rows)).select("doc_id").distinct().count() == len(groups)
+        first = exact_dedup.keep_first(docs_of(spark, rows))
+        assert first.columns == docs_of(spark, rows).columns and got(first, "doc_id") == sorted(((w,) for w in {w[1] for w in want}), key=repr)
+        assert all("#" in r["locator"] for r in found.collect())
 
 
 def test_exact_dedup_state_carries_on(spark):
@@ -145,6 +148,16 @@ def test_repeats_edges(spark, monkeypatch):
     assert len(odd) == 4 and all(r["n_removed"] == 0 for r in odd if r["doc_id"] is None)
 
 
+def test_repeats_of_a_frequent_lead(spark, monkeypatch):
+    """One passage in many documents, each time with other bytes around it and cut elsewhere: its lead is extended."""
+    monkeypatch.setattr(repeats, "OFTEN", 5)
+    r, passage = random.Random(8), words(40, 2, 90)
+    rows = [(i, words(r.randrange(5, 12), i) + passage[r.randrange(0, 60) : r.randrange(150, len(passage))] + words(6, i + 500)) for i in range(60)]
+    rows += [(100 + i, passage) for i in range(10)] + [(200, passage * 3)]
+    found = repeats.remove_repeats(docs_of(spark, [(i, t, "s") for i, t in rows]).repartition(5)).collect()
+    assert {x[0]: tuple(x)[1:] for x in found} == brute_repeats(rows, 100)
+
+
 def test_multikey_quicksort():
     r = np.random.default_rng(1)
     data = r.integers(97, 99, 3000).astype(np.uint8)
@@ -169,6 +182,9 @@ def test_ids_equal_the_tokenizers(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = {x["doc_id"]: x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    for text in texts.values():
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
     r = random.Random(2)
     bits = ["word", "Ünï", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "12", "!?", "<|endoftext|>", "中文", "🙂", " ", " ", "é", ".", "a'tb", "\x00", "ab" * 300]
     for _ in range(3000):
@@ -188,6 +204,37 @@ def test_packing(spark):
     assert len(found[found.doc_id == 8]) == 2 and found[found.doc_id == 1].ids_crc32.iloc[0] == zlib.crc32((1).to_bytes(4, "little"))
 
 
+def test_packing_whatever_the_settings(spark, monkeypatch):
+    """Groups come from the number of pieces; what they leave is packed together."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 200)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        found = packing.pack_documents(docs).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    used = found.groupby("sequence_id").agg(n=("length", "sum"), pieces=("length", "size"))
+    assert used.n.max() <= 2048 and used.pieces.max() <= 128 and used.n.sum() / (len(used) * 2048) > 0.99
+    again = packing.pack_documents(docs.repartition(9)).toPandas()
+    key = ["doc_id", "start", "sequence_id", "offset"]
+    assert sorted(map(tuple, found[key].to_numpy())) == sorted(map(tuple, again[key].to_numpy()))
+
+
+def test_packing_conversations(spark, sf):
+    """Each limit binds somewhere, and none is ever passed."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    limits = {"length": 512, "segments": 6, "loss_tokens": 150}
+    found = packing.pack_conversations(turns, *limits.values()).toPandas()
+    used = found.groupby("sequence_id")[list(limits)].sum()
+    assert all((used[c] <= m).all() and (used[c] >= 0.95 * m).any() for c, m in limits.items())
+    whole = found[found.turn.isnull()]
+    assert set(whole.conv_id).isdisjoint(found[found.turn.notnull()].conv_id) and set(found.conv_id) == {r[0] for r in turns.select("conv_id").distinct().collect()}
+    odd = spark.createDataFrame([(None, 1, "user", "a b"), (1, 1, "assistant", "x " * 3000), (1, 2, None, None), (2, 1, "assistant", "")], "conv_id long, turn int, role string, text string")
+    out = packing.pack_conversations(odd).collect()
+    assert sum(r["loss_tokens"] for r in out if r["conv_id"] == 1) > 3000 and {r["conv_id"] for r in out} == {None, 1, 2}
+
+
 def test_vector_limits():
     r = np.random.default_rng(0)
     demand = np.stack((r.integers(1, 90, 500), r.integers(1, 5, 500), r.integers(0, 60, 500)), axis=1)
@@ -236,7 +283,20 @@ def test_extract_differences_on_every_page_and_over_ranges(spark, monkeypatch, r
     assert len(found) == len(rows) and {p["page_id"]: p["text"] for p in found} == want
 
 
-@pytest.mark.parametrize("seed", range(5))
+def test_long_pages_are_aligned_in_little_memory():
+    import tracemalloc
+
+    a = [f"line {i % 15000}" for i in range(20_000)]
+    b = [f"line {(i * 7) % 20000}" if i % 3 else f"line {i}" for i in range(20_000)]
+    tracemalloc.start()
+    kept = [a[i] for i in sorted(html_extract.shared(a, b))]
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    rest = iter(b)
+    assert len(kept) > 5000 and all(x in rest for x in kept)
+
+
+@pytest.mark.parametrize("seed", range(40))
 def test_longest_common_subsequence(seed):
     r = random.Random(seed)
     a, b = ([r.choice("abcd") for _ in range(r.randrange(12))] for _ in range(2))
@@ -338,13 +398,13 @@ def test_near_duplicates_equal_brute_force(spark, percent):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
-def test_near_duplicates_by_small_nodes(spark, monkeypatch):
-    """With small nodes of eight, groups of twelve are parted by tokens, in all trees; their links must not be lost."""
-    monkeypatch.setattr(near_dedup, "NODE_DOCS", 8)
+@pytest.mark.parametrize("node_docs", [8, 40])
+def test_near_duplicates_by_small_nodes(spark, monkeypatch, node_docs):
+    """With small nodes of a few, groups of twelve are parted by tokens, in all trees; their links must not be lost."""
+    monkeypatch.setattr(near_dedup, "NODE_DOCS", node_docs)
     rows = near_rows()
-    found = near_dedup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), 80, trees=24).collect()
-    want = brute_components(rows, 80)
-    assert sum(r["component_id"] == want[r["doc_id"]][1] for r in found) >= 0.98 * len(rows)
+    found = near_dedup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in rows]), 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows, 85)
 
 
 def test_linked_blocks_agree():
@@ -381,14 +441,19 @@ def test_search_recall_and_ties(spark, sf):
     assert hits >= 0.9 * 20 * (ids % 20 == 0).sum() and (found.groupby("query_id").size() == 20).all()
 
 
-def test_two_hashes(spark, sf):
+def test_two_hashes(spark, sf, monkeypatch):
+    """Where one hash would leave too many vectors in a bucket, two are taken, with probes enough for the same recall."""
+    monkeypatch.setattr(ann, "PART", 3)
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     frame = vectors.toPandas()
     x, ids = np.stack(frame.embedding.to_numpy()).astype(float), frame.vec_id.to_numpy()
-    found = ann.search(vectors, F.col("vec_id") == 0, k=20, probes=1000, hashes=2).toPandas()
-    score = x @ x[ids == 0][0]
-    score[ids == 0] = -9
-    assert len(set(found.vec_id) & set(ids[np.lexsort((ids, -score))][:20])) >= 12
+    found = ann.search(vectors, F.col("vec_id") % 20 == 0, k=20).toPandas()
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        score = x @ x[ids == q][0]
+        score[ids == q] = -9
+        hits += len(set(ids[np.lexsort((ids, -score))][:20]) & set(found[found.query_id == q].vec_id))
+    assert hits >= 0.9 * 20 * (ids % 20 == 0).sum()
     one = ann.CrossPolytope(64, 2, 2).probes(x[:50] / np.linalg.norm(x[:50], axis=1, keepdims=True), 7)
     assert one.shape == (2, 50, 7) and one.max() < 128**2 and all(len(set(r)) == 7 for r in one.reshape(-1, 7))
 
@@ -420,7 +485,40 @@ def test_grammar():
     assert g.score("an idiot") == 4 and g.score("an idiotic thing") == 0 and g.score("vequille") == 3 and g.score("xvequ") == 0
     assert g.score("you idiot") == 5 and g.score("never an idiot") == 2 and g.score("they wrote: idiot") == pytest.approx(2.5)
     assert g.score("an idiot. you") == 4 and len(g.clauses("an idiot. an idiot! fine. idiot idiot")) == 3
-    assert g.score("I will kill you now") > 0
+    assert g.score("I will kill you now") > 0 and g.score("an idiot, they say") == 5
+    assert g.score("you were never one of the idiot") == 5 and g.score("jamais vequ") == 1.5
+    tuned = toxicity.Grammar({"idiot$": 4.0}, ["hardly"], {(k, m): 0.25 if "~" in m else 1.0 for k in toxicity.HITS for m in toxicity.FACTORS})
+    assert tuned.score("hardly an idiot") == 1 and tuned.score("you idiot") == 4 and {w for w, _ in tuned.before_hits("he is quite an idiot")} == {"is", "quite", "an"}
+
+
+def test_composed_transducers_equal_brute_force():
+    """Every clause of a few symbols: the composed machine's best path against marks found by hand."""
+    machine = toxicity.Grammar({}).machine
+    hit = ("insult", 8, "")
+    for n in range(1, 6):
+        for clause in itertools.product((hit, "target", "negation", "reported", "other"), repeat=n):
+            want = 0.0
+            for i, x in enumerate(clause):
+                if x == hit:
+                    damped = any(y in ("negation", "reported") for y in clause[max(0, i - toxicity.REACH) : i])
+                    want += 4 * (0.5 if damped else 1) * (1.25 if "target" in clause else 1)
+            assert machine.best_path([[x] for x in clause])[0] == pytest.approx(want), clause
+
+
+def test_toxicity_learns_phrases_dampers_and_factors(spark):
+    r, rows = random.Random(2), []
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    for i in range(600):
+        kind = (0, 0, 0, 0, 0, 0, 1, 1, 2, 3, 3, 3, 3, 3, 3)[i % 15]
+        core = {0: f"{word()} zorgnik {word()}", 1: f"{word()} gonna smash you {word()}", 2: f"{word()} hardly zorgnik {word()}", 3: f"{word()} {word()}"}[kind]
+        rows.append((f"{word()} {word()}. {core}. {word()} you {word()}", int(kind < 2)))
+    data = spark.createDataFrame(rows, "text string, label int")
+    model = toxicity.train(data)
+    assert any(k.startswith("zorg") for k in model.lexicon) and "smash you$" in model.lexicon and "hardly" in model.dampers
+    assert model.factors["insult", "~"] < 0.5
+    g = model.grammar()
+    predict = lambda t: model.slope * np.log1p(g.score(t)) + model.intercept >= 0
+    assert predict("a zorgnik here") and predict("they smash you now") and not predict("hardly zorgnik at all") and not predict("smash it")
 
 
 def test_toxicity_held_out(spark):
@@ -449,10 +547,22 @@ def test_ring(spark):
     by = found.groupby("shard").agg(size=("size", "sum"), n=("slot", "count"), top=("slot", "max"), own=("slot", "nunique"))
     assert len(found) == len(rows) and len(by) == 8 and (by.n == by.top + 1).all() and (by.n == by.own).all()
     assert by["size"].max() / by["size"].mean() < 1.01
-    loads = {c: 1 for c in range(0, sharding.CELLS, 16)}
-    before, after = sharding.place(loads, 8, 128, 0.1), sharding.place(loads, 9, 128, 0.1)
-    moved = sum(before[c] != after[c] for c in loads) / len(loads)
-    assert moved < 0.4  # plain hashing would move 8 of 9
+    assert got(sharding.shard(docs_of(spark, rows).repartition(3)), "doc_id", "shard", "slot") == got(sharding.shard(docs_of(spark, rows)), "doc_id", "shard", "slot")
+
+
+def test_ring_moves_little_at_the_slack_of_the_query():
+    r = random.Random(1)
+    loads = {c: r.randrange(100, 3000) for c in range(sharding.CELLS)}
+    before, after = sharding.place(loads, 8, 128, 0.002), sharding.place(loads, 9, 128, 0.002)
+    for placed, n in ((before, 8), (after, 9)):
+        held = collections.Counter()
+        for c, s in placed.items():
+            held[s] += loads[c]
+        assert max(held.values()) <= 1.002 * sum(loads.values()) / n
+    moved = sum(loads[c] for c in loads if before[c] != after[c]) / sum(loads.values())
+    assert moved < 0.3, moved  # one in nine has to move, plain hashing would move eight in nine
+    heavy = sharding.place({1: 1000, 2: 10, 3: 10, 4: 10}, 2, 128, 0.002)
+    assert heavy[2] == heavy[3] == heavy[4] != heavy[1]
 
 
 # empty tables

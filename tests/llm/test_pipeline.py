@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from pulseframe.llm.common import staged
-from tests.llm.test_operators import brute_components
+from tests.llm.test_operators import brute_components, docs_of, edge_rows, words
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +41,23 @@ def test_mix_and_pack(steps):
     pieces = steps[5].toPandas()
     assert pieces.groupby("sequence_id").length.sum().max() <= 2048
     assert pieces[pieces.start == 0].groupby("doc_id").size().to_dict() == dict(after)
+
+
+@pytest.mark.parametrize("rows", [[], edge_rows() + [(None, "no id", "a"), (None, "no id", "a"), (None, None, None), (9, "copy of nine", "b"), (9, "copy of nine", "b")] + [(100 + i, words(40, i), "b") for i in range(20)]], ids=["empty", "odd"])
+def test_stages_take_whatever_comes(spark, tmp_path, rows):
+    """Empty tables, nulls, repeated rows and columns with names that the stages use themselves."""
+    spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, out = docs_of(spark, rows), []
+    for name, f in corpus_pipeline.STAGES:
+        docs = staged(f(spark, docs, str(tmp_path)), "odd")
+        out.append(docs.collect())
+        if name != "packing":
+            assert docs.columns == docs_of(spark, []).columns
+    if not rows:
+        assert not any(out)
+        return
+    texts = lambda got: [r["text"] or "" for r in got]
+    assert len(out[0]) == len(rows)
+    assert sorted(texts(out[1])) == sorted(set(texts(out[0])))
+    assert {"", "no id", "same text here"} <= set(texts(out[2])) and len(out[2]) < len(out[1])  # the long text and that with a further word are near
+    assert {r["doc_id"] for r in out[4]} == {r["doc_id"] for r in out[3]}
