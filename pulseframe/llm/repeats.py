@@ -8,9 +8,10 @@ suffixes that start at their anchors, and only anchors, about one position in th
 2. Texts give the contexts of the anchors left: all strings that the anchor stands for, as one run of bytes. Equal
    contexts are merged in the task that reads them; later ones are removed there and then.
 3. Suffixes at the anchors are range-partitioned by their leading bytes at splitters that Spark samples; splitters
-   fall between different leading bytes, so no group crosses a boundary. Each bucket merges equal contexts again and
-   sorts the strings of the remaining ones by multikey quicksort, eight bytes at a time; equal neighbours, compared
-   on all bytes, are repeats of the first among them by (document, start).
+   fall between different leading bytes, so no group crosses a boundary. Where one lead has very many contexts, the
+   lead is extended by the bytes that their strings share, so that no bucket grows with a frequent passage. Each bucket
+   merges equal contexts again and sorts the strings of the remaining ones by multikey quicksort, eight bytes at a
+   time; equal neighbours, compared on all bytes, are repeats of the first among them by (document, start).
 
 Of equal whole texts only the one with the smallest id enters step 2; the others go whole, if they are long enough.
 
@@ -39,6 +40,8 @@ CHUNK, SEGMENT = 1 << 20, 8 << 20
 #: Anchors that a task holds before it sends their seeds, contexts that it merges at a time.
 HELD_SEEDS, HELD_CONTEXTS = 500_000, 40_000
 LEAD = 16
+#: Contexts of one lead beyond which its strings are dealt by further bytes, and how many offsets go together then.
+OFTEN, NARROW = 10_000, 8
 #: One anchor of a document: its place, and how far before it the first and the last string start that it stands for.
 PLACE = np.dtype([("at", "<u4"), ("first", "u1"), ("last", "u1")])
 
@@ -128,11 +131,10 @@ def count_seeds(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             place = mix64(np.where(state == 2, docs.view(np.uint64), hashes))
             bucket = (place >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-            for k in range(buckets):
-                own = order[cuts[k] : cuts[k + 1]]
-                if len(own):
-                    yield k, b"".join((len(own).to_bytes(8, "little"), docs[own].tobytes(), places["at"][own].tobytes(), places["first"][own].tobytes(), places["last"][own].tobytes(), state[own].tobytes(), hashes[own].tobytes()))
+            ordered = bucket[order]
+            cuts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+            for k, own in zip(ordered[cuts].astype(np.int64).tolist(), np.split(order, cuts[1:]), strict=True):
+                yield k, b"".join((len(own).to_bytes(8, "little"), docs[own].tobytes(), places["at"][own].tobytes(), places["first"][own].tobytes(), places["last"][own].tobytes(), state[own].tobytes(), hashes[own].tobytes()))
 
         def batch():
             ids, data = zip(*send(), strict=True)
@@ -152,7 +154,7 @@ def count_seeds(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return map_batches(docs, run, "bucket int, data binary")
 
 
-def repeated_places(seeds: DataFrame) -> DataFrame:
+def repeated_places(seeds: DataFrame, tasks: int) -> DataFrame:
     """(doc, place): the anchors whose seed occurs more than once; place is at, first and last in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +179,7 @@ def repeated_places(seeds: DataFrame) -> DataFrame:
             for i in range(0, len(docs), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 50_000]), pa.array(place[i : i + 50_000])], ["doc", "place"])
 
-    spread = seeds.repartition(parts(seeds.sparkSession, 0), "bucket").sortWithinPartitions("bucket")
+    spread = seeds.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return map_batches(spread, run, "doc long, place long")
 
 
@@ -235,35 +237,75 @@ class Merger:
 CONTEXTS = "lead binary, context binary, doc long, at long, first int, last int"
 
 
+def merged_rows(rows: Iterator[tuple], length: int, lead) -> Iterator[pa.RecordBatch]:
+    """Rows of CONTEXTS of (doc, at, first, last, context) with equal contexts merged some at a time; lead(context, first)."""
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
+
+    def send(merger: Merger):
+        removed = [(data, None, doc, None, None, None) for doc, data in merger.removed()]
+        kept = ((lead(c, f), c, doc, at, f, f - (len(c) - length)) for (c, f), (doc, at) in merger.kept.items())
+        out = chain(removed, kept)
+        while some := list(islice(out, 5000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
+    merger = Merger(length)
+    for doc, at, first, last, context in rows:
+        merger.add(doc, at, first, last, context)
+        if len(merger.kept) >= HELD_CONTEXTS or len(merger.late) >= 10 * HELD_CONTEXTS:
+            yield from send(merger)
+            merger = Merger(length)
+    yield from send(merger)
+
+
 def contexts(texts: DataFrame, length: int) -> DataFrame:
     """Rows of CONTEXTS from (doc, text, places); where context is null, lead holds removed stretches of doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = Merger(length)
-        types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
-
-        def send():
-            removed = [(data, None, doc, None, None, None) for doc, data in merger.removed()]
-            kept = ((c[f : f + LEAD], c, doc, at, f, f - (len(c) - length)) for (c, f), (doc, at) in merger.kept.items())
-            rows = chain(removed, kept)
-            while some := list(islice(rows, 5000)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+        def rows():
+            for b in batches:
+                for doc, text, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                    data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                    for place in packed:
+                        at, first, last = place >> 16, place >> 8 & 255, place & 255
+                        yield doc, at, first, last, data[at - first : at - last + length]
 
-        for b in batches:
-            for doc, text, packed in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                for place in packed:
-                    at, first, last = place >> 16, place >> 8 & 255, place & 255
-                    merger.add(doc, at, first, last, data[at - first : at - last + length])
-                if len(merger.kept) >= HELD_CONTEXTS:
-                    yield from send()
-                    merger = Merger(length)
-        yield from send()
+        yield from merged_rows(rows(), length, lambda c, f: c[f : f + LEAD])
 
     return map_batches(texts, run, CONTEXTS)
 
 
+def narrowed(found: DataFrame, length: int) -> DataFrame:
+    """found (CONTEXTS) with the contexts of a frequent lead cut by the offset of their strings, NARROW offsets each.
+
+    Strings at offsets low..low + NARROW - 1 before an anchor all hold the bytes from the first one's end back to the
+    last one's start; those bytes and the offset join the lead, so that only contexts meet whose strings agree on nearly
+    all bytes. Equal ones are merged where they are cut.
+    """
+    often = staged(found.where("context is not null").groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN).select("lead"), "frequent-leads")
+    if often.isEmpty():
+        return found
+
+    def lead(c: bytes, f: int) -> bytes:
+        low = f - f % NARROW
+        return c[f : f + LEAD] + low.to_bytes(2, "big") + c[f - low : f - low - NARROW + 1 + length]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for context, doc, at, first, last in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    for low in range(last - last % NARROW, first + 1, NARROW):
+                        f, e = min(first, low + NARROW - 1), max(last, low)
+                        yield doc, at, f, e, context[first - f : first - e + length]
+
+        yield from merged_rows(rows(), length, lead)
+
+    names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
+    frequent = F.col("context").isNotNull()
+    cut = staged(map_batches(found.where(frequent).join(often, "lead", "left_semi").select(*names[1:]), run, CONTEXTS), "narrow-contexts")
+    return found.where(frequent).join(often, "lead", "left_anti").select(*names).unionByName(cut).unionByName(found.where(~frequent))
+
+
 def sort_strings(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): indices of the strings data[start:start + length] that have an equal, group by group.
 
@@ -395,13 +437,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
 
     seeds = count_seeds(long_enough, length, parts(spark, size, 16e6))
     standing = ids.where(F.col("first") & (F.col("n_bytes") >= length)).select("doc").distinct()
-    places = repeated_places(seeds).groupBy("doc").agg(F.collect_list("place").alias("places")).join(standing, "doc")  # a document's own
-    found = staged(contexts(long_enough.join(places, "doc"), length), "contexts")
+    places = repeated_places(seeds, parts(spark, size, 64e6)).groupBy("doc").agg(F.collect_list("place").alias("places")).join(standing, "doc")  # a document's own
+    met = long_enough.repartition(parts(spark, size), "doc").join(places, "doc")
+    found = narrowed(staged(contexts(met, length), "contexts"), length)
     ends = found.where("context is not null")
     n_bytes = ends.agg(F.sum(F.octet_length("context") + 40)).first()[0] or 0
     spans = sorted_buckets(ends, length, parts(spark, n_bytes, 4e6)).union(found.where("context is null").select("doc", F.col("lead").alias("spans")))
     spans = staged(spans, "spans").groupBy("doc").agg(F.collect_list("spans").alias("spans"))
-    changed = cut_out(long_enough.join(spans, "doc")).dropDuplicates(["doc"])
+    changed = cut_out(long_enough.repartition(parts(spark, size), "doc").join(spans, "doc")).dropDuplicates(["doc"])
     gone = F.col("valid") & ~F.col("first") & (F.col("n_bytes") >= length)
     out = ids.join(changed, "doc", "left")
     return out.select(
