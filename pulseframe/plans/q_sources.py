@@ -58,13 +58,13 @@ def a11(spark, d):
     return counts.unionByName(bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad").alias("status"), "n", F.lit(None).cast("long").alias("keys")))
 
 
-@query("a9_run_summaries", " SELECT CAST(p_partkey AS VARCHAR) AS user, CAST(p_size % 9 + 1 AS DOUBLE) / 10 AS uf, CAST(p_size AS DOUBLE) AS K, CASE WHEN p_size % 2 = 0 THEN 50.0 END AS T FROM part")
+@query("a9_run_summaries", " SELECT CAST(s_suppkey AS VARCHAR) AS user, CAST(s_suppkey % 9 + 1 AS DOUBLE) / 10 AS uf, CAST(s_suppkey AS DOUBLE) AS K, CASE WHEN s_suppkey % 2 = 0 THEN 50.0 END AS T FROM supplier")
 def a9(spark, d):
     out = scratch(spark, "summaries")
-    size = F.col("p_size")
-    k = F.when(size % 3 == 0, F.concat(F.lit("["), size.cast("string"), F.lit("]"))).otherwise(size.cast("string"))
-    text = F.concat(F.lit('{"user": "'), F.col("p_partkey").cast("string"), F.lit('", "unlabeled_frac": '), ((size % 9 + 1).cast("double") / 10).cast("string"), F.lit(', "K": '), k, F.lit(', "T": '), F.when(size % 2 == 0, "50").otherwise("null"), F.lit("}"))
-    X.read(spark, d, "part").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(out)  # a run in each file
+    key = F.col("s_suppkey")
+    k = F.when(key % 3 == 0, F.concat(F.lit("["), key.cast("string"), F.lit("]"))).otherwise(key.cast("string"))
+    text = F.concat(F.lit('{"user": "'), key.cast("string"), F.lit('", "unlabeled_frac": '), ((key % 9 + 1).cast("double") / 10).cast("string"), F.lit(', "K": '), k, F.lit(', "T": '), F.when(key % 2 == 0, "50").otherwise("null"), F.lit("}"))
+    X.read(spark, d, "supplier").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(out)  # a run in each file
     return readers.read_run_summaries(spark, out, "*.txt").select("user", "uf", "K", "T")
 
 
