@@ -104,8 +104,8 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
 FOUND = "query_id long, vec_id long, score double"
 
 
-def meet(rows: DataFrame, k: int) -> DataFrame:
-    """FOUND rows from (unit, vec_id, vector, is_query), each unit's queries against its vectors."""
+def meet(rows: DataFrame, k: int, tasks: int) -> DataFrame:
+    """FOUND rows from (unit, vec_id, vector, is_query), each unit's queries against its vectors; the units dealt to tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in runs(batches, "unit"):
@@ -117,7 +117,7 @@ def meet(rows: DataFrame, k: int) -> DataFrame:
             for found in nearest(ids[~asks], vectors[~asks], ids[asks], vectors[asks], k):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
-    spread = rows.repartition(parts(rows.sparkSession, 0), "unit").sortWithinPartitions("unit")
+    spread = rows.repartition(tasks, "unit").sortWithinPartitions("unit")
     return map_batches(spread.select("unit", "vec_id", "vector", "is_query"), run, FOUND)
 
 
@@ -136,7 +136,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: i
     rows = staged(rows.where("vec_id is not null").where(F.coalesce(sound, F.lit(False))), "vectors")
     length = F.expr("sqrt(aggregate(v, 0d, (a, x) -> a + x * x))")
     # one row for each dimension that occurs
-    top = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.min(length).alias("shortest")).orderBy(F.desc("n"), "d").first()
+    top = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("asks"), F.max(length).alias("longest"), F.min(length).alias("shortest")).orderBy(F.desc("n"), "d").first()
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, longest = top["d"], top["longest"]
@@ -177,7 +177,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: i
     held = stored.join(cuts, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int")).alias("unit"), "vec_id", "vector", F.lit(False).alias("is_query"))
     asked = map_batches(rows.where("is_query").select("vec_id", "v"), hash_rows(probes, True), schema).join(cuts, "bucket")
     asked = asked.select("bucket", "vec_id", "vector", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).select(F.xxhash64("bucket", "cut").alias("unit"), "vec_id", "vector", F.lit(True).alias("is_query"))
-    found = staged(meet(held.union(asked), k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "met")
+    tasks = lambda n: parts(spark, 8 * dim * n, 32e6)  # noqa: E731  for n vectors
+    found = staged(meet(held.union(asked), k, tasks(tables * (top["n"] + probes * top["asks"]))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "met")
 
     queries = rows.where("is_query").select("vec_id").distinct()
     counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -188,7 +189,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: i
         block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")
         every = packed(rows).select(block.alias("unit"), "vec_id", "vector", F.lit(False).alias("is_query"))
         again = packed(rows.where("is_query").join(short, "vec_id")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("unit"), "vec_id", "vector", F.lit(True).alias("is_query"))
-        found = found.union(meet(every.union(again), k)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = found.union(meet(every.union(again), k, tasks(top["n"] + blocks * short.count()))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
