@@ -155,7 +155,7 @@ def count_seeds(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def repeated_places(seeds: DataFrame, tasks: int) -> DataFrame:
-    """(doc, place): the anchors whose seed occurs more than once; place is at, first and last in one number."""
+    """(doc, place): the anchors whose seed occurs more than once; place is at, first and last in one number. Bucket k is task k, so that none holds several by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, "bucket"):
@@ -179,7 +179,7 @@ def repeated_places(seeds: DataFrame, tasks: int) -> DataFrame:
             for i in range(0, len(docs), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(docs[i : i + 50_000]), pa.array(place[i : i + 50_000])], ["doc", "place"])
 
-    spread = seeds.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    spread = seeds.repartitionById(tasks, "bucket").sortWithinPartitions("bucket")
     return map_batches(spread, run, "doc long, place long")
 
 
@@ -435,9 +435,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     classes = staged(ids.where("valid").groupBy("key").agg(F.min("doc").alias("stand")), "repeat-classes")
     ids = staged(ids.join(classes, "key", "left").select("doc", "n_bytes", "key", "valid", (F.col("valid") & (F.col("doc") == F.col("stand"))).alias("first")), "repeat-ids")
 
-    seeds = count_seeds(long_enough, length, parts(spark, size, 16e6))
+    buckets = parts(spark, size, 16e6)
+    seeds = count_seeds(long_enough, length, buckets)
     standing = ids.where(F.col("first") & (F.col("n_bytes") >= length)).select("doc").distinct()
-    places = repeated_places(seeds, parts(spark, size, 64e6)).groupBy("doc").agg(F.collect_list("place").alias("places")).join(standing, "doc")  # a document's own
+    places = repeated_places(seeds, buckets).groupBy("doc").agg(F.collect_list("place").alias("places")).join(standing, "doc")  # a document's own
     met = long_enough.repartition(parts(spark, size), "doc").join(places, "doc")
     found = narrowed(staged(contexts(met, length), "contexts"), length)
     ends = found.where("context is not null")
