@@ -6,15 +6,14 @@ size. In a group the open sequence takes, again and again, the class of pieces w
 and room left (tokens, segments, loss tokens); what the groups leave half empty is then packed together.
 
 Defined cases: null text counts as empty (its end id alone); a repeated row is packed as often as it occurs; a long
-document is cut at multiples of the limit; an empty table gives an empty result; further columns are not read.
+document is cut at multiples of the limit, whatever it is made of (a run of two million spaces too); the string of an
+added token becomes that token's id, as the tokenizer has it; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
-import base64
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, map_groups, staged, table
+from .token_ids import byte_encoder
 
 #: Pieces that one packing group holds on average.
 GROUP_PIECES = 40_000
@@ -33,26 +33,15 @@ END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-@lru_cache(maxsize=2)
-def encoder(ranks_path: str):
-    """Ids of a text, as little-endian unsigned 32-bit bytes. Same ids as byte_bpe_50k.json gives (tests hold them equal)."""
-    import public_tokenizers
-    import tiktoken
+def cut_documents(docs: DataFrame, limit: int, encoder: Callable = byte_encoder, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens: the pieces of each document's ids and its end id.
 
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: np.array(plain(text), dtype="<u4").tobytes()
-
-
-def cut_documents(docs: DataFrame, limit: int, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: the pieces of each document's ids and its end id."""
+    encoder(path) gives the function from a text to its ids; path is the vocabulary's file, where not the usual one.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        encode = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-        end, step = np.array([END_ID], dtype="<u4").tobytes(), 4 * limit
+        encode = encoder(path)
+        end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * limit
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -151,7 +140,7 @@ def pack_documents(docs: DataFrame, limit: int = 2048, segments: int = 128) -> D
     return pack(pieces, {"length": limit, "segments": segments, "loss_tokens": limit})
 
 
-def conversation_examples(turns: DataFrame, limits: tuple[int, int, int], answers: str = "assistant", ranks_path: str | None = None) -> DataFrame:
+def conversation_examples(turns: DataFrame, limits: tuple[int, int, int], answers: str = "assistant", path: str | None = None) -> DataFrame:
     """conv_id, turn, start, length, segments, loss_tokens: what is packed together. turns: conv_id, turn, role, text.
 
     A conversation within the limits (tokens, segments, loss tokens) is one example, with turn and start null and a
@@ -161,9 +150,7 @@ def conversation_examples(turns: DataFrame, limits: tuple[int, int, int], answer
     step = max(1, min(limits[0], limits[2]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
-        encode = encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        encode = byte_encoder(path)
         for batch in batches:
             rows = []
             for conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

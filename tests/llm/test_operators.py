@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseframe.llm import ann, exact_dedup, graph, html_extract, mixing, near_dedup, packing, registry, repeats, sharding, toxicity, warc
+from pulseframe.llm import ann, exact_dedup, graph, html_extract, mixing, near_dedup, packing, registry, repeats, sharding, token_ids, toxicity, warc
 from pulseframe.llm.common import new_path
 from tests.oracle import check
 
@@ -175,23 +175,37 @@ def test_multikey_quicksort():
 # packing
 
 
-def test_ids_equal_the_tokenizers(spark):
+ODD_BITS = ["word", "Ünï", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "12", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "中文", "🙂", "\u3000", "\xa0", "\x85", "\x1c", "é", "e\u0301", "T\u0308", "İ", "Σ", ".", "a'tb", "\x00", "ab" * 300]
+
+
+@pytest.mark.parametrize("name, encoder", [("byte_bpe_50k.json", token_ids.byte_encoder), ("word_bpe_49k.json", token_ids.word_encoder)])
+def test_ids_equal_the_tokenizers(spark, name, encoder):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    texts = {x["doc_id"]: x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
-    for text in texts.values():
-        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    t, encode = Tokenizer.from_file(public_tokenizers.path(name)), encoder()
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert np.frombuffer(encode(row[0] or ""), "<u4").tolist() == t.encode(row[0] or "", add_special_tokens=False).ids
     r = random.Random(2)
-    bits = ["word", "Ünï", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "12", "!?", "<|endoftext|>", "中文", "🙂", " ", " ", "é", ".", "a'tb", "\x00", "ab" * 300]
-    for _ in range(3000):
-        text = "".join(r.choice(bits) + r.choice(("", " ", "")) for _ in range(r.randrange(0, 14)))
+    for _ in range(6000):
+        text = "".join(r.choice(ODD_BITS) + r.choice(("", " ", "")) for _ in range(r.randrange(0, 14)))
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_very_long_runs_are_packed(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "a <|endoftext|> b"]
+    found = packing.pack_documents(docs_of(spark, [(i, x, "s") for i, x in enumerate(texts)])).toPandas()
+    for i, x in enumerate(texts):
+        ids = t.encode(x, add_special_tokens=False).ids + [packing.END_ID]
+        one = found[found.doc_id == i].sort_values("start")
+        assert one.ids_crc32.tolist() == [zlib.crc32(np.array(ids[a : a + n], dtype="<u4").tobytes()) for a, n in zip(one.start, one.length)]
+        assert one.length.sum() == len(ids) == one.doc_tokens.iloc[0]
+
+
 def test_packing(spark):
     rows = edge_rows() + [(100 + i, words(i * 7, i), "s") for i in range(150)]
     found = packing.pack_documents(docs_of(spark, rows), limit=256).toPandas()
