@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import ann, exact_dedup, html_extract, mixing, near_dedup, packing, repeats, sharding, toxicity, warc
+from . import ann, config_lp, exact_dedup, html_extract, mixing, near_dedup, packing, repeats, sharding, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_cross_polytope": ann.op8_cross_polytope,
     "op9_pattern_toxicity": toxicity.op9_pattern_toxicity,
     "op10_ring_shards": sharding.op10_ring_shards,
+    "op11_config_lp": config_lp.op11_config_lp,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
