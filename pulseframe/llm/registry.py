@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import ann, config_lp, exact_dedup, html_extract, mixing, near_dedup, packing, repeats, sharding, toxicity, warc
+from . import ann, config_lp, exact_dedup, html_extract, lexical, mixing, near_dedup, packing, repeats, sharding, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_pattern_toxicity": toxicity.op9_pattern_toxicity,
     "op10_ring_shards": sharding.op10_ring_shards,
     "op11_config_lp": config_lp.op11_config_lp,
+    "op12_limited_accumulators": lexical.op12_limited_accumulators,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op3_suffix_repeats": repeats.OP3_SQL,
     "op6_warc_dictionary": warc.OP6_SQL,
     "op7_chosen_path": near_dedup.OP7_SQL,
+    "op12_limited_accumulators": lexical.OP12_SQL,
 }
