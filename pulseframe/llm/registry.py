@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import ann, config_lp, exact_dedup, html_extract, lexical, mixing, near_dedup, packing, repeats, sharding, toxicity, warc
+from . import ann, config_lp, conversations, exact_dedup, html_extract, lexical, mixing, near_dedup, packing, repeats, sharding, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_ring_shards": sharding.op10_ring_shards,
     "op11_config_lp": config_lp.op11_config_lp,
     "op12_limited_accumulators": lexical.op12_limited_accumulators,
+    "op13_checkpointed_repair": conversations.op13_checkpointed_repair,
 }
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op6_warc_dictionary": warc.OP6_SQL,
     "op7_chosen_path": near_dedup.OP7_SQL,
     "op12_limited_accumulators": lexical.OP12_SQL,
+    "op13_checkpointed_repair": conversations.OP13_SQL,
 }
