@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import wall_clock
@@ -75,6 +75,13 @@ def experiment_rollup(summaries: DataFrame, predictions: DataFrame, pipelines: l
     return {"wide": wide, "grouped": auc_wide_table(newest, predictions, pipelines, ["substance", "task"]), "long": unpivot_metrics(wide, "uid", "_mean")}
 
 
+def experiment_rollup_of(spark: SparkSession, root: str, predictions: DataFrame, pipelines: list[str], name: str = "comparison_summary.csv") -> dict[str, DataFrame]:
+    """experiment_rollup of every result file `name` below root, whichever header each has."""
+    from ..sources.readers import read_summaries
+
+    return experiment_rollup(written(read_summaries(spark, root, name), "summaries"), predictions, pipelines)
+
+
 def fraction_vs_full(preds: DataFrame, frac: float, seeds: tuple[int, ...], iterations: int = 1000) -> DataFrame:
     """user_id, seed ('full_data' for all rows), n, auc, log_loss and the resampled auc_mean and auc_std of stratified samples and of everything."""
     from pyspark.sql import Window as W

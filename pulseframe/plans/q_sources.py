@@ -9,7 +9,7 @@ from ..operators import clean as C
 from ..registry import query, r6
 from ..sources import readers, writers
 from ..sources.paths import scratch
-from .jobs import experiment_rollup, fraction_vs_full, learning_curve
+from .jobs import experiment_rollup_of, fraction_vs_full, learning_curve
 from .q_metrics import boot, rank_sql
 from .q_rollups import PIPES, SUMMARIES, predictions, summaries, wide_columns, wide_sql
 
@@ -20,9 +20,12 @@ def text_time(t):
 
 @query("a1_read_signals", " SELECT user_id, data_type, t // 1000000 * 1000000 AS t, value FROM signals")
 def a1(spark, d):
+    """Users' files with three headers: names and order differ, and one has numbers beside the value."""
     out = scratch(spark, "signals")
-    rows = X.signals(spark, d).select(text_time(F.col("t")).alias("datetime_local"), "data_type", F.col("value").cast("string").alias("bpm"), F.concat(F.lit("hp"), F.col("user_id").cast("string")).alias("user"))
-    rows.repartition("user").write.partitionBy("user").csv(out, header=True)
+    rows = X.signals(spark, d).select(text_time(F.col("t")).alias("time"), "data_type", F.col("value").cast("string").alias("value"), F.concat(F.lit("hp"), F.col("user_id").cast("string")).alias("user"), "user_id")
+    for i, columns in enumerate((["time as datetime_local", "data_type", "value as bpm"], ["data_type", "value", "time"], ["'7' as quality", "value", "'x' as note", "time", "data_type"])):
+        part = rows.where(F.col("user_id") % 3 == i).selectExpr(*columns, "user")
+        part.repartition("user").write.mode("append").partitionBy("user").csv(out, header=True)
     return readers.read_signals(spark, out).select("user_id", "data_type", "t", "value")
 
 
@@ -68,14 +71,16 @@ def a9(spark, d):
     return readers.read_run_summaries(spark, out, "*.txt").select("user", "uf", "K", "T")
 
 
-@query("a6_result_tree", """, su AS (SELECT o_custkey % 4 AS u, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ALL) SELECT 'hp' || u AS uid, s AS substance, 'BP_spike' AS task, n FROM su""")
+@query("a6_result_tree", """, su AS (SELECT o_custkey % 4 AS u, o_orderstatus AS s, count(*) AS n, round(avg(o_totalprice), 2) AS price FROM orders GROUP BY ALL) SELECT 'hp' || u AS uid, s AS substance, 'BP_spike' AS task, n, CASE WHEN u % 2 = 0 THEN price END AS price FROM su""")
 def a6(spark, d):
+    """Users of even number have a further column, in front."""
     out = scratch(spark, "tree")
-    g = X.read(spark, d, "orders").groupBy((F.col("o_custkey") % 4).alias("u"), F.col("o_orderstatus").alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    g = X.read(spark, d, "orders").groupBy((F.col("o_custkey") % 4).alias("u"), F.col("o_orderstatus").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("price")).persist()
     for u in range(4):  # four users' folders
         for s in ("F", "O", "P"):
-            g.where((F.col("u") == u) & (F.col("s") == s)).select("n").coalesce(1).write.csv(f"{out}/hp{u}/{s}_BP_spike", header=True)
-    return readers.read_result_tree(spark, out, "*.csv").select("uid", "substance", "task", F.col("n").cast("long").alias("n"))
+            g.where((F.col("u") == u) & (F.col("s") == s)).select(*(["n"] if u % 2 else ["price", "n"])).coalesce(1).write.csv(f"{out}/hp{u}/{s}_BP_spike", header=True)
+    g.unpersist()
+    return readers.read_result_tree(spark, out, "*.csv").select("uid", "substance", "task", F.col("n").cast("long").alias("n"), F.col("price").cast("double").alias("price"))
 
 
 SCORES = ("auc", "auc_mean", "auc_std")
@@ -88,7 +93,9 @@ def k4(spark, d):
     return learning_curve(X.preds(spark, d)).select("round", "split", "n", *[r6(c).alias(c) for c in ("ap", *SCORES)])
 
 
-ROLLUP = SUMMARIES + """, ne AS (SELECT uid, substance, task, pipeline, max(path) AS path FROM su GROUP BY ALL), nw AS (SELECT su.* FROM su JOIN ne USING (uid, substance, task, pipeline, path))"""
+#: The tree's two runs: a result of the second one is newer than that of the first.
+ROLLUP = SUMMARIES + """, ru AS (SELECT * REPLACE (run || '/' || substance || '_' || task AS path) FROM (SELECT *, path AS row, CASE WHEN path % 2 = 0 THEN 'run1' ELSE 'run2' END AS run FROM su)),
+nw AS (SELECT * FROM ru QUALIFY row_number() OVER (PARTITION BY uid, substance, task, pipeline ORDER BY run DESC, row DESC) = 1)"""
 
 
 def as_cte(sql: str, name: str) -> str:
@@ -97,9 +104,21 @@ def as_cte(sql: str, name: str) -> str:
     return f"{head}, {name} AS (SELECT {last}) "
 
 
+def result_tree(spark, d):
+    """The summaries as files <run>/<uid>/<substance>_<task>/...: a run with numbers, then one with texts under another header."""
+    out, o = scratch(spark, "results"), summaries(spark, d)
+    keys = ["uid", F.concat_ws("_", "substance", "task").alias("folder"), F.col("pipeline").alias("Pipeline"), (F.col("path") % 2).alias("run")]
+    o = o.groupBy(*keys).agg(F.max_by(F.struct("auc_train", "auc_mean", "auc_text"), "path").alias("r")).select("uid", "folder", "Pipeline", "run", "r.*")
+    train = F.col("auc_train").cast("string").alias("AUC_Train")
+    numbers = o.where("run = 0").select("uid", "folder", "Pipeline", train, F.lit("0.5").alias("Best_Threshold"), F.col("auc_mean").cast("string").alias("AUC_Mean"), F.lit("0.01").alias("AUC_STD"))
+    texts = o.where("run = 1").select("uid", "folder", F.lit("0.5").alias("AUC_Val"), F.col("auc_text").alias("AUC_Mean ± STD"), "Pipeline", train)
+    for run, rows in (("run1", numbers), ("run2", texts)):
+        rows.repartition("uid", "folder").write.partitionBy("uid", "folder").csv(f"{out}/{run}", header=True)
+    return out
+
+
 def rollup(spark, d, table):
-    o = summaries(spark, d).withColumn("mtime", F.col("path"))
-    return experiment_rollup(o, predictions(spark, d), PIPES)[table]
+    return experiment_rollup_of(spark, result_tree(spark, d), predictions(spark, d), PIPES, "*.csv")[table]
 
 
 @query("k5_experiment_rollup", ROLLUP + wide_sql("", "nw"))
@@ -127,13 +146,15 @@ def k6(spark, d):
 
 @query("a2_read_self_reports", """ SELECT scenario, user_id, t // 1000000 * 1000000 AS t FROM self_reports WHERE scenario = 'None' OR substance = 'melon'""")
 def a2_files(spark, d):
-    """Label files of each scenario, with the time column that the scenario has, read back for one substance."""
+    """Label files of each scenario, with the time column that the scenario has and two headers, read back for one substance."""
     found = None
     for scenario in ("Crave", "Use", "None"):
         out = scratch(spark, "labels")
         rows = X.self_reports(spark, d).where(F.col("scenario") == scenario)
         time = "hawaii_use_time" if scenario == "Use" else "hawaii_createdat_time"
-        rows.select(F.col("event_id").alias("id"), F.col("substance").alias("substance_fruit_label"), "user_id", F.concat(X.wall_clock(F.col("t")).cast("string"), F.lit("-10:00")).alias(time)).write.csv(out, header=True)
+        rows = rows.select(F.col("event_id").alias("id"), F.col("substance").alias("substance_fruit_label"), "user_id", F.concat(X.wall_clock(F.col("t")).cast("string"), F.lit("-10:00")).alias(time))
+        for i, names in enumerate((rows.columns, [time, "user_id", "'x' as crave_use_none_label", "substance_fruit_label"])):
+            rows.where(F.col("id") % 2 == i).selectExpr(*names).write.mode("append").csv(out, header=True)
         part = readers.read_self_reports(spark, out, "melon", scenario).select(F.lit(scenario).alias("scenario"), "user_id", "t")
         found = part if found is None else found.unionByName(part)
     return found

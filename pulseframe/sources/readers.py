@@ -2,49 +2,59 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import micros
 from ..functions.scalars import cut_fraction_ts, participant_id
+from .headers import read_by_header
 
 
-def file_user() -> Column:
-    """The first digits after `hp` in the file's path, as in .../hp12/hp12_hr.csv or .../user=hp12/part-0.csv."""
-    return participant_id(F.regexp_extract(F.col("_metadata.file_path"), r"[/=](hp\d+)[/_.]", 1)).try_cast("long")
+def file_user(path: str = "path") -> Column:
+    """The first digits after `hp` in a file's path, as in .../hp12/hp12_hr.csv or .../user=hp12/part-0.csv."""
+    return participant_id(F.regexp_extract(F.col(path), r"[/=](hp\d+)[/_.]", 1)).try_cast("long")
+
+
+#: Columns of signal files that are never the value.
+NOT_VALUES = ("time", "datetime_local", "data_type", "user_id", "id", "")
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    """user_id, data_type, t, value of signal files.
+    """user_id, data_type, t, value of signal files, each read by its own header.
 
-    Files may name their time `time` or `datetime_local`, and their value `value` or any other column, of which the
-    first with a number counts. Rows with a bad time or no number are left out.
+    A file names its time `time` or else `datetime_local`, and its value `value`, or else that is its first other
+    column with a number in it. Rows with a bad time or no number are left out, as are files without a time or value.
     """
-    raw = spark.read.csv(path, header=True, recursiveFileLookup=True)
-    time = F.coalesce(*[F.col(c) for c in ("time", "datetime_local") if c in raw.columns])
-    values = ["value"] if "value" in raw.columns else [c for c in raw.columns if c not in ("time", "datetime_local", "data_type", "user_id", "id")]
-    number = F.coalesce(*[F.col(f"`{c}`").try_cast("double") for c in values])
-    kind = F.col("data_type") if "data_type" in raw.columns else F.lit(None).cast("string")
-    rows = raw.select(file_user().alias("user_id"), kind.alias("data_type"), micros(cut_fraction_ts(time)).alias("t"), number.alias("value"))
+    table = read_by_header(spark, path)
+    rows = table.rows
+    own_time = F.when(F.array_contains("header", "time"), table.cell("time")).otherwise(table.cell("datetime_local"))
+    if set(table.names) - set(NOT_VALUES) == {"value"}:
+        number = table.cell("value").try_cast("double")
+    else:
+        others = rows.where(~F.array_contains("header", "value")).select("path", F.posexplode(F.arrays_zip("header", "cells")).alias("at", "c"))
+        others = others.where(~F.coalesce("c.header", F.lit("")).isin(*NOT_VALUES) & F.col("c.cells").try_cast("double").isNotNull())
+        # one row per file without a `value`
+        rows = rows.join(others.groupBy("path").agg(F.min("at").alias("at")), "path", "left")
+        number = F.coalesce(table.cell("value"), F.get("cells", F.col("at"))).try_cast("double")
+    rows = rows.select(file_user().alias("user_id"), table.cell("data_type").alias("data_type"), micros(cut_fraction_ts(own_time)).alias("t"), number.alias("value"))
     return rows.where("t is not null and value is not null")
 
 
 def read_self_reports(spark: SparkSession, path: str, substance: str, scenario: str) -> DataFrame:
-    """user_id, t of label files; no file or an empty one gives an empty frame.
+    """user_id, t of label files, each read by its own header; no file or only empty ones give an empty frame.
 
-    `Use` has its own time column; a scenario None is not filtered by substance.
+    `Use` has its own time column, and files without it have no such rows; a scenario None is not filtered by substance.
     """
-    empty = spark.createDataFrame([], "user_id long, t long")
     try:
-        raw = spark.read.csv(path, header=True, recursiveFileLookup=True)
-    except Exception as e:  # Spark names its errors by class
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return empty
-        raise
+        table = read_by_header(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "user_id long, t long")
     column = "hawaii_use_time" if scenario == "Use" else "hawaii_createdat_time"
-    if column not in raw.columns:
-        return empty
-    rows = raw if scenario == "None" else raw.where(F.col("substance_fruit_label") == substance)
+    rows = table.named("user_id", "substance_fruit_label", column)
+    rows = rows if scenario == "None" else rows.where(F.col("substance_fruit_label") == substance)
     return rows.select(F.col("user_id").try_cast("long").alias("user_id"), micros(cut_fraction_ts(F.col(column))).alias("t")).where("t is not null").orderBy("user_id", "t")
 
 
@@ -56,12 +66,35 @@ def read_processed(spark: SparkSession, path: str, required: tuple[str, ...] = (
     return df.withColumn("state_val", F.col("BP_spike").cast("long"))
 
 
+def folders(path: str = "path") -> list[Column]:
+    """uid, substance and task from .../<uid>/<substance>_<task>/<file>; folders may be named `key=value`."""
+    folder = lambda i: F.substring_index(F.element_at(F.split(F.col(path), "/"), i), "=", -1)
+    task = F.split(folder(-2), "_", 2)
+    return [folder(-3).alias("uid"), F.get(task, F.lit(0)).alias("substance"), F.get(task, F.lit(1)).alias("task")]
+
+
 def read_result_tree(spark: SparkSession, root: str, name: str = "comparison_summary.csv") -> DataFrame:
-    """All columns of every file `name` below root, as text, with uid, substance and task from the folders and the path."""
-    raw = spark.read.csv(root, header=True, recursiveFileLookup=True, pathGlobFilter=name)
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    folder = F.element_at(parts, -2)
-    return raw.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.element_at(parts, -3).alias("uid"), F.get(F.split(folder, "_", 2), F.lit(0)).alias("substance"), F.get(F.split(folder, "_", 2), F.lit(1)).alias("task"))
+    """All columns of every file `name` below root, as text, with uid, substance and task from the folders and the path.
+
+    Each file is read by its own header; a column that a file does not have is null there.
+    """
+    table = read_by_header(spark, root, name)
+    return table.named(*table.names).select("*", *folders())
+
+
+def read_summaries(spark: SparkSession, root: str, name: str = "comparison_summary.csv") -> DataFrame:
+    """uid, substance, task, pipeline, path, mtime, auc_train, auc_mean, auc_std, auc_text of every result file below root.
+
+    The test auc is a text (`AUC_Mean ± STD`, else `ROC AUC`) or numbers (`AUC_Mean`, `AUC_STD`), as the file has it; a
+    text stands before numbers. Rows without a pipeline are left out; spaces in its name become underscores.
+    """
+    table = read_by_header(spark, root, name)
+    cell = lambda c: F.nullif(F.trim(table.cell(c)), F.lit(""))
+    text = F.coalesce(cell("AUC_Mean ± STD"), F.when(cell("AUC_Mean").isNull(), cell("ROC AUC")))
+    number = lambda c: F.when(text.isNull(), cell(c).try_cast("double"))
+    pipeline = F.replace(cell("Pipeline"), F.lit(" "), F.lit("_"))
+    rows = table.rows.select(*folders(), pipeline.alias("pipeline"), "path", "mtime", cell("AUC_Train").try_cast("double").alias("auc_train"), number("AUC_Mean").alias("auc_mean"), number("AUC_STD").alias("auc_std"), text.alias("auc_text"))
+    return rows.where("pipeline is not null")
 
 
 def read_run_summaries(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
