@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..shipping import ship
+from ..sources.paths import written
+from .resampling import PRIME, auc_by_iteration, auc_parts, draw_rows, resample, resampled  # noqa: F401
 
 #: Thresholds 0, 0.01, ..., 1, as literals k / 100.
 GRID = 100
@@ -137,40 +135,6 @@ def class_weights(df: DataFrame, by: list[str], label: str = "y_true") -> DataFr
     return c.select(*by, label, F.when(k > 1, F.sum("n").over(w) / (k * F.col("n"))).otherwise(1.0).alias("class_weight"), (neg / pos).alias("scale_pos_weight"))
 
 
-#: Draws that one task makes, about; the modulus of the draws' generator, a prime below 2 ** 31, so that products fit 64 bits.
-TASK_DRAWS, PRIME = 4_000_000, 2_147_483_647
-
-
-def draw_rows(seeds: np.ndarray, first: int, count: int, n: int) -> np.ndarray:
-    """(iterations, count): the row numbers 0..n-1 of the draws from `first` on; seeds: three numbers a, b, c an iteration.
-
-    Draw j is ((a * j + b) ** 5 + c) mod PRIME mod n, which SQL can repeat.
-    """
-    j = np.arange(first, first + count, dtype=np.int64)
-    x = (seeds[:, :1] * j + seeds[:, 1:2]) % PRIME
-    y = x * x % PRIME
-    return (y * y % PRIME * x + seeds[:, 2:]) % PRIME % n
-
-
-def resampled(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray, seeds: np.ndarray, frac: float) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(iterations, drawn positives, drawn negatives by score): round(frac * n) draws with replacement, some iterations at a time."""
-    n = int(pos.sum() + neg.sum())
-    k, cells = round(frac * n), 2 * len(scores)
-    sizes = np.empty(cells, dtype=np.int64)
-    sizes[0::2], sizes[1::2] = neg, pos  # rows in the order of score and label
-    cell_of = np.repeat(np.arange(cells), sizes)
-    some = max(1, 100_000 // max(k, cells))
-    for at in range(0, len(seeds), some):
-        own = seeds[at : at + some]
-        counts = np.zeros(len(own) * cells, dtype=np.int64)
-        shift = (np.arange(len(own)) * cells)[:, None]
-        for first in range(0, k, 100_000):
-            drawn = cell_of[draw_rows(own, first + 1, min(100_000, k - first), n)]
-            counts += np.bincount((drawn + shift).ravel(), minlength=len(counts))
-        counts = counts.reshape(len(own), cells)
-        yield slice(at, at + len(own)), counts[:, 1::2], counts[:, 0::2]
-
-
 def auc_of(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
     """Tie-aware area of each row of counts by score; nan where a class is absent."""
     below = np.cumsum(neg, axis=1) - neg
@@ -178,46 +142,14 @@ def auc_of(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
         return (pos * (below + neg / 2)).sum(axis=1) / (pos.sum(axis=1).astype(float) * neg.sum(axis=1))
 
 
-def bootstrap(preds: DataFrame, by: list[str], measure: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, frac: float, iterations: int, seed: int) -> DataFrame:
-    """by, and what measure(scores, drawn positives, drawn negatives) gives for the iterations of a resampling.
-
-    A group comes down to its counts by score; those go to each of the tasks that share the group's iterations, as many
-    as its draws ask for. Rows never leave the first aggregation. A task holds one group's distinct scores.
-    """
-    ship(preds.sparkSession)
-    hist = by_score(preds, by).where("y_score is not null")
-    sizes = hist.groupBy(*by).agg(F.sum(F.col("pos") + F.col("neg")).alias("_n"))
-    blocks = F.greatest(F.lit(1), F.least(F.lit(iterations), F.ceil(frac * iterations * F.col("_n") / TASK_DRAWS))).cast("int")
-    spread = sizes.select(*by, blocks.alias("_blocks")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    group = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by])
-    held = hist.join(spread.withColumn("_group", group), by)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("y_score", ignore_index=True)
-        block, blocks, text = int(rows["_block"][0]), int(rows["_blocks"][0]), rows["_group"][0]
-        mine = range(block * iterations // blocks, (block + 1) * iterations // blocks)
-        digests = b"".join(hashlib.md5(f"{text}:{i}".encode()).digest() for i in mine)
-        seeds = np.frombuffer(digests, dtype=">u4").reshape(-1, 4)[:, :3].astype(np.int64) % PRIME
-        scores, pos, neg = (rows[c].to_numpy() for c in ("y_score", "pos", "neg"))
-        found = [measure(scores, p, q) for _, p, q in resampled(scores, pos.astype(np.int64), neg.astype(np.int64), seeds, frac)]
-        out = pd.concat(found) if found else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        for c in by:
-            out[c] = rows[c][0]
-        return out
-
-    types = ", ".join(f"`{c}` {dict(preds.dtypes)[c]}" for c in by)
-    # a set number of partitions: the counts are small, the work on them is not
-    tasks = max(int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions")), preds.sparkSession.sparkContext.defaultParallelism)
-    return held.repartition(tasks, *by, "_block").groupBy(*by, "_block").applyInPandas(run, f"{types}, {schema}")
-
-
 def bootstrap_auc(preds: DataFrame, by: list[str], frac: float = 0.7, iterations: int = 1000, seed: int = 42) -> DataFrame:
     """by, auc_mean, auc_std (sample), valid: over the iterations that drew both classes, of round(frac * n) rows with replacement.
 
     Groups with a null key are left out.
     """
     preds, keys, pooled = _grouped(preds, by)
-    each = bootstrap(preds, keys, lambda s, p, q: pd.DataFrame({"auc": auc_of(p, q)}), "auc double", frac, iterations, seed).withColumn("auc", F.nanvl("auc", F.lit(None)))
+    parts, tall = resample(by_score(preds, keys), keys, lambda s, p, q: auc_parts(p, q), "p long, n long, u double", frac, iterations, seed)
+    each = auc_by_iteration(parts, keys, tall)
     out = each.groupBy(*keys).agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"), (F.count("auc") / iterations).alias("valid"))
     return out.drop("_all") if pooled else out
 
@@ -227,29 +159,36 @@ THRESHOLD_METRICS = ("sensitivity", "specificity", "accuracy")
 
 def bootstrap_thresholds(preds: DataFrame, by: list[str], frac: float = 0.7, iterations: int = 1000, seed: int = 42) -> DataFrame:
     """by, k, mean and sample deviation of sensitivity, specificity and accuracy at score >= k / 100, and of the auc, over the same draws."""
+    below, auc_row = -1, -2  # scores under every threshold; the row of the auc
 
     def measure(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> pd.DataFrame:
-        grid = np.minimum(np.floor(scores * GRID + 1e-9), GRID)
-        at = np.searchsorted(grid, np.arange(GRID + 1))  # scores are in order: the first that counts as positive
-        zero = np.zeros((len(pos), 1), dtype=np.int64)
-        fn, tn = (np.concatenate((zero, np.cumsum(x, axis=1)), axis=1)[:, at] for x in (pos, neg))
-        p, n = pos.sum(axis=1, keepdims=True), neg.sum(axis=1, keepdims=True)
+        grid = np.clip(np.floor(scores * GRID + 1e-9), below, GRID).astype(np.int64)  # scores are in order
+        bins, first = np.unique(grid, return_index=True)
+        counts = pd.DataFrame({"at": np.repeat(np.arange(len(pos)), len(bins)), "k": np.tile(bins, len(pos)), "p": np.add.reduceat(pos, first, axis=1).ravel(), "n": np.add.reduceat(neg, first, axis=1).ravel(), "u": 0.0})
+        return pd.concat((counts, auc_parts(pos, neg).assign(k=auc_row)))
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        """A group's rows: an iteration and a bin each, so no more than iterations times bins."""
+        p, n = (np.zeros((iterations, GRID + 2)) for _ in "pn")
+        for x, c in ((p, "p"), (n, "n")):
+            x[rows["iteration"], rows["k"] + 1] = rows[c]
+        fn, tn = (np.cumsum(x, axis=1)[:, :-1] for x in (p, n))
+        p, n = p.sum(axis=1, keepdims=True), n.sum(axis=1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
             values = (np.where(p > 0, (p - fn) / p, 0.0), np.where(n > 0, tn / n, 0.0), (p - fn + tn) / (p + n))
-        auc = auc_of(pos, neg)
-        out = pd.DataFrame({"k": np.append(np.arange(GRID + 1), -1), "n": np.append(np.full(GRID + 1, len(pos)), (~np.isnan(auc)).sum())})
+        out = pd.DataFrame({c: rows[c].iloc[0] for c in by} | {"k": np.arange(GRID + 1)})
         for name, v in zip(THRESHOLD_METRICS, values, strict=True):
-            out[f"{name}_sum"], out[f"{name}_squares"] = np.append(v.sum(axis=0), 0), np.append((v * v).sum(axis=0), 0)
-        out["auc_sum"], out["auc_squares"] = np.append(np.zeros(GRID + 1), np.nansum(auc)), np.append(np.zeros(GRID + 1), np.nansum(auc * auc))
+            out[f"{name}_mean"], out[f"{name}_std"] = v.mean(axis=0), v.std(axis=0, ddof=1) if iterations > 1 else np.nan
         return out
 
-    names = (*THRESHOLD_METRICS, "auc")
-    schema = "k long, n long, " + ", ".join(f"{m}_sum double, {m}_squares double" for m in names)
-    sums = bootstrap(preds, by, measure, schema, frac, iterations, seed).groupBy(*by, "k").agg(F.sum("n").alias("n"), *[F.sum(f"{m}_{x}").alias(f"{m}_{x}") for m in names for x in ("sum", "squares")])
-    mean = lambda m: F.col(f"{m}_sum") / F.when(F.col("n") > 0, F.col("n"))
-    std = lambda m: F.sqrt(F.greatest(F.lit(0.0), F.col(f"{m}_squares") - F.col(f"{m}_sum") * F.col(f"{m}_sum") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1))
-    auc = sums.where("k = -1").select(*by, mean("auc").alias("auc_mean"), std("auc").alias("auc_std"))
-    return sums.where("k >= 0").select(*by, "k", *[f(m).alias(f"{m}_{n}") for m in THRESHOLD_METRICS for n, f in (("mean", mean), ("std", std))]).join(auc, by)
+    found, tall = resample(by_score(preds, by), by, measure, "k long, p long, n long, u double", frac, iterations, seed)
+    found = written(found, "drawn")
+    auc = auc_by_iteration(found.where(F.col("k") == auc_row).drop("k"), by, tall).groupBy(*by).agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"))
+    bins = found.where(F.col("k") > auc_row).groupBy(*by, "iteration", "k").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    names = [f"{m}_{x}" for m in THRESHOLD_METRICS for x in ("mean", "std")]
+    types = ", ".join(f"`{c}` {dict(preds.dtypes)[c]}" for c in by)
+    done = bins.groupBy(*by).applyInPandas(finish, f"{types}, k long, " + ", ".join(f"{c} double" for c in names))
+    return done.select(*by, "k", *[F.nanvl(c, F.lit(None)).alias(c) for c in names]).join(auc, by)
 
 
 def ensemble_weight_grid(preds: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

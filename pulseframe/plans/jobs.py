@@ -10,6 +10,7 @@ from ..functions.scalars import calendar_features, interaction_features
 from ..operators import clean as C
 from ..operators import temporal as T
 from ..operators import windows as N
+from ..sources.paths import written
 
 
 def build_features(readings: DataFrame, signals: DataFrame, stress: DataFrame, minutes: tuple[int, ...] = (5, 10, 30, 60)) -> DataFrame:
@@ -29,15 +30,6 @@ def build_features(readings: DataFrame, signals: DataFrame, stress: DataFrame, m
     return wide.withColumns(calendar_features(wall_clock(F.col("t"))))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, so that it is made once and survives lost executors."""
-    from ..sources.paths import scratch
-
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def build_windows(readings: DataFrame, signals: DataFrame, seed: int = 42) -> DataFrame:
     """Windows around spikes and sampled quiet minutes, each with the split of its day; users without a split are left out."""
     from ..operators.splits import day_split_retry
