@@ -1,8 +1,4 @@
-"""Operators over embedding tables: nearest rows, densities, core-sets, clusters. Vectors are array<double>.
-
-Distances are computed block by block: both sides are cut into blocks of a bounded size by a hash of the id, and each
-pair of blocks is one task's matrix product. Only the smallest k of each row and block leave it.
-"""
+"""Operators over embedding tables: densities, core-sets, clusters, all upon the nearest rows of `neighbors`. Vectors are array<double>."""
 
 from __future__ import annotations
 
@@ -16,51 +12,7 @@ from ..functions.scalars import l2_normalize
 from ..hashing import hash_key
 from ..shipping import ship
 from ..sources.paths import checkpoints
-
-#: Rows of one block.
-BLOCK = 2048
-
-
-def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T))
-
-
-def cosine_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 1 - (a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-12)) @ (b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-12)).T
-
-
-MEASURES = {"euclidean": euclidean, "cosine": cosine_distance}
-
-
-def nearest(left: DataFrame, right: DataFrame, k: int, key: str, vector: str, by: list[str] = (), metric: str = "euclidean") -> DataFrame:
-    """id, other, distance: the k nearest rows of right for each row of left, its own id left out, inside equal `by`.
-
-    Distances are rounded to 9 places and ties go to smaller ids.
-    """
-    ship(left.sparkSession)
-    measure = MEASURES[metric]
-    cut = lambda df: max(1, -(-df.count() // BLOCK))
-    nl, nr = cut(left), cut(right)
-    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.select(*by, F.col(key).alias("id"), F.col(vector).alias("v"), block(nl).alias("lb")).withColumn("rb", every(nr))
-    b = right.select(*by, F.col(key).alias("id"), F.col(vector).alias("v"), block(nr).alias("rb")).withColumn("lb", every(nl))
-    keys = [*by, "lb", "rb"]
-
-    def pair(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        y = y.sort_values("id", ignore_index=True)
-        d = np.round(measure(np.stack(x["v"].to_numpy()), np.stack(y["v"].to_numpy())), 9)
-        d[x["id"].to_numpy()[:, None] == y["id"].to_numpy()[None, :]] = np.inf
-        at = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(x["id"].to_numpy(), at.shape[1]), "other": y["id"].to_numpy()[at.ravel()], "distance": np.take_along_axis(d, at, 1).ravel()})
-        return out[np.isfinite(out["distance"])]
-
-    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(pair, "id long, other long, distance double")
-    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
-    return found.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
-
+from .neighbors import nearest
 
 def nearest_labeled(unlabeled: DataFrame, labeled: DataFrame, key: str, vector: str, metric: str = "euclidean") -> DataFrame:
     """id, distance to the nearest labelled row."""

@@ -10,6 +10,7 @@ from pulseframe.operators import active as A
 from pulseframe.operators import balance as B
 from pulseframe.operators import clean as C
 from pulseframe.operators import metrics as M
+from pulseframe.operators import neighbors
 from pulseframe.operators import rollups as R
 from pulseframe.operators import splits as P
 from pulseframe.operators import temporal as T
@@ -129,7 +130,7 @@ def test_blocks_do_not_change_neighbours(spark, monkeypatch):
     rows = [(i, [float((i * 37) % 11), float((i * 53) % 13)]) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, z array<double>")
     whole = got(V.nearest(df, df, 3, "id", "z"))
-    monkeypatch.setattr(V, "BLOCK", 7)
+    monkeypatch.setattr(neighbors, "BLOCK", 7)
     assert got(V.nearest(df, df, 3, "id", "z")) == whole
 
 
