@@ -32,8 +32,69 @@ def distance_to(vector: str, point: list[float], metric: str = "euclidean"):
     return F.round(F.sqrt(F.aggregate(F.zip_with(vector, p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)), 9)
 
 
+#: Candidates of the first round, and most rows that a round brings to the driver.
+CANDIDATES, MOST_CANDIDATES = 256, 32_768
+
+
+def gaps_to(z: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """(rows, centers): Euclidean distances, rounded to 9 places, by differences so that equal rows are at 0."""
+    out = np.empty((len(z), len(centers)))
+    for j, c in enumerate(centers):
+        out[:, j] = np.round(np.sqrt(((z - c) ** 2).sum(axis=1)), 9)
+    return out
+
+
+def farthest_picks(start: DataFrame, k: int, key: str, vector: str) -> list[tuple]:
+    """(id, vector) of k picks: each time the row with the largest min_dist (ties to smaller ids), which becomes a centre.
+
+    Distances only fall, so those of an earlier round are upper bounds. A round brings the rows with the largest ones
+    to the driver, and picks among them as long as the best of them, updated, still comes before every row outside;
+    then one job updates all rows against the round's picks. Rounds take more and more candidates, up to a set number
+    of rows. start: key, vector, min_dist.
+    """
+    checkpoints(start.sparkSession)
+    ship(start.sparkSession)
+    now, picked, width = start.select(key, vector, "min_dist").checkpoint(), [], CANDIDATES
+    while len(picked) < k:
+        top = now.orderBy(F.desc("min_dist"), key).limit(width).collect()  # MOST_CANDIDATES rows at most
+        if not top:
+            break
+        whole = len(top) < width
+        ids, z, left = [r[0] for r in top], np.array([r[1] for r in top], dtype=float), np.array([r[2] for r in top], dtype=float)
+        rest, first, free = (left[-1], ids[-1]), len(picked), np.ones(len(top), dtype=bool)
+        while len(picked) < k and free.any():
+            best = np.flatnonzero(free & (left == left[free].max()))
+            at = min(best, key=lambda i: ids[i])
+            # a row outside is at most as far as the last candidate was, with a larger id where as far
+            if not whole and (left[at] < rest[0] or left[at] == rest[0] and ids[at] > rest[1]):
+                break
+            picked.append((ids[at], top[at][1]))
+            free[at] = False
+            left = np.minimum(left, gaps_to(z, z[at : at + 1])[:, 0])
+        if whole:
+            break
+        if len(picked) < k:
+            now = updated(now, picked[first:], key, vector).checkpoint()
+            width = min(2 * width, MOST_CANDIDATES)
+    return picked
+
+
+def updated(rows: DataFrame, centers: list[tuple], key: str, vector: str) -> DataFrame:
+    """rows without the centres, min_dist lowered to their distance from them."""
+    ids, z = {c[0] for c in centers}, np.array([c[1] for c in centers], dtype=float)
+
+    def lower(frames):
+        for f in frames:
+            f = f[~f[key].isin(ids)]
+            if len(f):
+                own = np.stack(f[vector].to_numpy()).astype(float)
+                yield f.assign(min_dist=np.minimum(f["min_dist"].to_numpy(), gaps_to(own, z).min(axis=1)))
+
+    return rows.mapInPandas(lower, rows.schema)
+
+
 def farthest_first(pool: DataFrame, start: DataFrame, score, k: int, key: str, vector: str, keep_every: int = 4, metric: str = "euclidean") -> list[tuple]:
-    """The ids of k picks: each time the row with the largest score (ties to smaller ids); start: key, vector, min_dist.
+    """The ids of k picks by a score that is scaled anew after each pick, so that every pick needs all rows.
 
     One row, the new centre, comes to the driver in each step; distances are only updated against it.
     """
@@ -58,7 +119,7 @@ def _picks(pool: DataFrame, ids: list, key: str) -> DataFrame:
 def coreset_greedy(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     """pick, key: k times the pool row farthest from its nearest centre, which then becomes a centre."""
     start = pool.select(key, vector).join(nearest_labeled(pool, labeled, key, vector).select(F.col("id").alias(key), F.col("distance").alias("min_dist")), key)
-    return _picks(pool, farthest_first(pool, start, lambda df: F.col("min_dist"), k, key, vector), key)
+    return _picks(pool, [p[0] for p in farthest_picks(start, k, key, vector)], key)
 
 
 def density_parts(labeled: DataFrame, pool: DataFrame, key: str, vector: str, k: int = 10) -> DataFrame:
@@ -136,20 +197,40 @@ def kcenter_seed(df: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     start = df.select(key, vector, distance_to(vector, [r["m"] for r in center]).alias("d"))
     first = start.orderBy("d", key).first()
     rest = start.where(F.col(key) != first[0]).select(key, vector, distance_to(vector, first[1]).alias("min_dist"))
-    return _picks(df, [first[0], *farthest_first(df, rest, lambda x: F.col("min_dist"), k - 1, key, vector)], key)
+    return _picks(df, [first[0], *(p[0] for p in farthest_picks(rest, k - 1, key, vector))], key)
+
+
+def nearest_center(z: np.ndarray, centers: np.ndarray, step: int = 256) -> np.ndarray:
+    """The nearest centre of each row, ties to the first; by blocks of centres, near ties by differences."""
+    best, own = np.full(len(z), np.inf), np.zeros(len(z), dtype=np.int64)
+    for at in range(0, len(centers), step):
+        part = centers[at : at + step]
+        d = (z * z).sum(1)[:, None] + (part * part).sum(1)[None] - 2 * z @ part.T
+        slack = 1e-9 * (1 + np.abs(d).max(initial=0))
+        rows, close = np.nonzero(d <= np.minimum(d.min(axis=1), best)[:, None] + slack)
+        exact = ((z[rows] - part[close]) ** 2).sum(axis=1)
+        order = np.lexsort((close, exact, rows))
+        rows, close, exact = rows[order], close[order], exact[order]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        rows, close, exact = rows[first], close[first], exact[first]
+        better = exact < best[rows]
+        best[rows[better]], own[rows[better]] = exact[better], at + close[better]
+    return own
 
 
 def lloyd_step(pool: DataFrame, centers: np.ndarray, vector: str) -> np.ndarray:
-    """The mean of the rows nearest to each centre; a centre without rows stays."""
+    """The mean of the rows nearest to each centre; a centre without rows stays. A row per task and centre is summed up."""
 
     def sums(frames):
+        total, n = np.zeros_like(centers), np.zeros(len(centers), dtype=np.int64)
         for f in frames:
             if len(f):
-                z = np.array(f[vector].tolist(), dtype=float)
-                # differences one centre at a time: ties go to the first centre
-                own = np.argmin(np.stack([((z - c) ** 2).sum(1) for c in centers], axis=1), axis=1)
-                for j in np.unique(own):
-                    yield pd.DataFrame({"cluster": [int(j)], "n": [int((own == j).sum())], "total": [z[own == j].sum(0).tolist()]})
+                z = np.stack(f[vector].to_numpy()).astype(float)
+                own = nearest_center(z, centers)
+                np.add.at(total, own, z)
+                n += np.bincount(own, minlength=len(centers))
+        if len(held := np.flatnonzero(n)):
+            yield pd.DataFrame({"cluster": held, "n": n[held], "total": [t.tolist() for t in total[held]]})
 
     ship(pool.sparkSession)
     parts = pool.select(vector).mapInPandas(sums, "cluster long, n long, total array<double>")
@@ -160,28 +241,54 @@ def lloyd_step(pool: DataFrame, centers: np.ndarray, vector: str) -> np.ndarray:
     return out
 
 
+def nearest_per_center(data: DataFrame, centers: np.ndarray, wanted: list[int], many: int, key: str, vector: str) -> dict[int, list]:
+    """For each wanted centre the ids of its `many` nearest rows, nearest first, ties to smaller ids; one job."""
+    points = centers[wanted]
+
+    def best(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            z, ids = np.stack(f[vector].to_numpy()).astype(float), f[key].to_numpy()
+            for j, c in zip(wanted, points, strict=True):
+                d = np.round(np.sqrt(((z - c) ** 2).sum(axis=1)), 9)
+                at = np.lexsort((ids, d))[:many]
+                yield pd.DataFrame({"cluster": j, key: ids[at], "d": d[at]})
+
+    ship(data.sparkSession)
+    found = data.mapInPandas(best, f"cluster long, `{key}` {dict(data.dtypes)[key]}, d double")
+    found = found.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy("d", key))).where(F.col("r") <= many)
+    out = {j: [] for j in wanted}
+    for r in found.orderBy("cluster", "r").collect():  # many rows for each centre
+        out[r["cluster"]].append(r[key])
+    return out
+
+
 def kmeans_query(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector: str, max_iter: int = 50, tol: float = 1e-6) -> DataFrame:
     """cluster, key of k picks: for each of k centres fitted on the pool, the nearest row not picked yet (ties to smaller ids).
 
     Centres start as the labelled centroid (without labelled rows the pool's) and farthest-first picks from it. Only
-    the centres and one row for each come to the driver.
+    the centres and a few rows for each come to the driver; jobs are one a Lloyd step, and a few for all seeds and picks.
     """
     kind = dict(pool.dtypes)[key]
     k, picked = min(k, pool.count()), []
     if k > 0:
         mean = lambda df: [r["m"] for r in df.select(F.posexplode(vector)).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()]  # noqa: E731  a row's width
         anchor = mean(labeled) or mean(pool)
-        start = pool.select(key, vector, distance_to(vector, anchor).alias("min_dist"))
-        ids = farthest_first(pool, start, lambda df: F.col("min_dist"), k - 1, key, vector)
         data = pool.select(key, vector).checkpoint()
-        at = {r[0]: r[1] for r in data.where(F.col(key).isin(ids)).collect()}  # k rows
-        centers = np.array([anchor, *(at[i] for i in ids)], dtype=float)
+        start = data.select(key, vector, distance_to(vector, anchor).alias("min_dist"))
+        centers = np.array([anchor, *(z for _, z in farthest_picks(start, k - 1, key, vector))], dtype=float)
         for _ in range(max_iter):
             before, centers = centers, lloyd_step(data, centers, vector)
             if np.linalg.norm(centers - before) <= tol:
                 break
-        for c in centers:
-            picked.append(data.where(~F.col(key).isin(picked)).orderBy(distance_to(vector, c.tolist()), key).first()[0])
+        many, near, used = 4, nearest_per_center(data, centers, list(range(k)), 4, key, vector), set()
+        for j in range(k):
+            while not (free := [i for i in near[j] if i not in used]):  # all taken by earlier centres
+                many *= 4
+                near |= nearest_per_center(data, centers, list(range(j, k)), many, key, vector)
+            picked.append(free[0])
+            used.add(free[0])
     return pool.sparkSession.createDataFrame(list(enumerate(picked)), f"cluster long, `{key}` {kind}")
 
 
