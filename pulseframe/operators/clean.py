@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .quantiles import exact_quantiles
+
 #: What a reading's missing value is stored as. Fixed value of the format.
 SENTINEL = -2147483648
 DAY = 86_400_000_000
@@ -72,9 +74,8 @@ def drop_all_zero(df: DataFrame, column: str = "hr_seq") -> DataFrame:
 def impute_features(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
     """Numbers with infinities and gaps replaced by the train median, or 0 where there is none."""
     number = lambda c: F.expr(f"CASE WHEN abs(try_cast(`{c}` AS double)) < double('infinity') THEN try_cast(`{c}` AS double) END")
-    medians = train.select(*[F.percentile(number(c), 0.5).alias(f"_m_{c}") for c in columns])
-    met = df.crossJoin(F.broadcast(medians))  # one row
-    return met.select(*[x for x in df.columns if x not in columns], *[F.coalesce(number(c), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) for c in columns])
+    medians = exact_quantiles(train, {c: (number(c), [0.5]) for c in columns})
+    return df.select(*[x for x in df.columns if x not in columns], *[F.coalesce(number(c), F.lit(medians[c][0]), F.lit(0.0)).alias(c) for c in columns])
 
 
 def scale_features(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:

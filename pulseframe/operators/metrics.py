@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.paths import written
+from .quantiles import exact_quantiles
 from .resampling import PRIME, auc_by_iteration, auc_parts, draw_rows, resample, resampled  # noqa: F401
 
 #: Thresholds 0, 0.01, ..., 1, as literals k / 100.
@@ -205,6 +206,13 @@ def mc_stats(mc: DataFrame, eps: float = 1e-8) -> DataFrame:
     return m.withColumn("predictive_entropy", entropy(F.col("mean"))).withColumn("bald", F.col("predictive_entropy") - F.col("expected_entropy"))
 
 
+def ensemble_variance(mc: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sample_id, mean, var, std over passes; one row mean_var, median_var, mean_std over all samples)."""
+    each = written(mc_stats(mc).select("sample_id", "mean", "var", "std"), "ensemble")
+    median = exact_quantiles(each, {"var": (F.col("var"), [0.5])})["var"][0]
+    return each, each.agg(F.avg("var").alias("mean_var"), F.avg("std").alias("mean_std")).select("mean_var", F.lit(median).cast("double").alias("median_var"), "mean_std")
+
+
 def pooled_auc_per_round(progress: DataFrame, preds: DataFrame, full: DataFrame, iterations: int = 1000, seed: int = 42) -> DataFrame:
     """round, split, num_labeled, total and pct averaged over users, auc_mean and auc_std resampled from all users' predictions.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import zscore_seq
 from ..hashing import with_position
 from .clean import DAY
+from .quantiles import exact_quantiles
 from .temporal import HOUR, MINUTE, asof_backward, bounds
 
 
@@ -48,5 +49,6 @@ def sliding_windows(df: DataFrame, size: int = 30, step: int = 15) -> DataFrame:
 
 def variance_bins(df: DataFrame, score: str, q: int = 10) -> DataFrame:
     """df with bin: how many inner quantile edges, doubles dropped, lie below the score."""
-    edges = df.agg(F.array_distinct(F.percentile(score, [i / q for i in range(1, q)])).alias("_e"))
-    return df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(score))).cast("long")).drop("_e")  # one row
+    edges = exact_quantiles(df, {"edges": (F.col(score), [i / q for i in range(1, q)])})["edges"]
+    inner = sorted({e for e in edges if e is not None})
+    return df.withColumn("bin", sum(((F.col(score) > e).cast("long") for e in inner), F.lit(0).cast("long")))

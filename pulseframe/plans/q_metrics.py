@@ -190,7 +190,12 @@ def d22(spark, d):
 
 @query("d23_ensemble_variance", MC + " SELECT round(avg(v), 6) AS mean_var, round(median(v), 6) AS median_var, round(avg(s), 6) AS mean_std FROM be")
 def d23(spark, d):
-    return M.mc_stats(mc(spark, d)).agg(r6(F.avg("var")).alias("mean_var"), r6(F.percentile("var", 0.5)).alias("median_var"), r6(F.avg("std")).alias("mean_std"))
+    return M.ensemble_variance(mc(spark, d))[1].select(*[r6(c).alias(c) for c in ("mean_var", "median_var", "mean_std")])
+
+
+@query("d23_sample_variance", MC + " SELECT sample_id, round(m, 6) AS mean, round(v, 6) AS var, round(s, 6) AS std FROM be")
+def d23_samples(spark, d):
+    return M.ensemble_variance(mc(spark, d))[0].select("sample_id", *[r6(c).alias(c) for c in ("mean", "var", "std")])
 
 
 @query("f1_margin_topk", " SELECT sample_id, round(1 - abs(2 * y_score - 1), 6) AS uncertainty FROM preds ORDER BY round(1 - abs(2 * y_score - 1), 6) DESC, sample_id LIMIT 100")
