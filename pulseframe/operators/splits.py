@@ -24,23 +24,43 @@ TEST_SIZES = (0.2, 0.18, 0.22, 0.16, 0.24, 0.15, 0.25, 0.17, 0.19, 0.21)
 def day_split_retry(days: DataFrame, seed: int = 42, sizes: tuple[float, ...] = TEST_SIZES) -> DataFrame:
     """user_id, day, split from days (user_id, day, n, pos): the first size whose test days hold enough of both classes.
 
-    Days are drawn in one hash order, so that test sets of all sizes are prefixes of it. A size is accepted with at
-    least 2 test windows, 2 positives, 2 negatives and 2 windows in the validation days, which are the next quarter
-    of the rest, rounded up. Users that no size fits are left out.
+    Days are drawn in one hash order, so that test sets of all sizes are prefixes of it. Validation days are a quarter
+    of the rest, rounded up, with a proportional share of the days of each window count (largest remainders, ties to
+    smaller counts) where each count occurs on two days or more and both sides have a day for each; else the next days
+    in order. A size is accepted with at least 2 test windows, 2 positives, 2 negatives and 2 validation windows. Users
+    that no size fits are left out: see skipped_users.
     """
     user = W.partitionBy("user_id")
     ranked = days.withColumn("_rank", F.row_number().over(user.orderBy(hash_key(seed, "user_id", "day"), "day"))).withColumn("_days", F.count(F.lit(1)).over(user))
     tries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(sizes)])
-    each = ranked.withColumn("_try", F.explode(tries)).withColumn("_test", F.ceil(F.round(F.col("_try.s") * F.col("_days"), 9)))
-    each = each.withColumn("_val", F.ceil(0.25 * (F.col("_days") - F.col("_test"))))
-    test, val = F.col("_rank") <= F.col("_test"), (F.col("_rank") > F.col("_test")) & (F.col("_rank") <= F.col("_test") + F.col("_val"))
-    each = each.withColumn("split", F.when(test, "test").when(val, "val").otherwise("train"))
-    sums = each.groupBy("user_id", F.col("_try.i").alias("_i")).agg(
+    each = ranked.withColumn("_try", F.explode(tries)).withColumn("_i", F.col("_try.i")).withColumn("_test", F.ceil(F.round(F.col("_try.s") * F.col("_days"), 9)))
+    each = each.withColumn("_rest", F.col("_days") - F.col("_test")).withColumn("_val", F.ceil(0.25 * F.col("_rest"))).withColumn("_in", F.col("_rank") > F.col("_test"))
+    # a user's days of one window count are a class; all windows are over a user's days of one size
+    whole, kind = W.partitionBy("user_id", "_i", "_in"), W.partitionBy("user_id", "_i", "_in", "n")
+    each = each.withColumn("_size", F.count(F.lit(1)).over(kind)).withColumn("_place", F.row_number().over(kind.orderBy("_rank")))
+    share, first = F.col("_val") * F.col("_size"), F.col("_place") == 1
+    each = each.withColumn("_floor", F.floor(share / F.greatest("_rest", F.lit(1)))).withColumn("_left", F.pmod(share, F.greatest("_rest", F.lit(1)))).withColumn("_first", first.cast("int"))
+    each = each.withColumn("_order", F.row_number().over(whole.orderBy(F.desc("_first"), F.desc("_left"), "n")))
+    each = each.withColumn("_turn", F.min("_order").over(kind))
+    classes, extra = F.sum("_first").over(whole), F.col("_val") - F.sum(F.col("_first") * F.col("_floor")).over(whole)
+    possible = (F.min("_size").over(whole) >= 2) & (F.col("_val") >= classes) & (F.col("_rest") - F.col("_val") >= classes)
+    each = each.withColumn("_possible", possible).withColumn("_quota", F.col("_floor") + (F.col("_turn") <= extra).cast("int"))
+    val = F.when(F.col("_possible"), F.col("_place") <= F.col("_quota")).otherwise(F.col("_rank") <= F.col("_test") + F.col("_val"))
+    each = each.withColumn("split", F.when(~F.col("_in"), "test").when(val, "val").otherwise("train"))
+    sums = each.groupBy("user_id", "_i").agg(
         F.sum(F.when(F.col("split") == "test", F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("split") == "test", F.col("pos")).otherwise(0)).alias("p"),
         F.sum(F.when(F.col("split") == "val", F.col("n")).otherwise(0)).alias("v"),
     )
     fits = sums.where("t >= 2 AND p >= 2 AND t - p >= 2 AND v >= 2").groupBy("user_id").agg(F.min("_i").alias("_i"))
-    return each.withColumn("_i", F.col("_try.i")).join(fits, ["user_id", "_i"]).select("user_id", "day", "split")
+    return each.join(fits, ["user_id", "_i"]).select("user_id", "day", "split")
+
+
+def skipped_users(days: DataFrame, split: DataFrame) -> DataFrame:
+    """user_id, days, windows, positives, reason of the users whom day_split_retry leaves out."""
+    sums = days.groupBy("user_id").agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("windows"), F.sum("pos").alias("positives"))
+    few = F.least("positives", F.col("windows") - F.col("positives")) < 2
+    reason = F.when(F.col("windows") < 4, "too few windows").when(few, "too few of a class").otherwise("no size fits")
+    return sums.join(split.select("user_id").distinct(), "user_id", "left_anti").withColumn("reason", reason)
 
 
 def sample_count_day_split(days: DataFrame, frac: float = 0.25, seed: int = 42) -> DataFrame:
@@ -54,10 +74,30 @@ def sample_count_day_split(days: DataFrame, frac: float = 0.25, seed: int = 42)
     return days.select("user_id", "day", F.when(total == 0, by_days).when(before < frac * total, "test").otherwise("train").alias("split"))
 
 
-def stratified_split(df: DataFrame, frac: float, by: list[str], seed: int, key: str) -> DataFrame:
-    """df with chosen: round(frac * n) rows of each stratum (halves up), in hash order."""
+def apportioned(sizes: DataFrame, frac: float, by: list[str], within: list[str] = ()) -> DataFrame:
+    """sizes (by, n) with quota: shares of round(frac * total) (halves up) by largest remainders, ties in the order of `by`.
+
+    Totals are taken inside equal `within`, which is part of `by`; without it, over all strata.
+    """
+    within = list(within)
+    share = F.round(frac * F.col("n"), 9)
+    rows = sizes.withColumn("_floor", F.floor(share).cast("long")).withColumn("_left", F.round(share - F.floor(share), 9))
+    ranked = with_position(rows, within, F.floor(-1000 * F.col("_left")), [F.desc("_left"), *by], "_turn")
+    totals = rows.groupBy(*within).agg((F.floor(F.round(frac * F.sum("n"), 9) + 0.5) - F.sum("_floor")).alias("_extra"))
+    met = ranked.join(totals, within) if within else ranked.crossJoin(F.broadcast(totals))  # one row
+    return met.select(*by, "n", (F.col("_floor") + (F.col("_turn") <= F.col("_extra")).cast("long")).alias("quota"))
+
+
+def stratified_split(df: DataFrame, frac: float, by: list[str], seed: int, key: str, within: list[str] = ()) -> DataFrame:
+    """df with chosen: round(frac * n) rows in all (or inside equal `within`), each stratum's by largest remainders, in hash order."""
     ranked = in_hash_order(df, by, seed, key)
-    return ranked.select(*df.columns, (F.col("_position") <= F.floor(frac * F.col("_position_n") + 0.5)).alias("chosen"))
+    names = [f"_s{i}" for i in range(len(by))]
+    quotas = apportioned(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), frac, by, within).select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], "quota")
+    same = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    met = ranked.join(quotas, same) if by else ranked.crossJoin(F.broadcast(quotas))  # one row
+    return met.select(*df.columns, (F.col("_position") <= F.col("quota")).alias("chosen"))
 
 
 def safe_sample(df: DataFrame, frac: float, label: str, seed: int, key: str) -> DataFrame:

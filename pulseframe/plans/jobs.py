@@ -75,17 +75,16 @@ def experiment_rollup_of(spark: SparkSession, root: str, predictions: DataFrame,
 
 
 def fraction_vs_full(preds: DataFrame, frac: float, seeds: tuple[int, ...], iterations: int = 1000) -> DataFrame:
-    """user_id, seed ('full_data' for all rows), n, auc, log_loss and the resampled auc_mean and auc_std of stratified samples and of everything."""
-    from pyspark.sql import Window as W
+    """user_id, seed ('full_data' for all rows), n, auc, log_loss and the resampled auc_mean and auc_std of stratified samples and of everything.
 
-    from ..hashing import hash_key
+    A sample has round(frac * n) of each user's rows, of both classes in proportion.
+    """
     from ..operators.metrics import bootstrap_auc, log_loss, roc_auc
+    from ..operators.splits import stratified_split
 
     parts = preds.select("user_id", F.lit("full_data").alias("seed"), "y_true", "y_score")
     for s in seeds:
-        w = W.partitionBy("user_id", "y_true")
-        rank = F.row_number().over(w.orderBy(hash_key(s, "sample_id"), "sample_id", "y_score"))
-        chosen = preds.withColumn("_k", rank <= F.floor(frac * F.count(F.lit(1)).over(w) + 0.5)).where("_k")
+        chosen = stratified_split(preds, frac, ["user_id", "y_true"], s, "sample_id", within=["user_id"]).where("chosen")
         parts = parts.unionByName(chosen.select("user_id", F.lit(str(s)).alias("seed"), "y_true", "y_score"))
     parts, by = written(parts, "fractions"), ["user_id", "seed"]  # read three times
     exact = roc_auc(parts, by).select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "auc")

@@ -30,7 +30,13 @@ def days(spark, d):
 
 
 RETRY = f""", tr AS (SELECT dr.*, i, CAST(ceil(round(s * nd, 9)) AS BIGINT) AS te FROM dr, (SELECT unnest(range(0, 10)) AS i, unnest({list(S.TEST_SIZES)}::DOUBLE[]) AS s)),
-sp AS (SELECT *, CASE WHEN rk <= te THEN 'test' WHEN rk <= te + ceil(0.25::DOUBLE * (nd - te)) THEN 'val' ELSE 'train' END AS split FROM tr),
+vl AS (SELECT *, nd - te AS rest, CAST(ceil(0.25::DOUBLE * (nd - te)) AS BIGINT) AS vn, rk > te AS inn FROM tr),
+cl AS (SELECT *, count(*) OVER (PARTITION BY user_id, i, inn, n) AS sz, row_number() OVER (PARTITION BY user_id, i, inn, n ORDER BY rk) AS pl FROM vl),
+cs AS (SELECT user_id, i, n, any_value(sz) AS sz, any_value(vn) AS vn, any_value(rest) AS rest, any_value(vn * sz) // any_value(rest) AS fl, any_value(vn * sz) % any_value(rest) AS lf FROM cl WHERE inn GROUP BY user_id, i, n),
+ct AS (SELECT *, row_number() OVER (PARTITION BY user_id, i ORDER BY lf DESC, n) AS turn, vn - sum(fl) OVER (PARTITION BY user_id, i) AS extra,
+  min(sz) OVER (PARTITION BY user_id, i) >= 2 AND vn >= count(*) OVER (PARTITION BY user_id, i) AND rest - vn >= count(*) OVER (PARTITION BY user_id, i) AS can FROM cs),
+sp AS (SELECT cl.*, CASE WHEN NOT inn THEN 'test' WHEN CASE WHEN can THEN pl <= fl + CASE WHEN turn <= extra THEN 1 ELSE 0 END ELSE rk <= te + cl.vn END THEN 'val' ELSE 'train' END AS split
+  FROM cl LEFT JOIN ct ON ct.user_id = cl.user_id AND ct.i = cl.i AND ct.n = cl.n),
 ok AS (SELECT user_id, i FROM sp GROUP BY ALL HAVING sum(CASE WHEN split = 'test' THEN n ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'test' THEN pos ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'test' THEN n - pos ELSE 0 END) >= 2 AND sum(CASE WHEN split = 'val' THEN n ELSE 0 END) >= 2),
 ds AS (SELECT sp.user_id, day, split FROM sp JOIN (SELECT user_id, min(i) AS i FROM ok GROUP BY user_id) o ON o.user_id = sp.user_id AND o.i = sp.i)"""
 
@@ -45,12 +51,39 @@ def i2(spark, d):
     return S.sample_count_day_split(days(spark, d))
 
 
-@query("i3_stratified_split", ROWS + """ SELECT reading_id, row_number() OVER (PARTITION BY user_id, state_val ORDER BY md5('42:' || reading_id), reading_id) <= floor(0.3 * count(*) OVER (PARTITION BY user_id, state_val) + 0.5) AS chosen FROM rows""")
+@query("i1_skipped_users", DAYS + RETRY + """ SELECT user_id, count(*) AS days, CAST(sum(n) AS BIGINT) AS windows, CAST(sum(pos) AS BIGINT) AS positives,
+CASE WHEN sum(n) < 4 THEN 'too few windows' WHEN least(sum(pos), sum(n) - sum(pos)) < 2 THEN 'too few of a class' ELSE 'no size fits' END AS reason
+FROM dy WHERE user_id NOT IN (SELECT user_id FROM ds) GROUP BY user_id UNION ALL SELECT -1, count(DISTINCT user_id), 0, 0, 'split' FROM ds""")
+def i1_skipped(spark, d):
+    """The report, and how many users have a split."""
+    per_day = days(spark, d)
+    split = S.day_split_retry(per_day)
+    zero = F.lit(0).cast("long")
+    done = split.select(F.countDistinct("user_id").alias("days")).select(F.lit(-1).cast("long").alias("user_id"), "days", zero.alias("windows"), zero.alias("positives"), F.lit("split").alias("reason"))
+    return S.skipped_users(per_day, split).unionByName(done)
+
+
+def quota_sql(frac: str, by: str, source: str = "rows", within: str = "") -> str:
+    """qt: by, n, quota by largest remainders; rh: the source's rows with r, their place in hash order of reading_id."""
+    over = f"(PARTITION BY {within})" if within else "()"
+    return f""", sz AS (SELECT {by}, count(*) AS n, round({frac}::DOUBLE * count(*), 9) AS share FROM {source} GROUP BY {by}),
+qt AS (SELECT {by}, n, CAST(floor(share) AS BIGINT) + CASE WHEN row_number() OVER ({'PARTITION BY ' + within if within else ''} ORDER BY round(share - floor(share), 9) DESC, {by}) <= floor(round({frac}::DOUBLE * sum(n) OVER {over}, 9) + 0.5) - sum(floor(share)) OVER {over} THEN 1 ELSE 0 END AS quota FROM sz),
+rh AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5('42:' || reading_id), reading_id) AS r FROM {source})"""
+
+
+@query("i3_stratified_split", ROWS + quota_sql("0.3", "user_id, state_val") + " SELECT reading_id, r <= quota AS chosen FROM rh JOIN qt USING (user_id, state_val)")
 def i3(spark, d):
     return S.stratified_split(rows(spark, d), 0.3, ["user_id", "state_val"], 42, "reading_id").select("reading_id", "chosen")
 
 
-@query("i4_safe_sample", ROWS + """ SELECT reading_id FROM (SELECT reading_id, row_number() OVER (PARTITION BY state_val ORDER BY md5('42:' || reading_id), reading_id) AS rk, count(*) OVER (PARTITION BY state_val) AS n FROM rows) WHERE rk <= floor(0.1 * n + 0.5)""")
+@query("i3_split_per_user", ROWS + quota_sql("0.35", "user_id, state_val", within="user_id") + " SELECT user_id, state_val, count(*) AS n, count(*) FILTER (WHERE r <= quota) AS chosen FROM rh JOIN qt USING (user_id, state_val) GROUP BY ALL")
+def i3_per_user(spark, d):
+    """Each user's total is exact."""
+    s = S.stratified_split(rows(spark, d), 0.35, ["user_id", "state_val"], 42, "reading_id", within=["user_id"])
+    return s.groupBy("user_id", "state_val").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("chosen").cast("long")).alias("chosen"))
+
+
+@query("i4_safe_sample", ROWS + quota_sql("0.1", "state_val") + " SELECT reading_id FROM rh JOIN qt USING (state_val) WHERE r <= quota")
 def i4(spark, d):
     return S.safe_sample(rows(spark, d), 0.1, "state_val", 42, "reading_id").select("reading_id")
 

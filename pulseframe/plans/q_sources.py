@@ -136,8 +136,10 @@ def k5_long(spark, d):
     return rollup(spark, d, "long").select("uid", "pipeline", r6("value").alias("value"))
 
 
-@query("k6_fraction_vs_full", """, rr AS (SELECT user_id, y_true, y_score, seed, row_number() OVER (PARTITION BY user_id, y_true, seed ORDER BY md5(seed || ':' || sample_id), sample_id, y_score) AS r, count(*) OVER (PARTITION BY user_id, y_true, seed) AS n FROM preds, (SELECT unnest([42, 43]) AS seed)),
-ch AS (SELECT user_id, CAST(seed AS VARCHAR) AS seed, y_true, y_score FROM rr WHERE r <= floor(0.1 * n + 0.5) UNION ALL SELECT user_id, 'full_data', y_true, y_score FROM preds)""" + rank_sql("user_id, seed", "ch") + boot("user_id, seed", "user_id || ':' || seed", "ch")
+@query("k6_fraction_vs_full", """, sz AS (SELECT user_id, y_true, count(*) AS n, round(0.1::DOUBLE * count(*), 9) AS share FROM preds GROUP BY user_id, y_true),
+qt AS (SELECT user_id, y_true, floor(share) + CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY round(share - floor(share), 9) DESC, y_true) <= floor(round(0.1::DOUBLE * sum(n) OVER (PARTITION BY user_id), 9) + 0.5) - sum(floor(share)) OVER (PARTITION BY user_id) THEN 1 ELSE 0 END AS quota FROM sz),
+rr AS (SELECT user_id, y_true, y_score, seed, quota, row_number() OVER (PARTITION BY user_id, y_true, seed ORDER BY md5(seed || ':' || sample_id), sample_id) AS r FROM preds JOIN qt USING (user_id, y_true), (SELECT unnest([42, 43]) AS seed)),
+ch AS (SELECT user_id, CAST(seed AS VARCHAR) AS seed, y_true, y_score FROM rr WHERE r <= quota UNION ALL SELECT user_id, 'full_data', y_true, y_score FROM preds)""" + rank_sql("user_id, seed", "ch") + boot("user_id, seed", "user_id || ':' || seed", "ch")
     + """, ll AS (SELECT user_id, seed, avg(-(y_true * ln(p) + (1 - y_true) * ln(1 - p))) AS log_loss FROM (SELECT *, least(greatest(y_score, 1e-15), 1 - 1e-15) AS p FROM ch) GROUP BY user_id, seed)
 SELECT rk.user_id, rk.seed, rk.n, round(log_loss, 6) AS log_loss, """ + R_SCORES + " FROM rk JOIN bs ON bs.user_id = rk.user_id AND bs.seed = rk.seed JOIN ll ON ll.user_id = rk.user_id AND ll.seed = rk.seed")
 def k6(spark, d):
