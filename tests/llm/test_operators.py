@@ -175,7 +175,7 @@ def test_multikey_quicksort():
 # packing
 
 
-ODD_BITS = ["word", "Ünï", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "12", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "中文", "🙂", "\u3000", "\xa0", "\x85", "\x1c", "é", "e\u0301", "T\u0308", "İ", "Σ", ".", "a'tb", "\x00", "ab" * 300]
+ODD_BITS = ["word", "Ünï", " ", "  ", "\n", "\t", "\r\n", "'s", "'ll", "12", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "中文", "🙂", "\u3000", "\xa0", "\x85", "\x1c", "é", "e\u0301", "T\u0308", "İ", "Σ", ".", "a'tb", "\x00", "ab" * 300, "x$$", "é#", "×.", "÷!", "a)b", "don't.", "”", "_", "endoftext"]
 
 
 @pytest.mark.parametrize("name, encoder", [("byte_bpe_50k.json", token_ids.byte_encoder), ("word_bpe_49k.json", token_ids.word_encoder)])
