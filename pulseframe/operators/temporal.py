@@ -73,23 +73,64 @@ def interval_join_agg(rows: DataFrame, other: DataFrame, key: str, value: str, h
     return rows.join(stats, key, "left")
 
 
-def negative_candidates(signals: DataFrame, events: DataFrame, half: int = HOUR) -> DataFrame:
-    """user_id, minute: grid minutes of hr with no event within the closed +-half. An anti-join on (user, minute)."""
-    grid = minute_grid(signals.where(F.col("data_type") == "hr")).select("user_id", round_minute(F.col("t")).alias("minute")).distinct()
-    near = events.select("user_id", F.explode(F.sequence(F.ceil((F.col("t") - half) / MINUTE).cast("long"), F.floor((F.col("t") + half) / MINUTE).cast("long"))).alias("minute"))
-    return grid.join(near, ["user_id", "minute"], "left_anti")
+#: Minutes of a day; digits of the hash by which minutes are counted.
+DAY_MINUTES, PREFIX = 1440, 3
+
+
+def negative_gaps(signals: DataFrame, events: DataFrame, half: int = HOUR) -> DataFrame:
+    """user_id, day, first, last, step: runs of hr's grid minutes with no event within the closed +-half.
+
+    A sweep over each user's day: the intervals around its events, in order, and what they leave free between the
+    furthest end so far and the next start. Intervals that cross midnight count on both days; equal ones once, so a day
+    has no more than its minutes. step is 2 where the grid lies on half minutes, which round to even ones.
+    """
+    hr = signals.where(F.col("data_type") == "hr").groupBy("user_id").agg(F.min("t").alias("mn"), F.max("t").alias("mx"))
+    ends = hr.select("user_id", round_minute(F.col("mn")).alias("_a"), round_minute(F.col("mx") - F.pmod(F.col("mx") - F.col("mn"), F.lit(MINUTE))).alias("_b"), F.when(F.pmod("mn", F.lit(MINUTE)) == MINUTE // 2, 2).otherwise(1).alias("step"))
+    over = lambda df, a, b: df.withColumn("day", F.explode(F.sequence(F.floor(F.col(a) / DAY_MINUTES), F.floor(F.col(b) / DAY_MINUTES))))
+    from_, to = (lambda a: F.greatest(F.col(a), F.col("day") * DAY_MINUTES)), (lambda b: F.least(F.col(b), (F.col("day") + 1) * DAY_MINUTES - 1))
+    days = over(ends, "_a", "_b").select("user_id", "day", from_("_a").alias("lo"), to("_b").alias("hi"), "step")
+    near = events.select("user_id", F.ceil((F.col("t") - half) / MINUTE).cast("long").alias("_a"), F.floor((F.col("t") + half) / MINUTE).cast("long").alias("_b")).where("_a <= _b")
+    near = over(near, "_a", "_b").select("user_id", "day", from_("_a").alias("a"), to("_b").alias("b")).distinct()
+    marks = days.join(near, ["user_id", "day"]).unionByName(days.withColumn("a", F.col("hi") + 1).withColumn("b", F.col("hi") + 1))  # and the day's end
+    before = W.partitionBy("user_id", "day").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1)
+    first, last = F.greatest("lo", F.coalesce(F.max("b").over(before), F.col("lo") - 1) + 1), F.least(F.col("a") - 1, "hi")
+    free = marks.select("user_id", "day", first.alias("first"), last.alias("last"), "step")
+    return free.withColumn("first", F.col("first") + F.pmod("first", "step")).withColumn("last", F.col("last") - F.pmod("last", "step")).where("first <= last")
 
 
-def sample_per_user(df: DataFrame, wanted: DataFrame, seed: int, *keys: str) -> DataFrame:
-    """At most n rows of each user in hash order; wanted: user_id, n."""
-    rank = F.row_number().over(W.partitionBy("user_id").orderBy(hash_key(seed, *keys), *keys))
-    return df.withColumn("_rank", rank).join(wanted.select("user_id", F.col("n").alias("_n")), "user_id").where("_rank <= _n").drop("_rank", "_n")
+def minutes_of(gaps: DataFrame) -> DataFrame:
+    """user_id, minute: the minutes of the runs, made where the runs are."""
+    return gaps.select("user_id", F.explode(F.sequence("first", "last", F.col("step").cast("long"))).alias("minute"))
 
 
-def top_up_negatives(pos: DataFrame, neg: DataFrame, candidates: DataFrame, seed: int = 42) -> DataFrame:
-    """Candidates that bring each user's negatives up to its positives; none where they are enough."""
+def negative_candidates(signals: DataFrame, events: DataFrame, half: int = HOUR) -> DataFrame:
+    """user_id, minute: grid minutes of hr with no event within the closed +-half."""
+    return minutes_of(negative_gaps(signals, events, half))
+
+
+def sample_minutes(gaps: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """user_id, minute: at most n minutes of each user's runs in hash order; wanted: user_id, n.
+
+    Minutes are counted by user and the first digits of their hashes where they are made; the counts say which digits
+    are taken whole and which in part. Then only taken minutes, and the others of one digit group, leave their tasks.
+    """
+    prefix = F.substring(hash_key(seed, "user_id", "minute"), 1, PREFIX)
+    runs = gaps.join(wanted.where("n > 0").select("user_id", F.col("n").alias("_n")), "user_id")
+    counts = minutes_of(runs).groupBy("user_id", prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(W.partitionBy("user_id").orderBy("_p").rowsBetween(W.unboundedPreceding, -1))  # 16 ** PREFIX rows a user
+    cuts = counts.withColumn("_before", F.coalesce(upto, F.lit(0))).join(wanted.select("user_id", F.col("n").alias("_n")), "user_id").where("_before < _n")
+    cuts = cuts.groupBy("user_id").agg(F.max(F.struct("_p", "_before", "_n")).alias("_cut"))
+    each = runs.join(cuts, "user_id").select("user_id", "_cut", F.explode(F.sequence("first", "last", F.col("step").cast("long"))).alias("minute")).withColumn("_p", prefix).where(F.col("_p") <= F.col("_cut._p"))
+    whole = each.where(F.col("_p") < F.col("_cut._p")).select("user_id", "minute")
+    rank = F.row_number().over(W.partitionBy("user_id").orderBy(hash_key(seed, "user_id", "minute"), "minute"))
+    edge = each.where(F.col("_p") == F.col("_cut._p")).withColumn("_r", rank).where(F.col("_r") <= F.col("_cut._n") - F.col("_cut._before"))
+    return whole.unionByName(edge.select("user_id", "minute"))
+
+
+def top_up_negatives(pos: DataFrame, neg: DataFrame, gaps: DataFrame, seed: int = 42) -> DataFrame:
+    """Minutes of the runs that bring each user's negatives up to its positives; none where they are enough."""
     counts = pos.select("user_id", F.lit(1).alias("p"), F.lit(0).alias("q")).union(neg.select("user_id", F.lit(0), F.lit(1))).groupBy("user_id").agg((F.sum("p") - F.sum("q")).alias("n"))
-    return sample_per_user(candidates, counts.where("n > 0"), seed, "user_id", "minute")
+    return sample_minutes(gaps, counts, seed)
 
 
 def rows_on_days(df: DataFrame, day_split: DataFrame, split: str) -> DataFrame:

@@ -38,7 +38,7 @@ def build_windows(readings: DataFrame, signals: DataFrame, seed: int = 42) -> Da
     readings, signals = readings.join(users, "user_id", "left_semi"), signals.join(users, "user_id", "left_semi")
     marked = C.spike_label(readings)
     pos, neg = marked.where("BP_spike = 1"), marked.where("BP_spike = 0")
-    more = T.top_up_negatives(pos, neg, T.negative_candidates(signals, pos), seed)
+    more = T.top_up_negatives(pos, neg, T.negative_gaps(signals, pos), seed)
     labels = marked.select("user_id", "t", F.col("BP_spike").alias("state_val"), F.concat(F.lit("r"), F.col("reading_id").cast("string")).alias("label_id"))
     labels = labels.unionByName(more.select("user_id", (F.col("minute") * T.MINUTE).alias("t"), F.lit(0).cast("long").alias("state_val"), F.concat_ws(":", F.lit("n"), F.col("user_id"), F.col("minute")).alias("label_id")))
     made = written(N.label_windows(labels, signals, key="label_id").withColumn("day", C.day("t")), "windows")  # counted, then split

@@ -96,14 +96,21 @@ cd AS (SELECT * FROM gm ANTI JOIN nr USING (user_id, minute)), """
 
 def candidates(spark, d):
     r = C.spike_label(X.readings(spark, d))
-    return r, T.negative_candidates(X.signals(spark, d), r.where("BP_spike = 1"))
+    return r, T.negative_gaps(X.signals(spark, d), r.where("BP_spike = 1"))
 
 
 @query("c6_negative_candidates", CANDIDATES + """k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || minute), user_id, minute) AS rk FROM cd)
 SELECT k.user_id, minute FROM k JOIN (SELECT user_id, count(*) AS n FROM sp GROUP BY user_id) USING (user_id) WHERE rk <= n""")
 def c6(spark, d):
     r, found = candidates(spark, d)
-    return T.sample_per_user(found, r.where("BP_spike = 1").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), 42, "user_id", "minute")
+    return T.sample_minutes(found, r.where("BP_spike = 1").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), 42)
+
+
+@query("c6_all_negatives", CANDIDATES + """k AS (SELECT user_id, minute // 1440 AS day, count(*) AS n, min(minute) AS first, max(minute) AS last, CAST(sum(minute) AS BIGINT) AS total FROM cd GROUP BY ALL) SELECT * FROM k""")
+def c6_all(spark, d):
+    """How many quiet minutes each day has, and which."""
+    found = T.minutes_of(candidates(spark, d)[1]).groupBy("user_id", F.floor(F.col("minute") / 1440).alias("day"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min("minute").alias("first"), F.max("minute").alias("last"), F.sum("minute").alias("total"))
 
 
 @query("c7_top_up_negatives", CANDIDATES + """k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || minute), user_id, minute) AS rk FROM cd),
