@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..hashing import hash_key, with_position
-from ..sources.paths import checkpoints
+from ..sources.paths import scratch
 
 
 def margin_score(scores: DataFrame) -> DataFrame:
@@ -75,21 +75,48 @@ def kmeans_picks(key: str, vector: str, k: int):
     return lambda left, labeled, r: left.join(kmeans_query(labeled, left, k, key, vector).select(key), key, "left_semi")
 
 
-def active_learning_rounds(pool: DataFrame, labeled: DataFrame, pick: Callable[[DataFrame, DataFrame, int], DataFrame], k: int, rounds: int, key: str) -> DataFrame:
+def active_learning_rounds(
+    pool: DataFrame, labeled: DataFrame, pick: Callable[[DataFrame, DataFrame, int], DataFrame], k: int, rounds: int, key: str, state: str | None = None, scorer: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """key, round of the rows picked. pick(unlabeled, labeled, round) returns at most k rows of unlabeled.
 
-    Each round's picks are written below the checkpoint folder's reach (checkpoint), so plans do not grow.
+    scorer(df) gets the pool with queried_round (0: labelled at first, null: unlabelled) before each round and gives it
+    back with scores for pick, whose labelled rows are dropped again. Each round's picks are appended to the round table
+    below `state` (a folder of the shared file system; a new one if None). A run that was killed goes on from the last
+    round that was written whole, and rounds that are there are not picked again; an exhausted pool ends the rounds.
     """
-    checkpoints(pool.sparkSession)
-    taken: DataFrame | None = None
-    for r in range(1, rounds + 1):
-        ids = labeled.select(key) if taken is None else labeled.select(key).union(taken.select(key))
-        left = pool.join(ids, key, "left_anti")
-        new = pick(left, pool.join(ids, key, "left_semi"), r).limit(k).select(key, F.lit(r).cast("long").alias("round")).checkpoint()
-        if new.isEmpty():
+    spark = pool.sparkSession
+    state = state or scratch(spark, "rounds")
+    kind = dict(pool.dtypes)[key]
+    start = labeled.select(key, F.lit(0).cast("long").alias("round")).distinct()
+    done = rounds_done(spark, state)
+    table = lambda: spark.read.schema(f"`{key}` {kind}, round long").parquet(*[f"{state}/{r:06d}" for r in range(1, done + 1)]) if done else spark.createDataFrame([], f"`{key}` {kind}, round long")
+    for r in range(done + 1, rounds + 1):
+        known = start.unionByName(table()).withColumnRenamed("round", "queried_round")
+        rows = pool.join(known, key, "left")
+        scored = scorer(rows) if scorer else rows
+        left, have = scored.where("queried_round is null").drop("queried_round"), rows.where("queried_round is not null").drop("queried_round")
+        new = pick(left, have, r).limit(k).select(key, F.lit(r).cast("long").alias("round"))
+        new.write.mode("overwrite").parquet(f"{state}/{r:06d}")  # what a killed run left of this round goes
+        if spark.read.schema(new.schema).parquet(f"{state}/{r:06d}").isEmpty():
             break
-        taken = new if taken is None else taken.union(new)
-    return taken if taken is not None else pool.select(key, F.lit(0).cast("long").alias("round")).limit(0)
+        done = r
+    return table().where(F.col("round") <= rounds)
+
+
+def rounds_done(spark: SparkSession, state: str) -> int:
+    """How many rounds, from the first on, are written whole below state."""
+    jvm, done = spark._jvm, 0
+    while True:
+        mark = jvm.org.apache.hadoop.fs.Path(f"{state}/{done + 1:06d}/_SUCCESS")
+        if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+            return done
+        done += 1
+
+
+def score_picks(score: str, k: int, key: str):
+    """For active_learning_rounds: the k largest scores as a scorer gives them anew."""
+    return lambda left, labeled, r: topk(left, score, key, k)
 
 
 def user_counts(picked: DataFrame, pool: DataFrame, key: str) -> DataFrame:

@@ -46,6 +46,13 @@ def build_windows(readings: DataFrame, signals: DataFrame, seed: int = 42) -> Da
     return made.join(day_split_retry(per_day, seed), ["user_id", "day"])
 
 
+def write_windows(readings: DataFrame, signals: DataFrame, out: str, seed: int = 42) -> DataFrame:
+    """build_windows, written by split below out; refuses days in two splits. Gives the fingerprints by user and split."""
+    from ..sources.writers import write_splits
+
+    return write_splits(build_windows(readings, signals, seed), out, F.concat_ws("|", "user_id", "label_id", "state_val"))
+
+
 def learning_curve(preds: DataFrame, iterations: int = 1000) -> DataFrame:
     """round, split, n, auc, ap, and the resampled auc_mean and auc_std, pooled over users; rows of all rounds (round null) are the ceiling."""
     from ..operators.metrics import average_precision, bootstrap_auc, roc_auc

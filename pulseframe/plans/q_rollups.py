@@ -9,6 +9,8 @@ from ..hashing import with_position
 from ..operators import clean as C
 from ..operators import rollups as R
 from ..registry import query, r6
+from ..sources import writers
+from ..sources.paths import scratch
 from .q_temporal import WINDOWS, windows
 
 DAY = C.DAY
@@ -219,6 +221,18 @@ def g6(spark, d):
     return R.upsert_user_results(X.readings(spark, d).select("user_id", "reading_id"), X.stress(spark, d).where("user_id < 5").select("user_id", "stress"))
 
 
+@query("g6_replace_users", """, a AS (SELECT user_id, count(*) AS n, CAST(sum(reading_id) AS BIGINT) AS total FROM readings GROUP BY user_id), b AS (SELECT user_id, count(*) AS n, CAST(sum(stress) AS BIGINT) AS total FROM stress WHERE user_id < 5 GROUP BY user_id)
+SELECT user_id, n, total FROM b UNION ALL SELECT user_id, n, total FROM a WHERE user_id NOT IN (SELECT user_id FROM b)""")
+def g6_replace(spark, d):
+    """A stored aggregate by user; a second run of some users takes their place, and its rerun changes nothing."""
+    out = scratch(spark, "users")
+    old = X.readings(spark, d).select("user_id", F.col("reading_id").alias("value"))
+    new = X.stress(spark, d).where("user_id < 5").select("user_id", F.lit("second").alias("run"), F.col("stress").alias("value"))
+    for rows in (old, new, new):
+        writers.replace_users(rows, out)
+    return writers.read_users(spark, out).groupBy(F.col("user_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query("f7_numeric_order", " SELECT uid, row_number() OVER (ORDER BY try_cast(regexp_replace(uid, '\\D', '', 'g') AS BIGINT) NULLS LAST, uid) AS pos FROM (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN 'none' ELSE 'hp' || c_custkey END AS uid FROM customer)")
 def f7(spark, d):
     u = X.read(spark, d, "customer").select(F.when(F.col("c_custkey") % 7 == 0, "none").otherwise(F.concat(F.lit("hp"), F.col("c_custkey").cast("string"))).alias("uid")).distinct()

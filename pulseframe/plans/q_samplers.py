@@ -226,3 +226,17 @@ def k1(spark, d):
     from .jobs import build_windows
 
     return build_windows(X.readings(spark, d), X.signals(spark, d)).select("user_id", "label_id", "state_val", "split")
+
+
+@query("k1_written_splits", BUILD + """, wr AS (SELECT wl.user_id, label_id, state_val, split FROM wl JOIN ds ON ds.user_id = wl.user_id AND ds.day = wl.day),
+fp AS (SELECT user_id, split, count(*) AS rows, sha256(string_agg(line, chr(10) ORDER BY line)) AS sha256 FROM (SELECT user_id, split, user_id || '|' || label_id || '|' || state_val AS line FROM wr) GROUP BY user_id, split)
+SELECT user_id, split, fp.rows, sha256, pos FROM fp JOIN (SELECT user_id, split, CAST(sum(state_val) AS BIGINT) AS pos FROM wr GROUP BY user_id, split) USING (user_id, split)""")
+def k1_written(spark, d):
+    """The window job's files, read back, beside the fingerprints that were written with them."""
+    from ..sources.paths import scratch
+    from .jobs import write_windows
+
+    out = scratch(spark, "windows-by-split")
+    prints = write_windows(X.readings(spark, d), X.signals(spark, d), out)
+    back = spark.read.parquet(f"{out}/windows").groupBy("user_id", "split").agg(F.sum("state_val").alias("pos"))
+    return prints.join(back, ["user_id", "split"]).select("user_id", "split", "rows", "sha256", "pos")

@@ -93,6 +93,32 @@ def k3k(spark, d):
     return A.user_counts(A.active_learning_rounds(pool, labeled, A.kmeans_picks("vec_id", "z", 3), 3, 2, "vec_id"), pool, "vec_id")
 
 
+def rescored_sql(rounds: int, k: int) -> str:
+    """Each round takes the k unlabelled rows nearest to the labelled rows' mean of the first component."""
+    out = ", q0 AS (SELECT vec_id, 0 AS round FROM pool WHERE labeled)"
+    for r in range(1, rounds + 1):
+        out += f""", a{r} AS (SELECT avg(z[1]) AS m FROM pool JOIN q{r - 1} USING (vec_id)),
+n{r} AS (SELECT vec_id FROM pool, a{r} WHERE vec_id NOT IN (SELECT vec_id FROM q{r - 1}) ORDER BY round(-abs(z[1] - m), 9) DESC, vec_id LIMIT {k}), q{r} AS (SELECT * FROM q{r - 1} UNION ALL SELECT vec_id, {r} FROM n{r})"""
+    return out + f" SELECT vec_id, CAST(round AS BIGINT) AS round FROM q{rounds} WHERE round > 0"
+
+
+def mean_scorer(rows):
+    """The pool with a score that depends on what is labelled so far."""
+    mean = rows.where("queried_round is not null").agg(F.avg(F.col("z")[0]).alias("_m"))
+    return rows.crossJoin(F.broadcast(mean)).withColumn("score", -F.abs(F.col("z")[0] - F.col("_m"))).drop("_m")  # one row
+
+
+@query("k3_rescored_rounds", rescored_sql(3, 5))
+def k3r(spark, d):
+    """Three rounds; the run stops after the first and goes on from the round table."""
+    from ..sources.paths import scratch
+
+    labeled, _ = both(spark, d)
+    state, pick = scratch(spark, "rounds"), A.score_picks("score", 5, "vec_id")
+    A.active_learning_rounds(X.pool(spark, d), labeled, pick, 5, 1, "vec_id", state, mean_scorer)
+    return A.active_learning_rounds(X.pool(spark, d), labeled, pick, 5, 3, "vec_id", state, mean_scorer).select("vec_id", "round")
+
+
 CENTERS = """, mc AS (SELECT cluster, i, avg(z[i]) AS m FROM pool, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), ce AS (SELECT cluster, list(m ORDER BY i) AS c FROM mc GROUP BY cluster)"""
 
 
