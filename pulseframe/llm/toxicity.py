@@ -399,10 +399,14 @@ def train(labelled: DataFrame) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, text, label: at most `sample` rows with crc32(doc_id) % 5 != 0, in hash order."""
+    """doc_id, text, label: at most `sample` rows with crc32(doc_id) % 5 != 0, in hash order.
+
+    A row an id, however often documents or labels repeat it: the largest label, and the first of its texts in order.
+    """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id is not null and label is not null and not " + HELD_OUT)
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
+    chosen = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # `sample` rows at most
+    return met.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 HELD_OUT = "(coalesce(crc32(cast(doc_id as string)) % 5, 1) = 0)"
