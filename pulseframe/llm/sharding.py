@@ -2,7 +2,8 @@
 
 A row's id is hashed to a cell of the ring; a cell belongs to the next virtual node clockwise. A shard takes cells
 until its bytes reach (1 + slack) times the mean; the cells beyond continue clockwise to the next shard with room.
-A cell is what one key in 65,536 falls into; its keys go together.
+A cell is what one key in 65,536 falls into; its keys go together, so it is cells that overflow and continue, not
+single keys: a departure that keeps what the driver places of a fixed size.
 The placing works on the ring's cells, whose number is fixed, so what the driver holds does not grow with the rows.
 
 Defined cases: null text has no bytes (size 1); a null id hashes by its text; repeated rows get slots of their own; an
@@ -30,6 +31,15 @@ def ring(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
     return sorted((point(s, v), s) for s in range(shards) for v in range(virtual_nodes))
 
 
+def clockwise(nodes: list[tuple[int, int]]) -> list[list[int]]:
+    """For each node the distinct shards that come from it on, clockwise."""
+    out, order = [[]] * len(nodes), []
+    for at in [*range(len(nodes)), *range(len(nodes))][::-1]:  # twice round: the end goes on at the start
+        order = [nodes[at][1], *(s for s in order if s != nodes[at][1])]
+        out[at] = order
+    return out
+
+
 def place(loads: dict[int, int], shards: int, virtual_nodes: int, slack: float) -> dict[int, int]:
     """cell -> shard. A cell goes to the first shard clockwise that it does not fill beyond (1 + slack) times the mean.
 
@@ -37,14 +47,13 @@ def place(loads: dict[int, int], shards: int, virtual_nodes: int, slack: float)
     has room for goes to the first shard clockwise that is not above the mean yet; there always is one.
     """
     nodes = ring(shards, virtual_nodes)
-    cells, mean = [c for c, _ in nodes], sum(loads.values()) / shards
+    cells, after, mean = [c for c, _ in nodes], clockwise(nodes), sum(loads.values()) / shards
     held, out = [0] * shards, {}
     for cell in sorted(loads, key=lambda c: (-loads[c] if loads[c] > slack * mean else 0, c)):
-        at = bisect.bisect_left(cells, cell)
-        clockwise = [nodes[(at + step) % len(nodes)][1] for step in range(len(nodes))]
-        shard = next((s for s in clockwise if held[s] + loads[cell] <= (1 + slack) * mean), None)
+        onward = after[bisect.bisect_left(cells, cell) % len(nodes)]
+        shard = next((s for s in onward if held[s] + loads[cell] <= (1 + slack) * mean), None)
         if shard is None:
-            shard = next(s for s in clockwise if held[s] <= mean)
+            shard = next(s for s in onward if held[s] <= mean)
         held[shard] += loads[cell]
         out[cell] = shard
     return out
