@@ -6,7 +6,8 @@ writes one file below the shared folder under a name of its own and reports it;
 task that is run again leaves nothing that counts.
 
 Defined cases: null html is an empty payload; a null url gives an empty target; a repeated row (same id, same
-payload) is written as often as it occurs, a response each time if its id is the smallest; an empty table gives no
+payload) is written as often as it occurs, a response each time if its id is the smallest; a row without an id is a
+response whatever its payload, as nothing says which of two such rows comes first; an empty table gives no
 records; further columns are not written.
 """
 
