@@ -276,33 +276,47 @@ def contexts(texts: DataFrame, length: int) -> DataFrame:
 
 
 def narrowed(found: DataFrame, length: int) -> DataFrame:
-    """found (CONTEXTS) with the contexts of a frequent lead cut by the offset of their strings, NARROW offsets each.
+    """found (CONTEXTS) with the contexts of frequent leads cut by the offset of their strings, until none is frequent.
 
-    Strings at offsets low..low + NARROW - 1 before an anchor all hold the bytes from the first one's end back to the
+    Cut to NARROW offsets each, the contexts of a lead that is still frequent to half as many, and so on down to one:
+    there a context is one string, and those of one lead are equal and merged, but for one from each task.
+    """
+    width = NARROW
+    while True:
+        often = staged(found.where("context is not null").groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN).select("lead"), "frequent-leads")
+        if often.isEmpty():
+            return found
+        found = staged(cut_by_offset(found, often, length, width), "narrow-contexts")
+        if width == 1:
+            return found
+        width //= 2
+
+
+def cut_by_offset(found: DataFrame, often: DataFrame, length: int, width: int) -> DataFrame:
+    """found with the contexts of the leads `often` cut to `width` offsets each.
+
+    Strings at offsets low..low + width - 1 before an anchor all hold the bytes from the first one's end back to the
     last one's start; those bytes and the offset join the lead, so that only contexts meet whose strings agree on nearly
     all bytes. Equal ones are merged where they are cut.
     """
-    often = staged(found.where("context is not null").groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN).select("lead"), "frequent-leads")
-    if often.isEmpty():
-        return found
 
     def lead(c: bytes, f: int) -> bytes:
-        low = f - f % NARROW
-        return c[f : f + LEAD] + low.to_bytes(2, "big") + c[f - low : f - low - NARROW + 1 + length]
+        low = f - f % width
+        return c[f : f + LEAD] + low.to_bytes(2, "big") + c[f - low : f - low - width + 1 + length]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for context, doc, at, first, last in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                    for low in range(last - last % NARROW, first + 1, NARROW):
-                        f, e = min(first, low + NARROW - 1), max(last, low)
+                    for low in range(last - last % width, first + 1, width):
+                        f, e = min(first, low + width - 1), max(last, low)
                         yield doc, at, f, e, context[first - f : first - e + length]
 
         yield from merged_rows(rows(), length, lead)
 
     names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
     frequent = F.col("context").isNotNull()
-    cut = staged(map_batches(found.where(frequent).join(often, "lead", "left_semi").select(*names[1:]), run, CONTEXTS), "narrow-contexts")
+    cut = map_batches(found.where(frequent).join(often, "lead", "left_semi").select(*names[1:]), run, CONTEXTS)
     return found.where(frequent).join(often, "lead", "left_anti").select(*names).unionByName(cut).unionByName(found.where(~frequent))
 
 

@@ -158,6 +158,24 @@ def test_repeats_of_a_frequent_lead(spark, monkeypatch):
     assert {x[0]: tuple(x)[1:] for x in found} == brute_repeats(rows, 100)
 
 
+@pytest.mark.parametrize("n", [100, 400])
+def test_no_lead_grows_with_a_template(spark, monkeypatch, n):
+    """Texts of one template, a number and own words: after narrowing no lead has more contexts than tasks made them."""
+    monkeypatch.setattr(repeats, "OFTEN", 20)
+    template = words(60, 3, 90)[:300]
+    rows = [(i, f"{template} number {i} {words(25, i + 1000)}", "s") for i in range(n)]
+    sizes, plain = [], repeats.sorted_buckets
+
+    def seen(found, length, buckets):
+        sizes.append(found.where("context is not null").groupBy("lead").count().agg({"count": "max"}).first()[0])
+        return plain(found, length, buckets)
+
+    monkeypatch.setattr(repeats, "sorted_buckets", seen)
+    found = repeats.remove_repeats(docs_of(spark, rows).repartition(4)).collect()
+    assert {x[0]: tuple(x)[1:] for x in found} == brute_repeats([r[:2] for r in rows], 100)
+    assert sizes and max(sizes) <= 20
+
+
 def test_multikey_quicksort():
     r = np.random.default_rng(1)
     data = r.integers(97, 99, 3000).astype(np.uint8)
@@ -352,6 +370,12 @@ def test_warc_round_trip(spark):
     assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in found), key=repr) == sorted(want, key=repr)
 
 
+def test_warc_rows_without_an_id(spark):
+    pages = spark.createDataFrame([(1, "u", "same"), (None, "v", "same"), (None, "w", "same"), (2, "x", "same")], "page_id long, url string, html string")
+    found = warc.mark_revisits(pages)
+    assert got(found, "page_id", "refers_to") == sorted([(1, None), (2, 1), (None, None), (None, None)], key=repr)
+
+
 def test_warc_dictionary_frame(spark, tmp_path):
     import struct
 
@@ -552,6 +576,15 @@ def test_toxicity_edges(spark):
     assert toxicity.drop_toxic(d, none).columns == d.columns and toxicity.drop_toxic(d, none).count() == len(edge_rows())
 
 
+def test_toxicity_rows_are_bounded_whatever_repeats(spark):
+    docs = docs_of(spark, [(i, f"text {i}", "s") for i in range(60)] + [(7, "again", "s")] * 500)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(7, 1)] * 40, "doc_id long, toxic int")
+    found = toxicity.training_rows(docs, labels, sample=10).collect()
+    assert len(found) == 10 == len({r["doc_id"] for r in found})
+    every = {r["doc_id"]: (r["text"], r["label"]) for r in toxicity.training_rows(docs, labels).collect()}
+    assert all(zlib.crc32(str(i).encode()) % 5 for i in every) and (7 not in every or every[7] == ("again", 1))
+
+
 # sharding
 
 
@@ -564,6 +597,24 @@ def test_ring(spark):
     assert got(sharding.shard(docs_of(spark, rows).repartition(3)), "doc_id", "shard", "slot") == got(sharding.shard(docs_of(spark, rows)), "doc_id", "shard", "slot")
 
 
+def test_ring_equals_a_walk_from_node_to_node():
+    """Each cell goes on clockwise, virtual node by virtual node, to the first shard with room."""
+    r = random.Random(2)
+    for shards, nodes_each, slack in ((3, 4, 0.05), (8, 16, 0.002), (5, 1, 0.3)):
+        loads = {c: r.randrange(1, 3000) for c in r.sample(range(sharding.CELLS), 700)}
+        loads[next(iter(loads))] = 100_000
+        nodes, mean = sharding.ring(shards, nodes_each), sum(loads.values()) / shards
+        held, want = [0] * shards, {}
+        for c in sorted(loads, key=lambda c: (-loads[c] if loads[c] > slack * mean else 0, c)):
+            at = next((i for i, (p, _) in enumerate(nodes) if p >= c), 0)
+            steps = [nodes[(at + i) % len(nodes)][1] for i in range(len(nodes))]
+            s = next((s for s in steps if held[s] + loads[c] <= (1 + slack) * mean), None)
+            s = next(s for s in steps if held[s] <= mean) if s is None else s
+            held[s] += loads[c]
+            want[c] = s
+        assert sharding.place(loads, shards, nodes_each, slack) == want
+
+
 def test_ring_moves_little_at_the_slack_of_the_query():
     r = random.Random(1)
     loads = {c: r.randrange(100, 3000) for c in range(sharding.CELLS)}
