@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..hashing import hash_key, hash_normal, in_hash_order, with_position
+from ..hashing import hash_normal, in_hash_order, with_position
 
 
 def undersample_negatives(df: DataFrame, seed: int, key: str, label: str = "state_val") -> DataFrame:
@@ -51,8 +51,7 @@ def add_copies(df: DataFrame, source: DataFrame, quota: DataFrame, seed: int, ke
 
     Sequences of copies get noise of sigma times their sample deviation.
     """
-    w = W.partitionBy("user_id")
-    ranked = source.withColumn("_r", F.row_number().over(w.orderBy(hash_key(seed, key), key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).join(quota, "user_id")
+    ranked = in_hash_order(source, ["user_id"], seed, key, "_r").withColumn("_r", F.col("_r") - 1).withColumnRenamed("_r_n", "_n").join(quota, "user_id")
     times = F.floor((F.col("extra") - F.col("_r") + F.col("_n") - 1) / F.col("_n")).cast("int")
     more = ranked.withColumn("copy", F.explode(F.filter(F.sequence(F.lit(0), times), lambda x: x > 0))).drop("_r", "_n", "extra")
     for s in seqs:

@@ -146,6 +146,30 @@ def representation_means(df: DataFrame, by: str, vector: str) -> DataFrame:
     return df.select(by, F.posexplode(vector)).groupBy(by, F.col("pos").cast("long").alias("pos")).agg(F.avg("col").alias("mean"))
 
 
+def representation_plane(means: DataFrame, by: str) -> DataFrame:
+    """by, x, y: the groups' mean vectors (by, pos, mean) on the plane of their two first principal components.
+
+    Components come from the covariance of the means, whose size is a vector's width squared; each points to where its
+    largest coordinate is positive, so that reruns agree. One group, or means that are all alike, lie at 0.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    center = means.groupBy("pos").agg(F.avg("mean").alias("_c"))
+    centered = means.join(center, "pos").select(by, "pos", (F.col("mean") - F.col("_c")).alias("mean"))
+    wide = centered.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("_v"))  # a vector's width
+    data = wide.select(by, array_to_vector("_v").alias("_features")).cache()
+    try:
+        if data.count() < 2:
+            return means.select(by).distinct().select(by, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        model = PCA(k=2, inputCol="_features", outputCol="_low").fit(data)
+        turn = [1.0 if c[abs(c).argmax()] >= 0 else -1.0 for c in model.pc.toArray().T]
+        low = model.transform(data).select(by, vector_to_array("_low").alias("_low"))
+        return low.select(by, *[(F.col("_low")[i] * turn[i]).alias(n) for i, n in enumerate("xy")])
+    finally:
+        data.unpersist()
+
+
 def merge_round_metrics(counts: DataFrame, pooled: DataFrame) -> DataFrame:
     return counts.join(pooled, "round", "left")
 

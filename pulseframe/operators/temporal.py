@@ -15,11 +15,12 @@ MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: dict[str, str], on: str = "t", bucket: int = DAY) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: dict[str, str], on: str = "t", bucket: int = DAY, spots: DataFrame | None = None) -> DataFrame:
     """left with, for each name: column of `values`, the column of the latest right row not after left's time; null if none.
 
     Work is dealt by (by, bucket of time), so that one long series is many tasks: within a bucket the last right row is
     carried over the union of both sides, and each bucket starts from the last right row of the buckets before it.
+    spots (by, _bucket) may name the left's buckets, and more, where they are cheaper to have than from left.
     """
     keys = [*by, "_bucket"]
     cut = F.floor(F.col(on) / bucket).cast("long")
@@ -31,7 +32,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: dict
     inside = W.partitionBy(*keys).orderBy(on, "_side").rowsBetween(W.unboundedPreceding, 0)
     met = both.withColumn("_found", F.last("_right", ignorenulls=True).over(inside)).where("_side = 1")
     ends = r.groupBy(*keys).agg(F.max_by("_right", on).alias("_end"))
-    starts = both.select(*keys).distinct().join(ends, keys, "left")
+    starts = (left.select(*by, cut.alias("_bucket")) if spots is None else spots.select(*keys)).distinct().join(ends, keys, "full")
     earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).select(*keys, "_carried")
     met = met.join(starts, keys, "left").withColumn("_got", F.coalesce("_found", "_carried"))

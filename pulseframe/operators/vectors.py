@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import Window as W
 
 from ..functions.scalars import l2_normalize
-from ..hashing import hash_key
+from ..hashing import hash_key, with_position
 from ..shipping import ship
 from ..sources.paths import checkpoints
 from .neighbors import nearest
@@ -24,6 +25,10 @@ def knn_density(pool: DataFrame, key: str, vector: str, k: int = 7, by: list[str
     return nearest(pool, pool, k, key, vector, by).groupBy("id").agg((1 / (1e-6 + F.avg("distance"))).alias("density"))
 
 
+#: Buckets of a unit of distance, so that a cluster's rows are ranked in many tasks.
+RANK_BUCKETS = 512
+
+
 def distance_to(vector: str, point: list[float], metric: str = "euclidean"):
     p = F.array(*[F.lit(float(x)) for x in point])
     if metric == "cosine":
@@ -168,7 +173,7 @@ def rank_by_centroid(df: DataFrame, cluster: str, key: str, vector: str) -> Data
     c = centroids(df, cluster, vector).select(F.col("cluster").alias("_c"), F.col(vector).alias("_m"))
     gap = F.round(F.sqrt(F.aggregate(F.zip_with(vector, "_m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)), 9)
     d = df.join(c, F.col(cluster) == F.col("_c")).select(key, F.col(cluster).alias("cluster"), gap.alias("distance"))
-    return d.withColumn("rank", F.row_number().over(W.partitionBy("cluster").orderBy("distance", key)).cast("long"))
+    return with_position(d, ["cluster"], F.floor(F.col("distance") * RANK_BUCKETS), ["distance", key], "rank").drop("rank_n")
 
 
 def typiclust(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector: str, cluster: str, neighbors: int = 20) -> DataFrame:
@@ -176,9 +181,10 @@ def typiclust(labeled: DataFrame, pool: DataFrame, k: int, key: str, vector: str
     near = nearest(pool, pool, neighbors, key, vector, [cluster]).groupBy("id").agg(F.avg("distance").alias("gap"))
     cover = labeled.groupBy(cluster).agg(F.count(F.lit(1)).alias("cover"))
     rows = pool.select(F.col(key), F.col(cluster)).join(near, F.col(key) == F.col("id"), "left").join(cover, cluster, "left").na.fill(0, ["cover"])
-    w = W.partitionBy(cluster)
-    rows = rows.withColumn("turn", F.row_number().over(w.orderBy(F.round("gap", 9).asc_nulls_last(), key)) + F.col("cover")).withColumn("size", F.count(F.lit(1)).over(w))
-    return rows.orderBy("turn", F.desc("size"), cluster).limit(k).select(key, cluster)
+    gap = F.round("gap", 9)
+    rows = with_position(rows.withColumn("_gap", F.coalesce(gap, F.lit(1e300))), [cluster], F.least(F.floor(F.col("_gap") * RANK_BUCKETS), F.lit(1 << 40)), ["_gap", key], "_place")
+    rows = rows.withColumn("turn", F.col("_place") + F.col("cover"))
+    return rows.orderBy("turn", F.desc("_place_n"), cluster).limit(k).select(key, cluster)
 
 
 def hybrid_uncertainty_typiclust(pool: DataFrame, k: int, key: str, vector: str, cluster: str, score: str, frac: float = 0.2) -> DataFrame:
@@ -187,8 +193,8 @@ def hybrid_uncertainty_typiclust(pool: DataFrame, k: int, key: str, vector: str,
 
     top = top_fraction(pool, score, key, frac, k).withColumn(vector, l2_normalize(F.col(vector)))
     r = rank_by_centroid(top, cluster, key, vector)
-    best = F.min("distance").over(W.partitionBy("cluster"))
-    return r.withColumn("_best", best).orderBy("rank", "_best", "cluster").limit(k).select(key, "cluster")
+    best = r.where("rank = 1").select("cluster", F.col("distance").alias("_best"))
+    return r.where(F.col("rank") <= k).join(best, "cluster").orderBy("rank", "_best", "cluster").limit(k).select(key, "cluster")
 
 
 def kcenter_seed(df: DataFrame, k: int, key: str, vector: str) -> DataFrame:
@@ -315,6 +321,13 @@ def centroid_seed(df: DataFrame, n_per_class: int, key: str, vector: str, label:
     return out
 
 
+def centroid_split(df: DataFrame, n_per_class: int, key: str, vector: str, label: str = "state_val", seed: int = 42) -> DataFrame:
+    """df with labeled and true_label (in place of columns of these names): centroid_seed's rows keep their label, others are hidden as -1."""
+    seeds = centroid_seed(df, n_per_class, key, vector, label, seed).select(key, F.lit(True).alias("labeled"))
+    rows = df.drop("labeled", "true_label").join(seeds, key, "left").na.fill(False, ["labeled"])
+    return rows.withColumn("true_label", F.col(label)).withColumn(label, F.when(F.col("labeled"), F.col(label)).otherwise(-1))
+
+
 def pca_kcenter_split(df: DataFrame, n: int, key: str, vector: str, dims: int = 12, seed: int = 42) -> DataFrame:
     """key, labeled: rows nearest to n centres in the first principal components are labelled."""
     from pyspark.ml.feature import PCA

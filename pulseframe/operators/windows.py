@@ -23,7 +23,8 @@ def label_windows(labels: DataFrame, signals: DataFrame, key: str = "reading_id"
     last = F.floor((F.least(F.col("t") + half, F.col("mx")) - F.col("mn")) / MINUTE).cast("long")
     near = labels.select(key, "user_id", "t").join(at, "user_id").withColumn("_k0", first).withColumn("_k1", last).where("_k1 - _k0 + 1 >= " + str(n))
     probes = near.select(key, "user_id", "data_type", F.explode(F.sequence("_k0", "_k1")).alias("_k"), "mn").withColumn("t", F.col("mn") + F.col("_k") * MINUTE).drop("_k", "mn")
-    values = asof_backward(probes, signals, ["user_id", "data_type"], {"value": "value"})
+    spots = near.select("user_id", "data_type", F.explode(F.sequence(F.floor((F.col("mn") + F.col("_k0") * MINUTE) / DAY), F.floor((F.col("mn") + F.col("_k1") * MINUTE) / DAY))).alias("_bucket"))  # one day or two a label
+    values = asof_backward(probes, signals, ["user_id", "data_type"], {"value": "value"}, spots=spots)
     bins = values.groupBy(key, "data_type", F.floor(F.col("t") / bin_size).cast("long").alias("bin")).agg(F.avg("value").alias("v"))
     # 31 bins at most
     both = bins.where("v is not null").groupBy(key).agg(
@@ -34,8 +35,14 @@ def label_windows(labels: DataFrame, signals: DataFrame, key: str = "reading_id"
     return labels.join(whole.select(key, zscore_seq(F.col("hr_raw")).alias("hr_seq"), zscore_seq(F.col("st_raw")).alias("st_seq")), key)
 
 
-def sliding_windows(df: DataFrame, size: int = 30, step: int = 15) -> DataFrame:
-    """user_id, window_id, seq: full windows of `size` samples, every `step`, over each user's z-scored values in time order."""
+def sliding_windows(df: DataFrame, size: int = 30, step: int = 15, train_days: DataFrame | None = None) -> DataFrame:
+    """user_id, window_id, seq: full windows of `size` samples, every `step`, over each user's z-scored values in time order.
+
+    With train_days (user_id, day), windows and z-scores are of the samples of those days alone.
+    """
+    if train_days is not None:
+        days = train_days.select("user_id", F.col("day").alias("_day"))
+        df = df.withColumn("_day", F.floor(F.col("t") / DAY)).join(days, ["user_id", "_day"], "left_semi").drop("_day")
     stats = df.groupBy("user_id").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
     ranked = with_position(df.select("user_id", "t", "value"), ["user_id"], F.floor(F.col("t") / DAY), ["t"], "_i").join(stats, "user_id")
     z = (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(1.0)

@@ -199,6 +199,11 @@ def d34(spark, d):
     return R.representation_means(X.pool(spark, d), "user_id", "z").withColumn("mean", r6("mean"))
 
 
+@query("d34_representation_plane")
+def d34_plane(spark, d):
+    return R.representation_plane(R.representation_means(X.pool(spark, d), "user_id", "z"), "user_id").select("user_id", r6("x").alias("x"), r6("y").alias("y"))
+
+
 @query("g1_pos_neg_union", " SELECT reading_id, 1 AS val FROM readings WHERE systolic > 130 OR diastolic > 80 UNION ALL SELECT reading_id, 0 FROM readings WHERE NOT (systolic > 130 OR diastolic > 80)")
 def g1(spark, d):
     r = C.spike_label(X.readings(spark, d))
@@ -250,9 +255,7 @@ def a7(spark, d):
 @query("a8_prediction_pairs", """, p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY sample_id, y_score, y_true) AS pos, y_score FROM preds), l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY sample_id, y_score, y_true) AS pos, y_true FROM preds WHERE user_id % 9 <> 4 OR sample_id % 3 = 0)
 SELECT p.user_id, p.pos, y_score, y_true FROM p JOIN l ON p.user_id = l.user_id AND p.pos = l.pos WHERE p.user_id IN (SELECT a.user_id FROM (SELECT user_id, count(*) AS n FROM p GROUP BY user_id) a JOIN (SELECT user_id, count(*) AS n FROM l GROUP BY user_id) b USING (user_id, n))""")
 def a8(spark, d):
-    from pyspark.sql import Window as W
-
     p = X.preds(spark, d)
-    at = F.row_number().over(W.partitionBy("user_id").orderBy("sample_id", "y_score", "y_true")).cast("long").alias("pos")
+    at = lambda rows: with_position(rows, ["user_id"], F.floor(F.col("sample_id") / 4096), ["sample_id", "y_score", "y_true"], "pos")
     labels = p.where("user_id % 9 <> 4 OR sample_id % 3 = 0")
-    return R.aligned_pairs(p.select("user_id", at, "y_score"), labels.select("user_id", at, "y_true"))
+    return R.aligned_pairs(at(p).select("user_id", "pos", "y_score"), at(labels).select("user_id", "pos", "y_true"))

@@ -175,11 +175,24 @@ def e5(spark, d):
 n AS (SELECT user_id, count(*) AS n FROM z GROUP BY user_id), k AS (SELECT user_id, unnest(range(0, CASE WHEN n >= 30 THEN (n - 30) // 15 + 1 ELSE 0 END)) AS window_id FROM n)
 SELECT k.user_id, window_id, round(sum(z), 5) AS total, round(sum(z * (i - window_id * 15)), 4) AS moment FROM k JOIN z ON z.user_id = k.user_id AND i >= window_id * 15 AND i < window_id * 15 + 30 GROUP BY ALL""")
 def e6(spark, d):
-    w = N.sliding_windows(C.select_modality(X.signals(spark, d), "hr"))
+    return moments(N.sliding_windows(C.select_modality(X.signals(spark, d), "hr")))
+
+
+def moments(w):
     moment = F.aggregate(F.transform("seq", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
     return w.select("user_id", "window_id", F.round(F.aggregate("seq", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.round(moment, 4).alias("moment"))
 
 
+@query("e6_train_day_windows", f""", tr AS (SELECT * FROM signals WHERE data_type = 'hr' AND (user_id + t // {DAY}) % 4 <> 0), z AS (SELECT user_id, (value - avg(value) OVER (PARTITION BY user_id)) / stddev_pop(value) OVER (PARTITION BY user_id) AS z, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS i FROM tr),
+n AS (SELECT user_id, count(*) AS n FROM z GROUP BY user_id), k AS (SELECT user_id, unnest(range(0, CASE WHEN n >= 30 THEN (n - 30) // 15 + 1 ELSE 0 END)) AS window_id FROM n)
+SELECT k.user_id, window_id, round(sum(z), 5) AS total, round(sum(z * (i - window_id * 15)), 4) AS moment FROM k JOIN z ON z.user_id = k.user_id AND i >= window_id * 15 AND i < window_id * 15 + 30 GROUP BY ALL""")
+def e6_train(spark, d):
+    """Windows over the samples of train days, scaled by them."""
+    hr = C.select_modality(X.signals(spark, d), "hr")
+    days = hr.select("user_id", F.floor(F.col("t") / DAY).alias("day")).distinct().where((F.col("user_id") + F.col("day")) % 4 != 0)
+    return moments(N.sliding_windows(hr, train_days=days))
+
+
 @query("e7_variance_bins", """, s AS (SELECT vec_id, list_stddev_pop(z[1:30]) + list_stddev_pop(z[31:60]) AS score FROM pool),
 e AS (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM s)
 SELECT vec_id, CAST(len(list_filter(list_distinct(e), lambda x: x < score)) AS BIGINT) AS bin FROM s, e""")

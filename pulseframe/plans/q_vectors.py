@@ -196,6 +196,12 @@ def j5(spark, d):
     return V.centroid_seed(X.pool(spark, d), 2, "vec_id", "z")
 
 
+@query("j5_centroid_split")
+def j5s(spark, d):
+    """Both sides: the seeds, and all other rows with hidden labels."""
+    return V.centroid_split(X.pool(spark, d), 2, "vec_id", "z").select("vec_id", "labeled", "state_val", "true_label")
+
+
 @query("j6_pca_kcenter")
 def j6(spark, d):
     return V.pca_kcenter_split(X.pool(spark, d), 10, "vec_id", "z")

@@ -64,3 +64,26 @@ def test_many_centers(spark):
     assert after == pytest.approx(np.array([z[d.argmin(axis=1) == j].mean(axis=0) for j in range(40)]))
     found, jobs = jobs_of(spark, lambda: V.kmeans_query(frame(spark, z).limit(0), frame(spark, z), 40, "id", "z", max_iter=5).collect())
     assert len({x["id"] for x in found}) == 40 and jobs <= 60
+
+
+def test_plane_equals_numpy(spark):
+    from pulseframe.operators import rollups as R
+
+    r = np.random.default_rng(5)
+    z = r.normal(0, (3, 2, 0.5, 0.1), (6, 4))
+    rows = [(u, (z[u] + d).tolist()) for u in range(6) for d in (-1.0, 1.0)]
+    means = R.representation_means(spark.createDataFrame(rows, "user_id long, z array<double>"), "user_id", "z")
+    found = {x["user_id"]: (x["x"], x["y"]) for x in R.representation_plane(means, "user_id").collect()}
+    c = z - z.mean(axis=0)
+    _, _, v = np.linalg.svd(c)
+    want = c @ np.array([p * np.sign(p[abs(p).argmax()]) for p in v[:2]]).T
+    assert np.array([found[u] for u in range(6)]) == pytest.approx(want)
+    assert [tuple(x) for x in R.representation_plane(means.where("user_id = 1"), "user_id").collect()] == [(1, 0.0, 0.0)]
+
+
+def test_centroid_split_hides_the_rest(spark):
+    z = np.random.default_rng(6).normal(0, 1, (30, 3))
+    df = frame(spark, z).selectExpr("id", "z", "cast(id % 2 as long) as state_val")
+    out = V.centroid_split(df, 2, "id", "z").collect()
+    assert len(out) == 30 and sum(r["labeled"] for r in out) == 4
+    assert all(r["true_label"] == r["id"] % 2 and r["state_val"] == (r["true_label"] if r["labeled"] else -1) for r in out)
