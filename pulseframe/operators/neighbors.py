@@ -124,7 +124,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, key: str, vector: str, by
     a = members.groupBy(*group).agg(F.min("id").alias("id"))
     b = rows(right).distinct().withColumn("_r", F.row_number().over(W.partitionBy(*group).orderBy("id"))).where(F.col("_r") <= k + 1).drop("_r")
     b = written(b, "neighbors-right")
-    many = max(1, min(PIVOTS, b.count() // CELL))
+    rows_right = b.count()
+    many = max(1, min(PIVOTS, rows_right // CELL)) if rows_right > BLOCK else 1  # one block is one product
     sample = b.orderBy(hash_key(7, "id"), "id").select("v").limit(many).toPandas()  # PIVOTS rows
     if sample.empty:
         return spark.createDataFrame([], "id long, other long, distance double")

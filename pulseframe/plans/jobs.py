@@ -89,6 +89,7 @@ def fraction_vs_full(preds: DataFrame, frac: float, seeds: tuple[int, ...], iter
     from ..operators.metrics import bootstrap_auc, log_loss, roc_auc
     from ..operators.splits import stratified_split
 
+    preds = written(preds.select("user_id", "sample_id", "y_true", "y_score"), "predictions")
     parts = preds.select("user_id", F.lit("full_data").alias("seed"), "y_true", "y_score")
     for s in seeds:
         chosen = stratified_split(preds, frac, ["user_id", "y_true"], s, "sample_id", within=["user_id"]).where("chosen")
