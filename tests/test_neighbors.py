@@ -60,8 +60,9 @@ def test_clustered_rows_compare_few_pairs(spark):
     assert 0 < tally.value < 0.15 * n * n
 
 
-def test_equal_vectors_compare_few_pairs(spark):
+def test_equal_vectors_compare_few_pairs(spark, monkeypatch):
     """A vector that a third of all rows share costs no more than one row."""
+    monkeypatch.setattr(N, "BLOCK", 512)  # less than the rows, so that there are cells
     n = 3000
     z = clustered(n, 20, 4)
     df = frame(spark, [(i, z[0] if i % 3 == 0 else v, "a") for i, v in enumerate(z)])
