@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, islice
 
 import numpy as np
@@ -281,19 +282,22 @@ def narrowed(found: DataFrame, length: int) -> DataFrame:
     Cut to NARROW offsets each, the contexts of a lead that is still frequent to half as many, and so on down to one:
     there a context is one string, and those of one lead are equal and merged, but for one from each task.
     """
-    width = NARROW
+    width, settled, names = NARROW, [], [x.split(" ")[0] for x in CONTEXTS.split(", ")]
     while True:
-        often = staged(found.where("context is not null").groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN).select("lead"), "frequent-leads")
+        own = F.col("context").isNotNull()
+        often = staged(found.where(own).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OFTEN).select("lead"), "frequent-leads")
         if often.isEmpty():
-            return found
-        found = staged(cut_by_offset(found, often, length, width), "narrow-contexts")
+            break
+        settled += [found.where(own).join(often, "lead", "left_anti").select(*names), found.where(~own)]
+        found = staged(cut_by_offset(found.where(own).join(often, "lead", "left_semi").select(*names[1:]), length, width), "narrow-contexts")
         if width == 1:
-            return found
+            break
         width //= 2
+    return reduce(DataFrame.unionByName, settled, found)
 
 
-def cut_by_offset(found: DataFrame, often: DataFrame, length: int, width: int) -> DataFrame:
-    """found with the contexts of the leads `often` cut to `width` offsets each.
+def cut_by_offset(found: DataFrame, length: int, width: int) -> DataFrame:
+    """Rows of CONTEXTS: the contexts (context, doc, at, first, last) of found cut to `width` offsets each.
 
     Strings at offsets low..low + width - 1 before an anchor all hold the bytes from the first one's end back to the
     last one's start; those bytes and the offset join the lead, so that only contexts meet whose strings agree on nearly
@@ -314,10 +318,7 @@ def cut_by_offset(found: DataFrame, often: DataFrame, length: int, width: int) -
 
         yield from merged_rows(rows(), length, lead)
 
-    names = [x.split(" ")[0] for x in CONTEXTS.split(", ")]
-    frequent = F.col("context").isNotNull()
-    cut = map_batches(found.where(frequent).join(often, "lead", "left_semi").select(*names[1:]), run, CONTEXTS)
-    return found.where(frequent).join(often, "lead", "left_anti").select(*names).unionByName(cut).unionByName(found.where(~frequent))
+    return map_batches(found, run, CONTEXTS)
 
 
 def sort_strings(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
