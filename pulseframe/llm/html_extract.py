@@ -43,6 +43,8 @@ SPACE = re.compile(r"\s+")
 
 #: Bytes of html in one range of neighbours, about.
 RANGE_BYTES = 8e6
+#: Most ranges: the driver holds 20 keys for each while it cuts. Beyond so many, ranges grow; a task streams its range.
+MOST_RANGES = 50_000
 #: What a region says of its lines.
 OPEN, MAIN, BESIDE = 0, 1, 2
 
@@ -215,7 +217,7 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("place", F.coalesce("page_id", F.lit(-1).cast("long")))
     size, count = rows.agg(F.sum(F.octet_length("html")), F.count(F.lit(1))).first()
-    ranges, order = int((size or 0) // RANGE_BYTES) + 1, ["host", "path", "place"]
+    ranges, order = min(MOST_RANGES, int((size or 0) // RANGE_BYTES) + 1), ["host", "path", "place"]
     every = max(1, count // (ranges * 20))
     keys = [tuple(r) for r in rows.where(F.pmod(F.xxhash64("place", "url"), F.lit(every)) == 0).select(*order).collect()] if ranges > 1 else []
     keys.sort()
@@ -242,7 +244,7 @@ def extract(pages: DataFrame) -> DataFrame:
         marked = map_batches(rows.select("range", "host", "path", "place", "html"), light, "range long, host string, path string, place long, mark long").where("mark is not null")
         edges = staged(edge_pages(staged(marked, "open-pages")), "edge-pages")
         if not edges.isEmpty():
-            beside = rows.drop("range", "edge").join(F.broadcast(edges), order).withColumn("edge", F.lit(True))
+            beside = rows.drop("range", "edge").join(edges, order).withColumn("edge", F.lit(True))
             near = near.union(beside.select(*names))
     near = near.repartitionById(len(cuts) + 1, F.col("range").cast("int")).sortWithinPartitions("range", *order)
 
