@@ -635,7 +635,7 @@ def test_ring_moves_little_at_the_slack_of_the_query():
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_empty_tables(spark, sf, tmp_path, name):
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
 
