@@ -207,7 +207,15 @@ def j6(spark, d):
     return V.pca_kcenter_split(X.pool(spark, d), 10, "vec_id", "z")
 
 
-@query("i14_adasyn")
+@query("i14_adasyn", """, sz AS (SELECT state_val, count(*) AS n FROM pool GROUP BY state_val), mi AS (SELECT state_val AS y, n FROM sz ORDER BY n, state_val DESC LIMIT 1), wt AS (SELECT max(sz.n) - any_value(mi.n) AS want FROM sz, mi),
+few AS (SELECT pool.* FROM pool, mi WHERE state_val = y),
+nr AS (SELECT a.vec_id, b.state_val, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.z, b.z), 9), b.vec_id) AS j FROM few a, pool b WHERE a.vec_id <> b.vec_id),
+sh AS (SELECT vec_id, avg(CASE WHEN state_val <> y THEN 1.0::DOUBLE ELSE 0 END) AS r FROM nr, mi WHERE j <= 5 GROUP BY vec_id),
+gs AS (SELECT vec_id, CAST(round_even(CASE WHEN sum(r) OVER () > 0 THEN r / sum(r) OVER () ELSE 1.0::DOUBLE / count(*) OVER () END * want, 0) AS BIGINT) AS g FROM sh, wt),
+cp AS (SELECT vec_id, copy, CAST('0x' || substr(md5('42:' || vec_id || ':' || copy), 1, 8) AS BIGINT) AS u FROM (SELECT vec_id, unnest(range(1, g + 1)) AS copy FROM gs WHERE g > 0)),
+mt AS (SELECT a.vec_id, a.z AS az, b.z AS bz, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.z, b.z), 9), b.vec_id) AS j FROM few a, few b WHERE a.vec_id <> b.vec_id),
+mn AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n FROM mt WHERE j <= 5)
+SELECT cp.vec_id AS source, CAST(copy AS INTEGER) AS copy, round(az[1] + ((u / 65536.0::DOUBLE) % 1000) / 1000 * (bz[1] - az[1]), 6) AS z1 FROM cp JOIN mn ON mn.vec_id = cp.vec_id AND j = u % n + 1""")
 def i14(spark, d):
     return V.adasyn(X.pool(spark, d), "vec_id", "z").select("source", "copy", r6(F.col("z")[0]).alias("z1"))
 
