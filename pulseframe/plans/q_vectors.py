@@ -237,7 +237,18 @@ def h13s(spark, d):
     return s.select("vec_id", r6(F.col("e")[0]).alias("first"), r6(F.col("e")[29]).alias("last_edge"), r6(F.col("o")[29]).alias("last_zero"))
 
 
-@query("h13_noise_stretch")
+def unit_sql(*keys: str) -> str:
+    return "CAST('0x' || substr(md5(" + " || ':' || ".join(["'3'", "vec_id", *(f"'{k}'" for k in keys)]) + "), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+def normal_sql(*keys: str) -> str:
+    return f"sqrt(-2 * ln(greatest({unit_sql(*keys, 'a')}, 1e-9))) * cos(2 * 3.141592653589793::DOUBLE * {unit_sql(*keys, 'b')})"
+
+
+@query("h13_noise_stretch", f""", sq AS (SELECT vec_id, z[1:30] AS q, list_avg(z[1:30]) AS m, list_stddev_pop(z[1:30]) AS sd FROM pool), ss AS (SELECT vec_id, list_transform(q, lambda x: CASE WHEN sd > 1e-12 THEN (x - m) / sd ELSE 0 END) AS s FROM sq),
+nn AS (SELECT *, CAST(greatest(1, round_even(30 * (0.8::DOUBLE + 0.4::DOUBLE * ({unit_sql()})), 0)) AS BIGINT) AS n FROM ss), ps AS (SELECT *, CASE WHEN n >= 30 THEN 841.0::DOUBLE / (n - 1) ELSE 29 END AS p FROM nn)
+SELECT vec_id, round(s[1] + 0.05::DOUBLE * {normal_sql('0')}, 6) AS jitter, round(s[1] * (1 + 0.1::DOUBLE * {normal_sql('scale')}) + 0.05::DOUBLE * {normal_sql('0')}, 6) AS noise,
+round(s[CAST(floor(p) AS BIGINT) + 1] + (p - floor(p)) * (s[least(CAST(floor(p) AS BIGINT) + 2, 30)] - s[CAST(floor(p) AS BIGINT) + 1]), 6) AS stretched, 30 AS n FROM ps""")
 def h13n(spark, d):
     z = zscore_seq(F.slice("z", 1, 30))
     p = X.pool(spark, d).select("vec_id", z.alias("s"))
