@@ -3,8 +3,8 @@
 Each arriving row is a digest, a stable identifier and a content locator (file and row in it). A streaming
 aggregation keeps, per digest and without expiry, the winning identifier with its locator and the number of arrivals
 in RocksDB state below the shared checkpoint folder. Rows that hit a digest seen before are then compared with the
-winner's full bytes, which its locator fetches; rows that share the digest but not the bytes form groups of their own.
-Hits are written first, so that their size is known and a few of them need not move the texts.
+full bytes of the winner, the row at its locator; rows that share the digest but not the bytes form groups of their own.
+The texts of hits are fetched in one pass over all texts, and winners are found among them by their locators.
 
 Defined cases: null text counts as empty; a repeated row counts as one more copy; a null identifier loses against
 any other and is not compared byte by byte; an empty table gives an empty result; columns beyond id and text are
@@ -85,15 +85,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = staged(read_state(spark, checkpoint), "dedup-groups")
     ids = arrivals.select("doc_id", "digest").join(state, "digest")
 
-    # full bytes, of hits only: members meet replicas of the winner, so that no group meets in one task
+    # full bytes, of hits only, fetched in one pass over the texts; their winners are the rows at the state's locators.
+    # the join is by sorting at every size: broadcasting some hits would only change the plan as tables grow
     # dealt by id before rows are made distinct, else a frequent digest's rows would meet in one task for that
-    hits = staged(ids.where("n > 1").select("doc_id", "digest", "n").repartition("doc_id").distinct(), "hits")
-    texts = rows.select("doc_id", "digest", "text")
+    hits = staged(ids.where("n > 1").select("doc_id", "digest", "keep_id", F.col("locator").alias("keep_locator"), "n").repartition("doc_id").distinct(), "hits")
+    met = rows.select("doc_id", "digest", "text", "locator").join(hits.hint("merge"), ["doc_id", "digest"])
+    texts = staged(met.select("doc_id", "digest", "text", "n", ((F.col("locator") == F.col("keep_locator")) & F.col("keep_id").isNotNull()).alias("keeps")), "hit-texts")
+    # members meet replicas of the winner, so that no group meets in one task
     replicas = F.ceil(F.col("n") / COPIES_PER_REPLICA).cast("int")
-    members = texts.join(hits, ["doc_id", "digest"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), replicas).cast("int"))
-    held = staged(state.where("n > 1 and keep_id is not null").select("locator", "n"), "winners")
-    winners = rows.select("locator", "digest", "text").join(held, "locator")
-    winners = winners.select("digest", F.col("text").alias("keep_text"), F.explode(F.sequence(F.lit(0), replicas - 1)).alias("part"))
+    members = texts.withColumn("part", F.pmod(F.xxhash64("doc_id"), replicas).cast("int"))
+    winners = texts.where("keeps").select("digest", F.col("text").alias("keep_text"), F.explode(F.sequence(F.lit(0), replicas - 1)).alias("part"))
     odd = staged(members.join(winners, ["digest", "part"]).where("text != keep_text").select("doc_id", "digest", "text"), "dedup-collisions")
 
     out = ids.select("doc_id", "keep_id", F.col("n").alias("group_size"), "digest", "locator")
