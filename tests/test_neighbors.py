@@ -69,3 +69,27 @@ def test_equal_vectors_compare_few_pairs(spark, monkeypatch):
     tally = spark.sparkContext.accumulator(0)
     found = N.nearest(df, df, 3, "id", "z", tally=tally).where("id % 3 = 0 and id > 8").collect()
     assert {r["other"] for r in found} == {0, 3, 6} and tally.value < 0.2 * n * n
+
+
+def test_evenly_spread_rows_are_sent_once_to_each_unit(spark, monkeypatch):
+    """Where every cell is needed, left rows are not sent to each cell, nor right rows more often than there are units."""
+    monkeypatch.setattr(N, "BLOCK", 256)
+    monkeypatch.setattr(N, "CELL", 64)
+    n, sent, compared = 1500, [], N.compared
+    monkeypatch.setattr(N, "compared", lambda a, b, *more: sent.append((a.count(), b.count())) or compared(a, b, *more))
+    z = np.random.default_rng(6).normal(size=(n, 24))
+    df = frame(spark, [(i, v, "a") for i, v in enumerate(z)])
+    found = {}
+    for r in N.nearest(df, df, 3, "id", "z").collect():
+        found.setdefault(r["id"], []).append((r["distance"], r["other"]))
+    gaps = np.round(np.sqrt(((z[:, None] - z[None]) ** 2).sum(2)), 9)
+    np.fill_diagonal(gaps, np.inf)
+    assert all([o for _, o in sorted(found[i])] == np.lexsort((np.arange(n), gaps[i]))[:3].tolist() for i in range(n))
+    assert len(sent) == 2 and all(a <= n and b <= n * -(-n // N.FEWEST) for a, b in sent)
+
+
+def test_distances_of_near_copies(spark):
+    """Rows that differ little are measured by differences, as in SQL: products would lose their distance."""
+    v = [3.0, 4.0, 5.0]
+    df = frame(spark, [(1, v, "a"), (2, [3.0, 4.0, 5.0 + 4e-9], "a"), (3, [3.0, 4.0 + 7e-9, 5.0], "a"), (4, [float("nan"), 4.0, 5.0], "a")])
+    assert sorted(tuple(r) for r in N.nearest(df, df, 1, "id", "z").select("id", "other", "distance").collect()) == [(1, 2, 4e-9), (2, 1, 4e-9), (3, 1, 7e-9)]
