@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Each table rotates a vector by rounds of random signs and fast Hadamard transforms and takes the nearest signed axis
-as bucket. A query probes the buckets of its largest coordinates in every table; a bucket is cut into parts of a
-bounded size by a hash of the id, and the query meets each part in a task of its own. What it meets is ranked by
-exact inner products in double precision. Queries that meet fewer than k vectors are then compared with all, in
-blocks.
+as bucket. Vectors are dealt to shards of a bounded number by a hash of the id, and each shard, one task, keeps all
+tables of its own vectors. Every query goes to every shard once, probes the buckets of its largest coordinates in every
+table there, and what it meets is ranked by exact inner products in double precision; the best k of each shard are
+then ranked together. Queries that meet fewer than k vectors in all shards are then compared with all, in blocks.
 
 Vectors of unequal lengths get a further coordinate that makes their lengths equal, so that the largest inner
 product is the nearest angle; scores stay those of the vectors as given.
@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import map_batches, parts, staged, table
-from .near_dedup import runs
+from .common import map_batches, staged, table
 
-#: Vectors in one part of a bucket, about.
-PART = 2048
+#: Vectors that meet queries in one product, and vectors of a shard, about.
+PART, SHARD = 2048, 65_536
 #: Buckets that a query probes in each table, by the hashes of a bucket: recall 0.9 and more on evenly spread vectors.
 PROBES = {1: 16, 2: 1600}
 
@@ -79,117 +79,158 @@ class CrossPolytope:
         return np.take_along_axis(items, at, axis=1), np.take_along_axis(score, at, axis=1)
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, ids, scores) of each query's k largest inner products, its own id left out; ties to smaller ids."""
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
-    for at in range(0, len(queries), 256):
-        q, own = queries[at : at + 256], query_ids[at : at + 256]
-        score = q @ vectors.T
-        score[own[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            floor = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-            floor = np.where(np.isfinite(floor), floor - 1e-9 * np.maximum(1, np.abs(floor)), -np.inf)
-        else:
-            floor = np.full(len(q), -np.inf)
-        rows, columns = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
-        exact = np.einsum("ij,ij->i", q[rows], vectors[columns])
-        order = np.lexsort((ids[columns], -exact, rows))
-        rows, columns, exact = rows[order], columns[order], exact[order]
-        first = np.searchsorted(rows, np.arange(len(q)))
-        keep = np.arange(len(rows)) - first[rows] < k
-        yield own[rows[keep]], ids[columns[keep]], exact[keep]
+class Shard:
+    """A task's vectors, in buckets by each table."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, bucket: np.ndarray, buckets: int):
+        """bucket: (tables, rows)."""
+        self.ids, self.vectors = ids, vectors
+        self.order = [np.argsort(b, kind="stable").astype(np.int32) for b in bucket]
+        self.starts = [np.searchsorted(b[o], np.arange(buckets + 1)) for b, o in zip(bucket, self.order, strict=True)]
+        self.most = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # rows of one id
+
+    def met(self, probes: np.ndarray | None, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(queries, rows) that meet; probes (tables, queries, count), None: all of n queries meet all rows."""
+        if probes is None:
+            yield np.arange(n), np.arange(len(self.ids))
+            return
+        for order, starts, near in zip(self.order, self.starts, probes, strict=True):
+            asked = np.argsort(near.ravel(), kind="stable")
+            which = near.ravel()[asked]
+            cuts = np.flatnonzero(np.diff(which, prepend=-1))
+            for at, to in zip(cuts, [*cuts[1:], len(which)], strict=True):
+                rows = order[starts[which[at]] : starts[which[at] + 1]]
+                if len(rows):
+                    yield asked[at:to] // near.shape[1], rows
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, probes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query ids, ids, scores) of the k largest inner products that each query meets here, its own id left out; ties to smaller ids."""
+        floor, found, pooled = np.full(len(queries), -np.inf), [], 0
+        least = (k + 1) * self.most  # so many rows hold k ids besides the query's own
+        below = lambda score: score - 1e-9 * np.maximum(1, np.abs(score))
+
+        def merged():
+            q, row, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+            ids = self.ids[row]
+            order = np.lexsort((-score, ids, q))
+            q, ids, row, score = q[order], ids[order], row[order], score[order]
+            once = np.ones(len(q), dtype=bool)  # met in several tables, or a repeated id: the best score
+            once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+            q, ids, row, score = q[once], ids[once], row[once], score[once]
+            order = np.lexsort((ids, -score, q))
+            q, row, score = q[order], row[order], score[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == k - 1
+            floor[q[last]] = np.maximum(floor[q[last]], below(score[last]))
+            return q[place < k], row[place < k], score[place < k]
+
+        for asked, rows in self.met(probes, len(queries)):
+            for at in range(0, len(rows), PART):
+                part = rows[at : at + PART]
+                vectors = self.vectors[part]
+                for on in range(0, len(asked), 256):
+                    q = asked[on : on + 256]
+                    score = queries[q] @ vectors.T
+                    good = score >= floor[q][:, None]
+                    if len(part) >= least and np.count_nonzero(good) > 2 * least * len(q):
+                        kth = np.partition(score, len(part) - least, axis=1)[:, len(part) - least]
+                        floor[q] = np.maximum(floor[q], np.where(np.isfinite(kth), below(kth), -np.inf))
+                        good = score >= floor[q][:, None]
+                    i, j = np.nonzero(good & np.isfinite(score))
+                    i, j = q[i], part[j]
+                    other = query_ids[i] != self.ids[j]
+                    i, j = i[other], j[other]
+                    found.append((i, j, np.einsum("ij,ij->i", queries[i], self.vectors[j])))
+                    pooled += len(i)
+                    if pooled > 8 * k * len(queries) + 100_000:
+                        found = [merged()]
+                        pooled = len(found[0][0])
+        q, row, score = merged()
+        return query_ids[q], self.ids[row], score
 
 
 FOUND = "query_id long, vec_id long, score double"
 
 
-def meet(rows: DataFrame, k: int, tasks: int) -> DataFrame:
-    """FOUND rows from (unit, vec_id, vector, is_query), each unit's queries against its vectors; the units dealt to tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit in runs(batches, "unit"):
-            asks = np.array(unit.column("is_query").to_pylist(), dtype=bool)
-            if asks.all() or not asks.any():
-                continue
-            ids = unit.column("vec_id").to_numpy()
-            vectors = np.frombuffer(b"".join(unit.column("vector").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
-            for found in nearest(ids[~asks], vectors[~asks], ids[asks], vectors[asks], k):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
-
-    spread = rows.repartition(tasks, "unit").sortWithinPartitions("unit")
-    return map_batches(spread.select("unit", "vec_id", "vector", "is_query"), run, FOUND)
-
-
 def search(vectors: DataFrame, is_query, k: int = 20, tables: int = 8, probes: int | None = None, hashes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row that is_query (a Column) marks.
 
     A bucket is one hash or two: two, which make 2 * dim times as many buckets, where one hash would leave more than
-    PART vectors in a bucket on average. Two hashes need more probes for the same recall (PROBES).
+    PART vectors of a shard in a bucket on average. Two hashes need more probes for the same recall (PROBES).
     """
     if hashes not in (None, 1, 2):
         raise ValueError("a bucket is one hash or two")
     spark = vectors.sparkSession
-    value = F.col(vector_col).cast("array<double>")
+    kind = vectors.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)  # half the bytes, the same numbers
+    value = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
     sound = F.expr("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x != 0)")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), value.alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     rows = staged(rows.where("vec_id is not null").where(F.coalesce(sound, F.lit(False))), "vectors")
-    length = F.expr("sqrt(aggregate(v, 0d, (a, x) -> a + x * x))")
+    length = F.expr("sqrt(aggregate(v, 0d, (a, x) -> a + double(x) * double(x)))")
     # one row for each dimension that occurs
-    top = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("asks"), F.max(length).alias("longest"), F.min(length).alias("shortest")).orderBy(F.desc("n"), "d").first()
+    top = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("longest"), F.min(length).alias("shortest")).orderBy(F.desc("n"), "d").first()
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, longest = top["d"], top["longest"]
     lift = top["shortest"] < longest * (1 - 1e-4)
     rows = rows.where(F.size("v") == dim)
     machine_dim, axes = dim + lift, 2 << max(1, (dim + lift - 1).bit_length())
-    hashes = hashes or (1 if top["n"] <= axes * PART else 2)
+    hashes = hashes or (1 if min(top["n"], SHARD) <= axes * PART else 2)
     buckets = axes**hashes
     probes = min(probes or PROBES[hashes], buckets)
+    shards = max(-(-top["n"] // SHARD), min(spark.sparkContext.defaultParallelism, top["n"] // PART + 1))
+    step = 512 if hashes == 1 else 32  # rows hashed at once: two hashes order the sums of all pairs of axes
 
-    def hash_rows(count: int, asks: bool):
+    def task(every: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine = CrossPolytope(machine_dim, tables, hashes)
+            machine, held, shard = CrossPolytope(machine_dim, tables, hashes), [], None
+
+            def unit(x: np.ndarray, asks: bool) -> np.ndarray:
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                if lift and asks:
+                    return np.pad(x / norm, ((0, 0), (0, 1)))
+                if lift:
+                    return np.concatenate((x, np.sqrt(np.maximum(0, longest**2 - norm**2))), axis=1) / longest
+                return x / norm
+
+            def hashed(x: np.ndarray, asks: bool) -> np.ndarray:
+                return np.concatenate([machine.probes(unit(x[at : at + step], asks), probes if asks else 1) for at in range(0, len(x), step)], axis=1)
+
             for b in batches:
                 if not b.num_rows:
                     continue
-                ids = b.column(0).to_numpy()
+                ids, asks = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                if lift and asks:
-                    unit = np.pad(x / norm, ((0, 0), (0, 1)))
-                elif lift:
-                    unit = np.concatenate((x, np.sqrt(np.maximum(0, longest**2 - norm**2))), axis=1) / longest
-                else:
-                    unit = x / norm
-                near = machine.probes(unit, count)
-                bucket = (np.arange(tables)[:, None, None] * buckets + near).transpose(1, 0, 2).reshape(-1)
-                each = tables * count
-                raw = [v.tobytes() for v in x]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.repeat(ids, each)), pa.array([r for r in raw for _ in range(each)], pa.binary())], ["bucket", "vec_id", "vector"])
+                first = int(np.searchsorted(asks, True))  # vectors come before queries
+                if first:
+                    held.append((ids[:first], x[:first]))
+                if first < len(ids) and held:
+                    own, vectors = (np.concatenate(c) for c in zip(*held, strict=True))
+                    bucket = np.zeros((0, len(own)), dtype=np.int64) if every else hashed(vectors, False)[:, :, 0]
+                    shard, held = Shard(own, vectors, bucket, buckets), []
+                for at in range(first, len(ids) if shard else 0, 1024):
+                    some = x[at : at + 1024]
+                    found = shard.nearest(ids[at : at + 1024], some, k, None if every else hashed(some, True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
 
         return run
 
-    schema = "bucket long, vec_id long, vector binary"
-    stored = staged(map_batches(rows.select("vec_id", "v"), hash_rows(1, False), schema), "index")
-    sizes = stored.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # tables * buckets rows at most: 8 * 128 ** 2 with two hashes of 64 axes
-    cuts = F.broadcast(sizes.select("bucket", F.ceil(F.col("n") / PART).cast("int").alias("cuts")))
-    held = stored.join(cuts, "bucket").select(F.xxhash64("bucket", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("int")).alias("unit"), "vec_id", "vector", F.lit(False).alias("is_query"))
-    asked = map_batches(rows.where("is_query").select("vec_id", "v"), hash_rows(probes, True), schema).join(cuts, "bucket")
-    asked = asked.select("bucket", "vec_id", "vector", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut")).select(F.xxhash64("bucket", "cut").alias("unit"), "vec_id", "vector", F.lit(True).alias("is_query"))
-    tasks = lambda n: parts(spark, 8 * dim * n, 32e6)  # noqa: E731  for n vectors
-    found = staged(meet(held.union(asked), k, tasks(tables * (top["n"] + probes * top["asks"]))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), "met")
-
-    queries = rows.where("is_query").select("vec_id").distinct()
+    def meet(asked: DataFrame, every: bool) -> DataFrame:
+        """FOUND rows: all vectors in shards, the queries in each of them."""
+        shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+        both = rows.select(shard.alias("shard"), "vec_id", "v", F.lit(False).alias("is_query"))
+        both = both.union(asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "vec_id", "v", F.lit(True).alias("is_query")))
+        spread = both.repartitionById(shards, F.col("shard")).sortWithinPartitions("is_query")
+        return map_batches(spread.select("vec_id", "v", "is_query"), task(every), FOUND)
+
+    best = lambda d: d.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    asked = rows.where("is_query")
+    found = staged(best(meet(asked, False)), "met")
     counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"))
-    short = staged(queries.join(counts, "vec_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id"), "short")
+    short = staged(asked.select("vec_id").distinct().join(counts, "vec_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("vec_id"), "short")
     if not short.isEmpty():
-        packed = lambda d: map_batches(d.select("vec_id", "v"), hash_rows(1, False), schema).where(F.col("bucket") < buckets)  # noqa: E731  table 0: each vector once
-        blocks = max(1, rows.count() // PART)
-        block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")
-        every = packed(rows).select(block.alias("unit"), "vec_id", "vector", F.lit(False).alias("is_query"))
-        again = packed(rows.where("is_query").join(short, "vec_id")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("unit"), "vec_id", "vector", F.lit(True).alias("is_query"))
-        found = found.union(meet(every.union(again), k, tasks(top["n"] + blocks * short.count()))).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = best(found.union(meet(asked.join(short, "vec_id").select("vec_id", "v"), True)))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

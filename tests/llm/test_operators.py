@@ -503,6 +503,26 @@ def test_search_edges(spark):
     assert found == [(0, 1, 11, 5.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0), (0, 4, 20, 0.0), (20, 1, 11, 10.0), (20, 2, 0, 0.0), (20, 3, 2, 0.0), (20, 4, 3, 0.0)]
 
 
+def test_search_sends_queries_once_to_each_shard(spark, monkeypatch):
+    """What the search sends grows with vectors and shards, not with probes; a repeated id takes the place of no other."""
+    monkeypatch.setattr(ann, "SHARD", 100)
+    sent, kept = [], ann.map_batches
+    monkeypatch.setattr(ann, "map_batches", lambda df, *more: sent.append(df.count()) or kept(df, *more))
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(300)] + [(7, [9.0 + j] * 8) for j in range(30)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=20).toPandas()
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    hits = 0
+    for q in range(0, 300, 20):
+        best = {}
+        for i, s in zip(ids, x @ x[q], strict=True):
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), s)
+        hits += len(set(sorted(best, key=lambda i: (-best[i], i))[:20]) & set(found[found.query_id == q].vec_id))
+    assert hits >= 0.9 * 20 * 15 and (found.groupby("query_id").vec_id.nunique() == 20).all()
+    assert sum(sent) <= 2 * (330 + 15 * 8)
+
+
 def test_search_hot_vector(spark, monkeypatch):
     monkeypatch.setattr(ann, "PART", 50)
     r = np.random.default_rng(3)
