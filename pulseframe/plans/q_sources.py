@@ -67,7 +67,9 @@ def a9(spark, d):
     key = F.col("s_suppkey")
     k = F.when(key % 3 == 0, F.concat(F.lit("["), key.cast("string"), F.lit("]"))).otherwise(key.cast("string"))
     text = F.concat(F.lit('{"user": "'), key.cast("string"), F.lit('", "unlabeled_frac": '), ((key % 9 + 1).cast("double") / 10).cast("string"), F.lit(', "K": '), k, F.lit(', "T": '), F.when(key % 2 == 0, "50").otherwise("null"), F.lit("}"))
-    X.read(spark, d, "supplier").select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(out)  # a run in each file
+    # a run in each file: many tasks write them, and each moves its own into place
+    runs = X.read(spark, d, "supplier").repartition(4 * spark.sparkContext.defaultParallelism, key).select(text.alias("value"))
+    runs.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(out)
     return readers.read_run_summaries(spark, out, "*.txt").select("user", "uf", "K", "T")
 
 

@@ -71,3 +71,14 @@ def test_splits_refuse_overlapping_days(spark, tmp_path):
         writers.write_splits(frame([*rows, (1, 5, "test", 9)]), f"file://{tmp_path}/bad", F.col("id").cast("string"))
     assert not (tmp_path / "bad").exists()
     assert C.DAY
+
+
+def test_run_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A run in each file, and no single task (nor the driver, one after the other) writes them all."""
+    from pulseframe.plans import q_sources
+
+    monkeypatch.setattr(q_sources, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    found = q_sources.a9(spark, "/root/testdata/sf0.01")
+    files = [p.name for p in tmp_path.rglob("part-*.txt")]
+    assert found.count() == len(files) == spark.read.parquet("/root/testdata/sf0.01/supplier.parquet").count()
+    assert len({f.split("-")[1] for f in files}) > 8
