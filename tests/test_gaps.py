@@ -54,3 +54,26 @@ def test_runs_are_few_and_travel_instead_of_minutes(spark):
     assert gaps.count() <= 3 * 31 * 2 < T.minutes_of(gaps).count() / 100
     found = T.sample_minutes(gaps, spark.createDataFrame([(u, 50) for u in range(3)], "user_id long, n long"), 42)
     assert found.groupBy("user_id").count().where("count = 50").count() == 3
+
+
+def test_label_windows_look_up_each_grid_point_once(spark, monkeypatch):
+    """Two hundred labels in an hour ask for the minutes around that hour, not for two hours of minutes each."""
+    from pulseframe.operators import windows as N
+
+    asked, kept = [], N.asof_backward
+    monkeypatch.setattr(N, "asof_backward", lambda left, *a, **b: asked.append(left.count()) or kept(left, *a, **b))
+    minute = 60_000_000
+    signals = spark.createDataFrame([(1, kind, m * minute, float((m * k) % 17)) for k, kind in ((7, "hr"), (5, "steps")) for m in range(600)], "user_id long, data_type string, t long, value double")
+    labels = spark.createDataFrame([(i, 1, 300 * minute + i * minute // 4) for i in range(200)], "reading_id long, user_id long, t long")
+    got = {r["reading_id"]: r for r in N.label_windows(labels, signals).collect()}
+    assert len(got) == 200 and asked[0] <= 2 * 180
+    for i in (0, 1, 77, 199):
+        t = 300 * minute + i * minute // 4
+        raw = {}
+        for m in range(600):
+            if abs(m * minute - t) <= 60 * minute:
+                raw.setdefault(m // 4, []).append(float((m * 7) % 17))
+        v = [sum(x) / len(x) for _, x in sorted(raw.items())][:30]
+        mean = sum(v) / 30
+        sd = (sum((x - mean) ** 2 for x in v) / 30) ** 0.5
+        assert max(abs(a - (x - mean) / sd) for a, x in zip(got[i]["hr_seq"], v, strict=True)) < 1e-9
