@@ -162,11 +162,12 @@ def bootstrap_thresholds(preds: DataFrame, by: list[str], frac: float = 0.7, ite
     """by, k, mean and sample deviation of sensitivity, specificity and accuracy at score >= k / 100, and of the auc, over the same draws."""
     below, auc_row = -1, -2  # scores under every threshold; the row of the auc
 
-    def measure(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> pd.DataFrame:
+    def measure(scores: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> dict[str, np.ndarray]:
         grid = np.clip(np.floor(scores * GRID + 1e-9), below, GRID).astype(np.int64)  # scores are in order
         bins, first = np.unique(grid, return_index=True)
-        counts = pd.DataFrame({"at": np.repeat(np.arange(len(pos)), len(bins)), "k": np.tile(bins, len(pos)), "p": np.add.reduceat(pos, first, axis=1).ravel(), "n": np.add.reduceat(neg, first, axis=1).ravel(), "u": 0.0})
-        return pd.concat((counts, auc_parts(pos, neg).assign(k=auc_row)))
+        counts = {"at": np.repeat(np.arange(len(pos)), len(bins)), "k": np.tile(bins, len(pos)), "p": np.add.reduceat(pos, first, axis=1).ravel(), "n": np.add.reduceat(neg, first, axis=1).ravel()}
+        area = auc_parts(pos, neg) | {"k": np.full(len(pos), auc_row)}
+        return {c: np.concatenate((counts.get(c, np.zeros(len(counts["at"]))), v)) for c, v in area.items()}
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         """A group's rows: an iteration and a bin each, so no more than iterations times bins."""

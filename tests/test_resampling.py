@@ -51,6 +51,28 @@ def test_thresholds_over_many_leaves(spark, monkeypatch):
             assert many[k][f"{m}_mean"] == pytest.approx(one[k][f"{m}_mean"], abs=0.006) and many[k][f"{m}_std"] == pytest.approx(one[k][f"{m}_std"], abs=0.006)
 
 
+def test_draws_are_the_sqls(monkeypatch):
+    """Row numbers as plain integers give them, at the ends of the generator's range; counts do not depend on the steps."""
+    top = R.PRIME - 1
+    seeds = np.array([[top, top, top], [0, 0, 0], [1, top, 0], [0, 1, top], [123_456_789, 987_654_321, 55]])
+    for first, n in ((1, 600), (45_000, R.LEAF), (2_000_000_000, R.LEAF - 1), (1, 1)):
+        mine = R.draw_rows(seeds, first, 300, n)
+        assert mine.tolist() == [[(pow(a * j + b, 5, R.PRIME) + c) % R.PRIME % n for j in range(first, first + 300)] for a, b, c in seeds.tolist()]
+    sizes, draws = np.array([3, 0, 40, 7]), np.array([35, 0, 50, 1, 12])
+    whole = R.single_draws(sizes, seeds, draws)
+    monkeypatch.setattr(R, "CACHED", 16)
+    assert (R.single_draws(sizes, seeds, draws) == whole).all() and whole.sum(axis=1).tolist() == draws.tolist()
+
+
+def test_small_groups_take_all_iterations_together(spark):
+    """One call of the measure for a small group, its iterations in order, whatever else is in the same unit; keys of odd types."""
+    rows = [(f"u{g}", g % 3 == 0, bool(i % 2), i / 7) for g in range(60) for i in range(1 + g % 11)]
+    hist = M.by_score(spark.createDataFrame(rows, "user string, odd boolean, y boolean, y_score double").selectExpr("user", "odd", "int(y) as y_true", "y_score"), ["user", "odd"])
+    found, tall = R.resample(hist, ["user", "odd"], lambda s, p, q: {"at": np.arange(1), "wide": np.array([len(p)]), "drawn": np.array([(p + q).sum()]), "first": s[:1]}, "wide long, drawn long, first double", 0.7, 1000, 42)
+    got = sorted(tuple(r) for r in found.select("user", "odd", "leaf", "iteration", "wide", "drawn", "first").collect())
+    assert not tall and got == sorted((f"u{g}", g % 3 == 0, 0, 0, 1000, 1000 * round(0.7 * (1 + g % 11)), 0.0) for g in range(60))
+
+
 def test_memory_does_not_grow_with_rows():
     """99 scores with 20 thousand and with 20 billion rows: the same memory, and counts in proportion."""
     peaks = []
