@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
-from ..hashing import with_position
+from ..hashing import WHOLE, with_position
 from ..operators import clean as C
 from ..operators import rollups as R
 from ..registry import query, r6
@@ -256,6 +256,6 @@ def a7(spark, d):
 SELECT p.user_id, p.pos, y_score, y_true FROM p JOIN l ON p.user_id = l.user_id AND p.pos = l.pos WHERE p.user_id IN (SELECT a.user_id FROM (SELECT user_id, count(*) AS n FROM p GROUP BY user_id) a JOIN (SELECT user_id, count(*) AS n FROM l GROUP BY user_id) b USING (user_id, n))""")
 def a8(spark, d):
     p = X.preds(spark, d)
-    at = lambda rows: with_position(rows, ["user_id"], F.floor(F.col("sample_id") / 4096), ["sample_id", "y_score", "y_true"], "pos")
+    at = lambda rows: with_position(rows, ["user_id"], F.floor(F.col("sample_id") / WHOLE), ["sample_id", "y_score", "y_true"], "pos")
     labels = p.where("user_id % 9 <> 4 OR sample_id % 3 = 0")
     return R.aligned_pairs(at(p).select("user_id", "pos", "y_score"), at(labels).select("user_id", "pos", "y_true"))

@@ -245,6 +245,24 @@ def test_positions_and_cuts(spark):
     assert first_in_hash_order(df.limit(0), 5, 1, "id").count() == 0
 
 
+def test_positions_of_small_and_large_groups(spark, monkeypatch):
+    """Groups on both sides of the limit, one with a null key and null buckets; small ones need no table of buckets."""
+    from pulseframe import hashing
+
+    rows = [(g, h, i if g != "d" or i % 4 else None, i * 7 % 50) for g, n in (("a", 3), ("b", 30), ("c", 31), ("d", 200), (None, 90)) for h in (1, None) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, h long, y long, id long")
+    run = lambda: hashing.with_position(df, ["g", "h"], F.floor(F.col("y") / 2), ["y", "id"], "at")
+    small = run()
+    whole = got(small)
+    final = small._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Window ") == 1 and "SortMergeJoin" not in final
+    monkeypatch.setattr(hashing, "WHOLE", 30)
+    assert got(run()) == whole
+    for g, h in {(r[0], r[1]) for r in rows}:
+        own = sorted((r for r in rows if (r[0], r[1]) == (g, h)), key=lambda r: (r[2] is not None, r[2] or 0, r[3]))
+        assert sorted((r[4], r[2], r[3], r[5]) for r in whole if (r[0], r[1]) == (g, h)) == [(i + 1, r[2], r[3], len(own)) for i, r in enumerate(own)]
+
+
 def test_windows_over_days_equal_those_over_whole_users(spark):
     from pyspark.sql import Window as W
 
