@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..sources.paths import written
 from .quantiles import exact_quantiles
-from .resampling import PRIME, auc_by_iteration, auc_parts, draw_rows, resample, resampled  # noqa: F401
+from .resampling import PRIME, auc_by_iteration, auc_moments, auc_parts, draw_rows, joined_moments, resample, resampled  # noqa: F401
 
 #: Thresholds 0, 0.01, ..., 1, as literals k / 100.
 GRID = 100
@@ -48,12 +48,17 @@ def _grouped(preds: DataFrame, by: list[str]) -> tuple[DataFrame, list[str], boo
 def roc_auc(preds: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
     """by, auc, n_pos, n_neg: tie-aware area; null where a group has one class."""
     preds, keys, pooled = _grouped(preds, by)
-    r = running(by_score(preds, keys, weight), keys, "y_score", ["neg"])
-    out = r.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    out = out.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg")))).drop("_u")
+    out = roc_auc_of(by_score(preds, keys, weight), keys)
     return out.drop("_all") if pooled else out
 
 
+def roc_auc_of(hist: DataFrame, keys: list[str]) -> DataFrame:
+    """roc_auc from by_score's rows."""
+    r = running(hist, keys, "y_score", ["neg"])
+    out = r.groupBy(*keys).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("_u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return out.withColumn("auc", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("_u") / (F.col("n_pos").cast("double") * F.col("n_neg")))).drop("_u")
+
+
 def average_precision(preds: DataFrame, by: list[str]) -> DataFrame:
     preds, keys, pooled = _grouped(preds, by)
     r = running(by_score(preds, keys), keys, "y_score", ["pos", "neg"], descending=True)
@@ -149,12 +154,23 @@ def bootstrap_auc(preds: DataFrame, by: list[str], frac: float = 0.7, iterations
     Groups with a null key are left out.
     """
     preds, keys, pooled = _grouped(preds, by)
-    parts, tall = resample(by_score(preds, keys), keys, lambda s, p, q: auc_parts(p, q), "p long, n long, u double", frac, iterations, seed)
-    each = auc_by_iteration(parts, keys, tall)
-    out = each.groupBy(*keys).agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"), (F.count("auc") / iterations).alias("valid"))
+    out = bootstrap_auc_of(by_score(preds, keys), keys, frac, iterations, seed)
     return out.drop("_all") if pooled else out
 
 
+def bootstrap_auc_of(hist: DataFrame, keys: list[str], frac: float = 0.7, iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """bootstrap_auc from by_score's rows."""
+    moments = (lambda s, p, q: auc_moments(p, q), "count long, mean double, m2 double")
+    parts, tall = resample(hist, keys, lambda s, p, q: auc_parts(p, q), "p long, n long, u double", frac, iterations, seed, moments)
+    if tall:
+        each = auc_by_iteration(parts, keys, tall)
+        out = each.groupBy(*keys).agg(F.avg("auc").alias("auc_mean"), F.stddev_samp("auc").alias("auc_std"), (F.count("auc") / iterations).alias("valid"))
+    else:
+        n, std = F.col("count"), F.sqrt(F.col("m2") / F.greatest(F.col("count") - 1, F.lit(1)))
+        out = joined_moments(parts, keys).select(*keys, F.when(n > 0, F.col("mean")).alias("auc_mean"), F.when(n > 1, std).alias("auc_std"), (n / iterations).alias("valid"))
+    return out
+
+
 THRESHOLD_METRICS = ("sensitivity", "specificity", "accuracy")
 
 

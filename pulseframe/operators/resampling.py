@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,8 @@ def draw_rows(seeds: np.ndarray, first: int, count: int, n: int) -> np.ndarray:
     Draw j is ((a * j + b) ** 5 + c) mod PRIME mod n, which SQL can repeat; n is a leaf's, j below 2 ** 31.
     """
     a, b, c = (seeds[:, i : i + 1].astype(np.uint64) for i in range(3))
-    x = a * np.arange(first, first + count, dtype=np.uint64) + b
+    x = a * np.arange(first, first + count, dtype=np.uint64)
+    x += b
     y = np.empty_like(x)
     _fold(x, y)
     _below(x, y)
@@ -73,9 +75,14 @@ def draw_rows(seeds: np.ndarray, first: int, count: int, n: int) -> np.ndarray:
     return rows
 
 
+@lru_cache(maxsize=64)
+def _endings(iterations: range) -> list[bytes]:
+    return [b":%d" % i for i in iterations]
+
+
 def seeds_of(text: str, iterations: range) -> np.ndarray:
-    start = f"{text}:".encode()
-    digests = b"".join([hashlib.md5(start + b"%d" % i).digest() for i in iterations])
+    start, md5 = text.encode(), hashlib.md5
+    digests = b"".join([md5(start + i).digest() for i in _endings(iterations)])
     return np.frombuffer(digests, dtype=">u4").reshape(-1, 4)[:, :3].astype(np.int64) % PRIME
 
 
@@ -99,8 +106,8 @@ def single_draws(sizes: np.ndarray, seeds: np.ndarray, draws: np.ndarray) -> np.
             count = min(deep, most - first)
             drawn = np.take(cell_of, draw_rows(own, first + 1, count, n))
             drawn += shift
-            live = np.arange(first, first + count) < left
-            into += np.bincount((drawn if live.all() else drawn[live]).ravel(), minlength=into.size).reshape(into.shape)
+            drawn = drawn.ravel() if left.min() >= first + count else drawn[np.arange(first, first + count) < left]
+            into += np.bincount(drawn, minlength=into.size).reshape(into.shape)
     return counts
 
 
@@ -158,11 +165,12 @@ def units_of(rows: pa.Table, keys: list[str], score: str) -> tuple[np.ndarray, n
     return order, np.append(np.flatnonzero(new), len(order))
 
 
-def resample(hist: DataFrame, by: list[str], measure: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, frac: float, iterations: int, seed: int) -> tuple[DataFrame, bool]:
+def resample(hist: DataFrame, by: list[str], measure: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, frac: float, iterations: int, seed: int, alone: tuple[Callable, str] | None = None) -> tuple[DataFrame, bool]:
     """(by, leaf, iteration, and what measure gives; whether any group has more than one leaf).
 
     hist: by, y_score, pos, neg. measure(scores, drawn positives, drawn negatives), the last two (iterations, scores),
     gives columns, as in `schema`, and `at`, the place of each row's iteration. Small leaves go to Python many at a time.
+    alone: measure and schema for when no group has more than one leaf.
     """
     from .metrics import running
 
@@ -171,6 +179,8 @@ def resample(hist: DataFrame, by: list[str], measure: Callable[[np.ndarray, np.n
     sizes = hist.groupBy(*by).agg(F.sum(F.col("pos") + F.col("neg")).cast("long").alias("_n"))
     most, work = sizes.agg(F.max("_n"), F.sum(F.greatest(F.col("_n") * (frac * iterations), F.lit(float(UNIT_DRAWS))))).first()
     tall, packs = (most or 0) > LEAF, min(max(1, math.ceil((work or 0) / PACK_DRAWS)), 1 << 30)
+    if alone and not tall:
+        measure, schema = alone
     if tall:
         begin = running(hist, by, "y_score", ["pos", "neg"])
         hist = written(begin.withColumn("leaf", F.floor((F.col("before_pos") + F.col("before_neg")) / LEAF)).drop("before_pos", "before_neg"), "score-leaves")
@@ -232,6 +242,26 @@ def auc_parts(pos: np.ndarray, neg: np.ndarray) -> dict[str, np.ndarray]:
     return {"at": np.arange(len(pos)), "p": pos.sum(axis=1), "n": neg.sum(axis=1), "u": (pos * (below + neg / 2)).sum(axis=1)}
 
 
+def auc_moments(pos: np.ndarray, neg: np.ndarray) -> dict[str, np.ndarray]:
+    """One row: how many of the iterations drew both classes, and their aucs' mean and sum of squared deviations."""
+    parts = auc_parts(pos, neg)
+    both = (parts["p"] > 0) & (parts["n"] > 0)
+    auc = parts["u"][both] / (parts["p"][both].astype(float) * parts["n"][both])
+    mean = auc.mean() if len(auc) else 0.0
+    return {"at": np.arange(1), "count": np.array([len(auc)]), "mean": np.array([mean]), "m2": np.array([((auc - mean) ** 2).sum()])}
+
+
+def joined_moments(moments: DataFrame, by: list[str]) -> DataFrame:
+    """by, count, mean, m2 of all iterations from auc_moments of some (at most iterations / CHUNK rows a group)."""
+    def join(a, b):
+        n, off = a["count"] + b["count"], b["mean"] - a["mean"]
+        return F.struct(n.alias("count"), (a["mean"] + off * b["count"] / n).alias("mean"), (a["m2"] + b["m2"] + off * off * a["count"] * b["count"] / n).alias("m2"))
+
+    start = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    each = moments.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("iteration", "count", "mean", "m2"))).alias("_m"))
+    return each.select(*by, F.aggregate(F.filter("_m", lambda x: x["count"] > 0), start, join).alias("_m")).select(*by, "_m.*")
+
+
 def auc_by_iteration(parts: DataFrame, by: list[str], tall: bool) -> DataFrame:
     """by, iteration, auc (null where a class is absent) from auc_parts of leaves: negatives of lower leaves lie below."""
     if tall:

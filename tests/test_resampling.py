@@ -73,6 +73,24 @@ def test_small_groups_take_all_iterations_together(spark):
     assert not tall and got == sorted((f"u{g}", g % 3 == 0, 0, 0, 1000, 1000 * round(0.7 * (1 + g % 11)), 0.0) for g in range(60))
 
 
+def test_moments_equal_those_over_single_iterations(spark, monkeypatch):
+    """Groups in one unit and in many, with few or no iterations of both classes: one row from Python for each span of iterations."""
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    rows = [(g, int(r.random() < p), float(np.round(r.random(), 2))) for g, n, p in ((1, 300, 0.3), (2, 12, 0.1), (3, 2, 0.5), (4, 40, 0.0), (5, 3, 0.5)) for _ in range(n)] + [(5, 0, 0.1), (5, 1, 0.1)]
+    df = spark.createDataFrame(rows, "user_id long, y_true long, y_score double")
+    parts, _ = R.resample(M.by_score(df, ["user_id"]), ["user_id"], lambda s, p, q: R.auc_parts(p, q), "p long, n long, u double", 0.7, 330, 42)
+    want = R.auc_by_iteration(parts, ["user_id"], False).groupBy("user_id").agg(F.avg("auc"), F.stddev_samp("auc"), F.count("auc") / 330).collect()
+    for draws in (R.TASK_DRAWS, 10_000):
+        monkeypatch.setattr(R, "TASK_DRAWS", draws)
+        found = {x["user_id"]: x for x in M.bootstrap_auc(df, ["user_id"], iterations=330).collect()}
+        assert len(found) == len(want) == 5
+        for u, *values in want:
+            assert [found[u][c] for c in ("auc_mean", "auc_std", "valid")] == [None if v is None else pytest.approx(v, abs=1e-12) for v in values]
+    assert R.joined_moments(spark.createDataFrame([(1, 0, 0, 0.0, 0.0), (1, 50, 1, 0.25, 0.0), (1, 100, 3, 0.75, 0.5)], "g long, iteration long, count long, mean double, m2 double"), ["g"]).collect() == [(1, 4, 0.625, 0.6875)]
+
+
 def test_memory_does_not_grow_with_rows():
     """99 scores with 20 thousand and with 20 billion rows: the same memory, and counts in proportion."""
     peaks = []
